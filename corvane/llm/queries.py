@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe_automaton, exact_dedup
+from corvane.llm import bpe_automaton, exact_dedup, substring_dedup
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_bpe_automaton": bpe_automaton.op4_bpe_automaton,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op2_substring_dedup": substring_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
