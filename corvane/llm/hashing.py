@@ -15,6 +15,8 @@ import numpy as np
 U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: every ASCII byte but letters and digits
+NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -56,13 +58,13 @@ def stretch_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, bas
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of several texts: their hashes, and each text's range of words."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False) -> None:
+    def __init__(self, texts: list[bytes], lower: bool = False, apart: np.ndarray = _SPACE) -> None:
         joined = b"\n".join(texts)
         if lower:
             joined = joined.lower()
         buf = np.frombuffer(joined, dtype=np.uint8)
         inside = np.zeros(len(buf) + 2, dtype=np.int8)
-        inside[1:-1] = ~_SPACE[buf]
+        inside[1:-1] = ~apart[buf]
         step = np.diff(inside)
         self.starts, self.ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         sizes = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
