@@ -3,7 +3,8 @@
 1. Each task hashes every window of its documents and deals the hashes to buckets. A row holds many
    windows of one piece of text and one bucket, as packed arrays; a window repeated within the piece is
    known to be repeated there and sends its hash only once, however hot it is.
-2. Each bucket is grouped and counted; windows whose hash occurs elsewhere too go back to their documents.
+2. Each bucket is grouped and counted; windows whose hash occurs elsewhere too go back to their texts, packed
+   once more, by groups of texts.
 3. Per document the repeated windows merge into maximal intervals, which are removed.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.frames import buckets_for, documents, map_texts, row_key
-from corvane.llm.hashing import U, Words, packed_runs, unpacked_runs
+from corvane.llm.hashing import U, Words, pack_steps, packed_runs, unpack_steps, unpacked_runs
 
 WINDOW = 35
 _ROW = "bucket int, keys binary, runs binary, places binary, hashes binary, known binary, found_keys binary, found_runs binary, found_places binary"
@@ -59,8 +60,8 @@ def _windows_of(batch: pa.RecordBatch, texts: list[bytes], size: int, buckets: i
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 9)]], names=[c.split()[0] for c in _ROW.split(", ")])
 
 
-def _count(rows: pa.Table) -> pa.Table:
-    """Of one bucket: the windows that occur elsewhere too, as a row for each text that has some."""
+def _count(rows: pa.Table, groups: int) -> pa.Table:
+    """Of one bucket: the windows that occur elsewhere too, as a row for each group of texts."""
     col = {name: rows.column(name).to_pylist() for name in rows.column_names if name != "bucket"}
     hashes = [np.frombuffer(x, dtype=U) for x in col["hashes"]]
     known = np.frombuffer(b"".join(col["known"]), dtype=U)
@@ -71,50 +72,70 @@ def _count(rows: pa.Table) -> pa.Table:
     same[1:-1] = ranked[1:] == ranked[:-1]
     repeated = np.zeros(len(every), dtype=bool)
     repeated[order] = same[1:] | same[:-1]
-    keys_out: list[np.ndarray] = []
-    places_out: list[bytes] = []
-
-    def put(keys: bytes, runs: np.ndarray, places: np.ndarray, keep: np.ndarray | None) -> None:
-        text = np.repeat(np.arange(len(runs)), runs)
-        if keep is not None:
-            text, places = text[keep], places[keep]
-        if not len(text):
-            return
-        heads = np.flatnonzero(np.diff(text, prepend=-1))
-        keys_out.append(np.frombuffer(keys, dtype=np.int64)[text[heads]])
-        cuts = np.append(heads, len(text))
-        raw = places.astype(np.uint32)
-        places_out.extend(raw[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(heads)))
+    keys_out, places_out = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+
+    def put(keys: bytes, runs: bytes, places: bytes, keep: np.ndarray | slice) -> None:
+        n = np.frombuffer(runs, dtype=np.uint32).astype(np.int64)
+        keys_out.append(np.repeat(np.frombuffer(keys, dtype=np.int64), n)[keep])
+        places_out.append(unpacked_runs(places, n)[keep])
 
     start = 0
     for i, h in enumerate(hashes):
         keep = repeated[start : start + len(h)]
         start += len(h)
         if keep.any():
-            runs = np.frombuffer(col["runs"][i], dtype=np.uint32).astype(np.int64)
-            put(col["keys"][i], runs, unpacked_runs(col["places"][i], runs), keep)
+            put(col["keys"][i], col["runs"][i], col["places"][i], keep)
         if col["found_keys"][i]:
-            runs = np.frombuffer(col["found_runs"][i], dtype=np.uint32).astype(np.int64)
-            put(col["found_keys"][i], runs, unpacked_runs(col["found_places"][i], runs), None)
-    keys = np.concatenate(keys_out) if keys_out else np.zeros(0, dtype=np.int64)
-    return pa.table({"__cv_key": pa.array(keys, pa.int64()), "places": pa.array(places_out, pa.binary())})
+            put(col["found_keys"][i], col["found_runs"][i], col["found_places"][i], slice(None))
+    return _packed(np.concatenate(keys_out), np.concatenate(places_out), groups)
+
+
+def _packed(keys: np.ndarray, places: np.ndarray, groups: int) -> pa.Table:
+    """A row for each group of texts: its texts' keys, windows per text, and their places."""
+    group = (keys.view(U) % U(groups)).astype(np.int64)
+    order = np.lexsort((places, keys, group))
+    keys, places, group = keys[order], places[order], group[order]
+    heads = np.flatnonzero(np.diff(keys, prepend=keys[0] + 1)) if len(keys) else np.zeros(0, dtype=np.int64)
+    runs = np.diff(np.append(heads, len(keys)))
+    out = []
+    for g in np.unique(group):
+        lo, hi = np.searchsorted(group, [g, g + 1])
+        mine = slice(*np.searchsorted(heads, [lo, hi]))
+        out.append((int(g), keys[heads[mine]].tobytes(), runs[mine].astype(np.uint32).tobytes(), packed_runs(places[lo:hi], runs[mine])))
+    return pa.table([pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3)]], names=["text_group", "keys", "runs", "places"])
+
+
+def _per_text(rows: pa.Table) -> pa.Table:
+    """Of one group of texts: a row for each text, with the places of its windows from all buckets."""
+    keys, places = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for k, r, p in zip(*(rows.column(c).to_pylist() for c in ("keys", "runs", "places")), strict=True):
+        n = np.frombuffer(r, dtype=np.uint32).astype(np.int64)
+        keys.append(np.repeat(np.frombuffer(k, dtype=np.int64), n))
+        places.append(unpacked_runs(p, n))
+    key, place = np.concatenate(keys), np.concatenate(places)
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    heads = np.flatnonzero(np.diff(key, prepend=key[0] + 1)) if len(key) else np.zeros(0, dtype=np.int64)
+    runs = np.diff(np.append(heads, len(key)))
+    ends = np.cumsum(runs)
+    return pa.table([pa.array(key[heads], pa.int64()), pa.array([pack_steps(place[e - n : e]) for e, n in zip(ends.tolist(), runs.tolist(), strict=True)], pa.binary())], names=["__cv_key", "places"])
 
 
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """__cv_key (row_key) and places: word positions (binary, unsigned 32-bit) of windows found elsewhere too."""
+    """__cv_key (row_key) and places: word positions (pack_steps) of windows found elsewhere too."""
     buckets = buckets_for(docs, text_col)
     rows = docs.select(row_key(id_col, text_col).alias("__cv_key"), F.col(text_col).alias("__cv_text"))
     dealt = map_texts(rows, lambda batch, texts: _windows_of(batch, texts, size, buckets), _ROW)
-    found = dealt.groupBy("bucket").applyInArrow(_count, "__cv_key long, places binary")
-    return found.groupBy("__cv_key").agg(F.collect_list("places").alias("places"))
+    found = dealt.groupBy("bucket").applyInArrow(lambda t: _count(t, buckets), "text_group int, keys binary, runs binary, places binary")
+    return found.groupBy("text_group").applyInArrow(_per_text, "__cv_key long, places binary")
 
 
-def _cut(text: bytes, places: list[bytes] | None, size: int) -> tuple[int, int, list[tuple[int, int]], bytes]:
+def _cut(text: bytes, places: bytes | None, size: int) -> tuple[int, int, list[tuple[int, int]], bytes]:
     words = text.split()
     n = len(words)
     if not places:
         return n, 0, [], b" ".join(words)
-    at = np.unique(np.frombuffer(b"".join(places), dtype=np.uint32)).astype(np.int64)
+    at = np.unique(unpack_steps(places))
     new = np.flatnonzero(np.diff(at, prepend=-size - 1) > size)
     starts, ends = at[new], at[np.append(new[1:], len(at)) - 1] + size
     kept, last = [], 0
