@@ -77,3 +77,13 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.Reco
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def hash_sample(df: DataFrame, rows: int, total: int, *keys: str) -> DataFrame:
+    """About `rows` of the `total` rows (all, if fewer), by a hash of the keys; equal input, equal sample.
+
+    Each task returns its share only, so what reaches the driver does not grow with the tasks. Keys that
+    hold equal values on many rows could bring them all in; twice `rows` is never passed.
+    """
+    level = min(1.0, rows / max(total, 1))
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(level * (1 << 30))).limit(2 * rows)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.frames import documents, map_texts
+from corvane.llm.frames import documents, hash_sample, map_texts
 from corvane.llm.hashing import U, mix
 
 SIZES = (2, 3, 4)
@@ -119,20 +119,15 @@ def predict(texts: list[bytes], table: np.ndarray, bias: np.ndarray, temperature
 
 
 def training_sample(docs: DataFrame, rows_per_language: int, id_col: str, text_col: str, lang_col: str, held_out) -> tuple[list[bytes], list[str]]:
-    """At most `rows_per_language` labelled texts of each language: those with the smallest hash of their text.
-
-    Each language's rows come by its own bounded top-k. The driver gets at most that many ids a language, and
-    their texts cut to nothing: whole texts are used.
-    """
+    """About `rows_per_language` labelled texts of each language, by a hash of id and text; twice as many at most."""
     usable = docs.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= 1 << 16))
-    langs = [r[0] for r in usable.select(lang_col).distinct().orderBy(lang_col).collect()]
+    usable = usable.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     texts: list[bytes] = []
     found: list[str] = []
-    for lang in langs:
-        top = usable.where(F.col(lang_col) == lang).select(F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("h")).orderBy("h").limit(rows_per_language)
-        rows = top.collect()
-        texts += [r["t"].encode("utf-8", "replace") for r in rows]
-        found += [lang] * len(rows)
+    for r in sorted(usable.groupBy("l").count().collect()):
+        got = hash_sample(usable.where(F.col("l") == r["l"]), rows_per_language, r["count"], "i", "t").select("t").collect()
+        texts += sorted(x["t"].encode("utf-8", "replace") for x in got)
+        found += [r["l"]] * len(got)
     return texts, found
 
 
@@ -140,8 +135,8 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, held_out, lang_pred, score, rejected.
 
     Learns from text and non-null lang of documents whose crc32(id as text) mod 3 is not 1, from a bounded
-    sample of `rows_per_language` texts of each language (of up to 64 KiB each, those with the smallest
-    hash), and predicts every whole text. lang, source and id are never inputs of a prediction. `score` is
+    sample of about `rows_per_language` texts of each language (of up to 64 KiB each, chosen by a hash; never
+    more than twice as many), and predicts every whole text. lang, source and id are never inputs of a prediction. `score` is
     the calibrated probability of lang_pred; `rejected` marks texts whose score is below `reject_below`.
 
     A null text or one without a letter gets `und` with score 0 and is rejected. A null id counts as
