@@ -125,3 +125,15 @@ def unpacked_runs(data: bytes, runs: np.ndarray) -> np.ndarray:
     heads = np.cumsum(runs) - runs
     base = np.where(heads > 0, total[heads - 1], 0)
     return total - np.repeat(base, runs)
+
+
+def pack_values(values: np.ndarray) -> bytes:
+    """Non-negative integers in any order, a byte each and one more for every 255."""
+    parts = values // 255
+    out = np.full(int(parts.sum()) + len(values), 255, dtype=np.uint8)
+    out[np.cumsum(parts + 1) - 1] = values % 255
+    return out.tobytes()
+
+
+def unpack_values(data: bytes) -> np.ndarray:
+    return np.diff(unpack_steps(data), prepend=0)

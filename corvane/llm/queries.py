@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe_automaton, exact_dedup, language_id, substring_dedup, toxicity
+from corvane.llm import bpe_automaton, exact_dedup, language_id, ppm_scoring, substring_dedup, toxicity
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_ppm_scoring": ppm_scoring.op3_ppm_scoring,
     "op4_bpe_automaton": bpe_automaton.op4_bpe_automaton,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_language_id": language_id.op9_language_id,
