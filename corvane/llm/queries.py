@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe_automaton, exact_dedup, language_id, ppm_scoring, substring_dedup, toxicity
+from corvane.llm import bpe_automaton, exact_dedup, language_id, ppm_scoring, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_ppm_scoring": ppm_scoring.op3_ppm_scoring,
     "op4_bpe_automaton": bpe_automaton.op4_bpe_automaton,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_quality_rules": quality_rules.SQL,
     "op2_substring_dedup": substring_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
