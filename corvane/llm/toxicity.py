@@ -56,9 +56,9 @@ def feature_hits(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[
     return pairs >> SPACE_BITS, pairs & ((1 << SPACE_BITS) - 1)
 
 
-def _hits(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    parts = [feature_hits(texts[i : i + 256], wanted) for i in range(0, len(texts), 256)]
-    return (np.concatenate([t + 256 * i for i, (t, _) in enumerate(parts)]), np.concatenate([f for _, f in parts])) if parts else (np.zeros(0, np.int64),) * 2
+def _hits(texts: list[bytes], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    parts = [feature_hits(texts[i : i + 64], wanted) for i in range(0, len(texts), 64)]
+    return (np.concatenate([t + 64 * i for i, (t, _) in enumerate(parts)]), np.concatenate([f for _, f in parts])) if parts else (np.zeros(0, np.int64),) * 2
 
 
 def apart(texts: list[bytes]) -> list[bytes]:
@@ -101,7 +101,13 @@ def select_features(pos: list[bytes], unl: list[bytes], prior: float, most: int)
     A feature of toxic texts only is 1 / prior times as frequent among the positives; half that excess, beyond
     chance, is asked for. Returns the features and the logarithm of each one's excess, by which they are scaled.
     """
-    count = [np.bincount(_hits(x)[1], minlength=1 << SPACE_BITS) for x in (pos, unl)]
+    count = []
+    for texts in (pos, unl):
+        n = np.zeros(1 << SPACE_BITS, dtype=np.int32)
+        for i in range(0, len(texts), 64):
+            got, times = np.unique(feature_hits(texts[i : i + 64])[1], return_counts=True)
+            n[got] += times.astype(np.int32)
+        count.append(n)
     p, u = count[0] / max(1, len(pos)), (count[1] + 1) / max(1, len(unl))
     z = (p - u) / np.sqrt(u / max(1, len(pos)) + u / max(1, len(unl)))
     strong = np.flatnonzero((count[0] >= 4) & (p >= 0.005) & (p > 0.5 * u / prior) & (z > 5))
