@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe_automaton, exact_dedup, language_id, ppm_scoring, quality_rules, substring_dedup, toxicity
+from corvane.llm import bpe_automaton, exact_dedup, language_id, line_dedup, ppm_scoring, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_ppm_scoring": ppm_scoring.op3_ppm_scoring,
     "op4_bpe_automaton": bpe_automaton.op4_bpe_automaton,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.SQL,
     "op2_substring_dedup": substring_dedup.SQL,
+    "op8_line_dedup": line_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
