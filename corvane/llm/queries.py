@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe_automaton, exact_dedup, language_id, line_dedup, ppm_scoring, quality_rules, source_mixing, substring_dedup, toxicity
+from corvane.llm import bagminhash, bpe_automaton, exact_dedup, language_id, line_dedup, ppm_scoring, quality_rules, source_mixing, substring_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_ppm_scoring": ppm_scoring.op3_ppm_scoring,
     "op4_bpe_automaton": bpe_automaton.op4_bpe_automaton,
+    "op5_bagminhash": bagminhash.op5_bagminhash,
     "op6_source_mixing": source_mixing.op6_source_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_dedup": line_dedup.op8_line_dedup,
