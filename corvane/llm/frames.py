@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,6 +35,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet in the shared checkpoint folder and read again: columns can still be pruned."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def buckets_for(df: DataFrame, text_col: str, bytes_each: int = 48 << 20) -> int:
     """How many hash buckets keep the words of one bucket within a task's memory.
 
@@ -68,7 +78,13 @@ def pieces(batches: Iterator[pa.RecordBatch], text_index: int = 1, limit: int =
 
 
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None], schema: str, text_index: int = 1) -> DataFrame:
-    """mapInArrow over pieces: fn sees a slice of the batch and its texts and returns a batch, or None."""
+    """mapInArrow over pieces: fn sees a slice of the batch and its texts and returns a batch, or None.
+
+    Batches hold at most 1000 rows, so that a run of very long texts does not fill a task's memory at once.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, text_index):
