@@ -51,7 +51,8 @@ class MergeAutomaton:
         self.parent, self.lacks, self.made = [-1], [-1], [0]
         #: time of the gadget that forbade v after u
         self.cut: dict[tuple[int, int], int] = {}
-        spelled = set()
+        #: labels that some arc bears: the base symbols, and merges as their gadgets are placed
+        spelled = {i for s, i in vocab.items() if len(s[: len(s) - len(suffix)] if suffix and s.endswith(suffix) else s) == 1}
         for time, (u, v) in enumerate(merges, 1):
             self._gadget(time, vocab[u], vocab[v], vocab[u + v], spelled)
         self.arcs: dict[tuple[int, int], bool] = {}
@@ -61,14 +62,14 @@ class MergeAutomaton:
         for s, t in vocab.items():
             ends = bool(suffix) and s.endswith(suffix)
             spelling = s[: len(s) - len(suffix)] if ends else s
-            if self.born[t] or len(spelling) == 1:
+            if t in spelled:
                 for table in (self.final,) if ends else (self.inner,) if suffix else (self.inner, self.final):
                     table[spelling] = t
         self.longest = max(map(len, [*self.inner, *self.final]), default=0)
 
     def _gadget(self, time: int, u: int, v: int, w: int, seen: set[int]) -> None:
-        if w in seen or (u, v) in self.cut or not self._follows(u, v):
-            return  # no path has v after u any more, or another merge already spells w
+        if w in seen or u not in seen or v not in seen or not self._follows(u, v):
+            return  # no path has v after u (any more), or another merge already spells w
         seen.add(w)
         after = self.target[v]
         self.parent.append(self.target[u])
