@@ -67,14 +67,15 @@ def statistics(docs: DataFrame, text_col: str, carry: list) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("__cv_at")
 
 
-# SQL that Spark and DuckDB read alike; {rows}, {params} and so on stand for tables.
+# SQL that Spark and DuckDB read alike; {rows}, {params} and so on stand for tables. Numbers with an exponent
+# are doubles to both.
 VECTOR = f"""
 SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-  CAST(floor(ln(1.0 + n_words) * {UNIT} + 0.5) AS BIGINT) AS q1,
-  CAST(floor(ln((word_chars + 1.0) / (n_words + 1.0)) * {UNIT} + 0.5) AS BIGINT) AS q2,
-  CAST(floor(sqrt(n_symbols / (n_words + 1.0)) * {UNIT} + 0.5) AS BIGINT) AS q3,
-  CAST(floor(sqrt(n_dup_lines / (n_lines + 1.0)) * {UNIT} + 0.5) AS BIGINT) AS q4,
-  CAST(floor(sqrt(n_repeat_words / (n_words + 1.0)) * {UNIT} + 0.5) AS BIGINT) AS q5
+  CAST(floor(ln(1e0 + n_words) * {UNIT} + 0.5) AS BIGINT) AS q1,
+  CAST(floor(ln((word_chars + 1e0) / (n_words + 1e0)) * {UNIT} + 0.5) AS BIGINT) AS q2,
+  CAST(floor(sqrt(n_symbols / (n_words + 1e0)) * {UNIT} + 0.5) AS BIGINT) AS q3,
+  CAST(floor(sqrt(n_dup_lines / (n_lines + 1e0)) * {UNIT} + 0.5) AS BIGINT) AS q4,
+  CAST(floor(sqrt(n_repeat_words / (n_words + 1e0)) * {UNIT} + 0.5) AS BIGINT) AS q5
 FROM {{rows}}"""
 SIZES = "SELECT {key} AS {key}_s, count(*) AS {key}_n FROM {{rows}} WHERE NOT base_failed {where} GROUP BY {key}"
 POOL = f"""
@@ -84,7 +85,7 @@ FROM {{{{rows}}}} r LEFT JOIN {{{{sizes}}}} a ON r.{{key}} = a.{{key}}_s"""
 
 def _median(width: int, value: str) -> str:
     """Per group and coordinate, the lower edge of the median's bin."""
-    each = " UNION ALL ".join(f"SELECT grp, {i} AS dim, CAST(floor({value.format(i=i)} / {width}.0) AS BIGINT) AS bin FROM {{rows}} WHERE NOT base_failed" for i in range(1, DIMS + 1))
+    each = " UNION ALL ".join(f"SELECT grp, {i} AS dim, CAST(floor({value.format(i=i)} / {width}e0) AS BIGINT) AS bin FROM {{rows}} WHERE NOT base_failed" for i in range(1, DIMS + 1))
     return f"""
 SELECT grp AS med_grp, {", ".join(f"min(CASE WHEN dim = {i} THEN bin END) AS b{i}" for i in range(1, DIMS + 1))} FROM (
   SELECT grp, dim, bin, sum(n) OVER (PARTITION BY grp, dim ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY grp, dim) AS every
@@ -97,14 +98,14 @@ WITH_MEDIANS = f"SELECT r.*, {', '.join(f'b{i} * 64 + 32 AS c{i}' for i in range
 DEVIATIONS = _median(16, "abs(q{i} - c{i})")
 _LOWER = [(i, j) for i in range(1, DIMS + 1) for j in range(1, i + 1)]
 START = f"""
-SELECT m.med_grp AS par_grp, {", ".join(f"(m.b{i} * 64 + 32) / {UNIT}.0 AS m{i}" for i in range(1, DIMS + 1))},
-  {", ".join(f"sqrt((1.4826 * (d.b{i} * 16 + 8) / {UNIT}.0) * (1.4826 * (d.b{i} * 16 + 8) / {UNIT}.0) + {FLOORS[i - 1] ** 2!r})" + f" AS l{i}{j}" if i == j else f"CAST(0 AS DOUBLE) AS l{i}{j}" for i, j in _LOWER)}
+SELECT m.med_grp AS par_grp, {", ".join(f"(m.b{i} * 64 + 32) / {UNIT}e0 AS m{i}" for i in range(1, DIMS + 1))},
+  {", ".join(f"sqrt((1.4826e0 * (d.b{i} * 16 + 8) / {UNIT}e0) * (1.4826e0 * (d.b{i} * 16 + 8) / {UNIT}e0) + {FLOORS[i - 1] ** 2!r}e0)" + f" AS l{i}{j}" if i == j else f"CAST(0 AS DOUBLE) AS l{i}{j}" for i, j in _LOWER)}
 FROM {{medians}} m JOIN {{deviations}} d ON m.med_grp = d.med_grp"""
 
 
 def _distance() -> list[str]:
     """Select lists, one after the other, that end in d2: forward substitution by the triangular factor."""
-    return [f"SELECT *, (q{i} / {UNIT}.0 - m{i}" + "".join(f" - l{i}{j} * y{j}" for j in range(1, i)) + f") / l{i}{i} AS y{i} FROM " for i in range(1, DIMS + 1)]
+    return [f"SELECT *, (q{i} / {UNIT}e0 - m{i}" + "".join(f" - l{i}{j} * y{j}" for j in range(1, i)) + f") / l{i}{i} AS y{i} FROM " for i in range(1, DIMS + 1)]
 
 
 def _nested(selects: list[str], table: str) -> str:
@@ -118,8 +119,8 @@ DISTANCE = f"SELECT *, {' + '.join(f'y{i} * y{i}' for i in range(1, DIMS + 1))}
 _SUMS = [f"sum(q{i}) AS s{i}" for i in range(1, DIMS + 1)] + [f"sum(q{i} * q{j}) AS s{i}{j}" for i, j in _LOWER]
 _NEAREST = f"""(SELECT *, sum(n) OVER (PARTITION BY grp ORDER BY bin) - n AS before, sum(n) OVER (PARTITION BY grp) AS every FROM (
   SELECT grp, bin, count(*) AS n, {", ".join(_SUMS)} FROM (SELECT *, CAST(floor(ln(d2 + 1e-9) * 32) AS BIGINT) AS bin FROM ({DISTANCE}) d WHERE NOT base_failed AND d2 IS NOT NULL) b GROUP BY grp, bin) c) w"""
-_TOTALS = f"(SELECT grp AS par_grp, CAST(sum(n) AS DOUBLE) AS n, {', '.join(f'CAST(sum({c}) AS DOUBLE) AS {c}' for c in [f's{i}' for i in range(1, DIMS + 1)] + [f's{i}{j}' for i, j in _LOWER])} FROM {_NEAREST} WHERE before < {HALF} * every GROUP BY grp) t"
-_MOMENTS = f"(SELECT par_grp, {', '.join(f's{i} / n / {UNIT}.0 AS m{i}' for i in range(1, DIMS + 1))}, {', '.join(f'(s{i}{j} / n - s{i} / n * (s{j} / n)) / {UNIT}.0 / {UNIT}.0 * {CONSISTENCY}' + (f' + {FLOORS[i - 1] ** 2!r}' if i == j else '') + f' AS v{i}{j}' for i, j in _LOWER)} FROM {_TOTALS}) mo"
+_TOTALS = f"(SELECT grp AS par_grp, CAST(sum(n) AS DOUBLE) AS n, {', '.join(f'CAST(sum({c}) AS DOUBLE) AS {c}' for c in [f's{i}' for i in range(1, DIMS + 1)] + [f's{i}{j}' for i, j in _LOWER])} FROM {_NEAREST} WHERE before < {HALF}e0 * every GROUP BY grp) t"
+_MOMENTS = f"(SELECT par_grp, {', '.join(f's{i} / n / {UNIT}e0 AS m{i}' for i in range(1, DIMS + 1))}, {', '.join(f'(s{i}{j} / n - s{i} / n * (s{j} / n)) / {UNIT}e0 / {UNIT}e0 * {CONSISTENCY}e0' + (f' + {FLOORS[i - 1] ** 2!r}e0' if i == j else '') + f' AS v{i}{j}' for i, j in _LOWER)} FROM {_TOTALS}) mo"
 
 
 def _factor() -> list[str]:
