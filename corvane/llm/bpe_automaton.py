@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from corvane.llm.frames import documents, map_texts
 
 #: Entries that a worker's word table and arc table hold before they start afresh.
-WORD_TABLE, ARC_TABLE = 400_000, 2_000_000
+WORD_TABLE, ARC_TABLE = 100_000, 250_000
 
 
 def byte_symbols() -> list[str]:

@@ -8,8 +8,6 @@ different words or windows share a hash with a chance of about 2**-64.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 U = np.uint64
@@ -30,21 +28,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
-
-    def table(b: int) -> np.ndarray:
-        out = np.full(size, b, dtype=U)
-        out[0] = 1
-        return np.cumprod(out, dtype=U)
-
-    return table(base), table(inverse)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(base, 1 << max(16, (size + 1).bit_length()))
-    return up[: size + 1], down[: size + 1]
+    """base**0 to base**size and their inverses. One table a base is kept, grown in steps."""
+    have = _POWERS.get(base)
+    if have is None or len(have[0]) <= size:
+        n = (size // (1 << 18) + 1) * (1 << 18) + 1
+
+        def table(b: int) -> np.ndarray:
+            out = np.full(n, b, dtype=U)
+            out[0] = 1
+            return np.cumprod(out, dtype=U)
+
+        have = _POWERS[base] = (table(base), table(pow(base, -1, 1 << 64)))
+    return have[0][: size + 1], have[1][: size + 1]
 
 
 def stretch_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
