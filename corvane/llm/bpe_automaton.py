@@ -6,8 +6,7 @@ u-arc enters state q and q has a v-arc to r, the u-arc is led to a copy of q wit
 w-arc is added that goes from wherever the u-arc left straight to r. After the last merge one path is
 left for each word: its BPE encoding. All arcs of a label lead to one state, so a copied state is its
 parent, the removed label and the time of the gadget; an arc's presence follows from these on demand and
-is tabulated. Encoding runs over the table: for each prefix of a word, one label ends its path; decoding
-emits the labels of the arcs.
+is tabulated. Encoding walks over the table, the longest arc first; decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -25,8 +24,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm.frames import documents, map_texts
 
-#: Entries that a worker's word table and arc table hold before they start afresh.
-WORD_TABLE, ARC_TABLE = 100_000, 250_000
+#: Words that a worker's newer table holds before it replaces the older one, and arcs before the table starts afresh.
+WORD_TABLE, ARC_TABLE = 100_000, 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -56,16 +55,21 @@ class MergeAutomaton:
         for time, (u, v) in enumerate(merges, 1):
             self._gadget(time, vocab[u], vocab[v], vocab[u + v], spelled)
         self.arcs: dict[tuple[int, int], bool] = {}
-        #: spelling to label of the arcs that can end inside a word, and of those that end it
+        #: every beginning of an arc's spelling, with the arc's label if it is the whole (else -1), of arcs that can
+        #: end inside a word; and the labels of those that end it
         self.inner: dict[str, int] = {}
         self.final: dict[str, int] = {}
         for s, t in vocab.items():
             ends = bool(suffix) and s.endswith(suffix)
             spelling = s[: len(s) - len(suffix)] if ends else s
-            if t in spelled:
-                for table in (self.final,) if ends else (self.inner,) if suffix else (self.inner, self.final):
-                    table[spelling] = t
-        self.longest = max(map(len, [*self.inner, *self.final]), default=0)
+            if t not in spelled:
+                continue
+            if ends or not suffix:
+                self.final[spelling] = t
+            if not ends:
+                for i in range(1, len(spelling)):
+                    self.inner.setdefault(spelling[:i], -1)
+                self.inner[spelling] = t
 
     def _gadget(self, time: int, u: int, v: int, w: int, seen: set[int]) -> None:
         if w in seen or u not in seen or v not in seen or not self._follows(u, v):
@@ -109,36 +113,52 @@ class MergeAutomaton:
         return known
 
     def path(self, word: str) -> list[int]:
-        """The labels of the one path that spells the word (byte symbols, without the suffix)."""
-        n = len(word)
-        whole = self.final.get(word)
-        if whole is not None and n == 1:
-            return [whole]
-        arcs, longest = self.arcs, self.longest
-        last, width = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            ending = self.inner if end < n else self.final
-            for start in range(end - longest if end > longest else 0, end):
-                t = ending.get(word[start:end])
-                if t is not None:
-                    if start:
-                        u = last[start]
-                        if u < 0:
-                            continue
-                        ok = arcs.get((u, t))
-                        if ok is None:
-                            ok = self.follows(u, t)
-                        if not ok:
-                            continue
-                    last[end], width[end] = t, end - start
+        """The labels of the one path that spells the word (byte symbols, without the suffix).
+
+        From each state the longest arc that goes on with the word comes first; where none is left, the place is
+        marked dead and the walk steps back. As one path alone spells a word, the first one found is it.
+        """
+        n, arcs, inner = len(word), self.arcs, self.inner
+        out: list[int] = []
+        ways: list[tuple[list[int], int, int]] = []
+        dead: set[int] = set()
+        at, before = 0, -1
+        while at < n:
+            fits: list[int] = []
+            end = at + 1
+            while end < n:
+                t = inner.get(word[at:end])
+                if t is None:
                     break
-        out, at = [], n
-        while at:
-            if last[at] < 0:
-                raise ValueError(f"no path spells {word!r}")
-            out.append(last[at])
-            at -= width[at]
-        return out[::-1]
+                if t >= 0:
+                    fits += (t, end)
+                end += 1
+            t = self.final.get(word[at:])
+            if t is not None:
+                fits += (t, n)
+            while True:
+                if not fits:
+                    dead.add(at)
+                    if not out:
+                        raise ValueError(f"no path spells {word!r}")
+                    out.pop()
+                    fits, at, before = ways.pop()
+                    continue
+                end = fits.pop()
+                t = fits.pop()
+                if end in dead:
+                    continue
+                if before >= 0:
+                    ok = arcs.get((before, t))
+                    if ok is None:
+                        ok = self.follows(before, t)
+                    if not ok:
+                        continue
+                ways.append((fits, at, before))
+                out.append(t)
+                at, before = end, t
+                break
+        return out
 
 
 def _ranges(kind: str, end: int = 0x300) -> str:
@@ -172,7 +192,8 @@ class Codec:
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         library = Tokenizer.from_str(spec)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        self.words: dict[str, tuple[bytes, str, int]] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.find = _split_pattern().findall
 
     def split(self, text: str) -> list[str]:
@@ -184,11 +205,14 @@ class Codec:
             return [bytes(back[c] for c in p).decode("utf-8", "surrogateescape") for p, _ in pieces]
         return self.find(text.lower())
 
-    def _word(self, word: str) -> tuple[bytes, str, int]:
+    def _word(self, word: str) -> tuple[bytes, str]:
+        out = self.older.get(word)
+        if out is None:
+            ids = self.automaton.path("".join([self.symbols[b] for b in word.encode("utf-8", "surrogateescape")]))
+            out = (array("I", ids).tobytes(), " ".join([self.names[i] for i in ids]))
         if len(self.words) >= WORD_TABLE:
-            self.words.clear()
-        ids = self.automaton.path("".join([self.symbols[b] for b in word.encode("utf-8", "surrogateescape")]))
-        out = self.words[word] = (array("I", ids).tobytes(), " ".join([self.names[i] for i in ids]), len(ids))
+            self.older, self.words = self.words, {}
+        self.words[word] = out
         return out
 
     def encode(self, text: str) -> tuple[bytes, str]:
@@ -203,7 +227,10 @@ class Codec:
                 labels.append(part)
                 continue
             for w in self.split(part):
-                got = words.get(w) or make(w)
+                got = words.get(w)
+                if got is None:
+                    got = make(w)
+                    words = self.words
                 ids.append(got[0])
                 labels.append(got[1])
         return b"".join(ids), " ".join(labels)
