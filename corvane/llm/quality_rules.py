@@ -24,6 +24,8 @@ FLOORS = (0.5, 0.15, 0.15, 0.15, 0.15)
 #: Smallest group that has an estimate of its own; smaller ones are pooled by language, then altogether.
 LEAST = 50
 STEPS = 4
+#: Groups up to which their tables (under 300 bytes a row) are sent to all tasks.
+MOST_SENT = 20_000
 HALF = 0.75
 #: Makes the scatter of the nearest three quarters that of the whole, for five normal coordinates.
 CONSISTENCY = 1.41
@@ -155,18 +157,21 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = {c: F.col(c).alias(f"__cv{i}") for i, c in enumerate(carry)}
     carried = [F.col(id_col).alias("__cv_id"), *own.values(), F.concat(name(lang_col), F.lit("\x01"), name(source_col)).alias("g0"), name(lang_col).alias("g1")]
     rows = checkpointed(spark.sql(VECTOR, rows=statistics(docs, text_col, carried)))
-    sizes = spark.sql(SIZES.format(key="g0", where=""), rows=rows)
+    # tables with a row for each group go to all tasks while they are a few MB; beyond that joins deal the rows out
+    few = rows.select("g0").distinct().count() <= MOST_SENT
+    sent = F.broadcast if few else (lambda t: t)
+    sizes = sent(spark.sql(SIZES.format(key="g0", where=""), rows=rows))
     rows = spark.sql(POOL.format(key="g0", wider="concat('lang', r.g1)", into="g2"), rows=rows, sizes=sizes)
-    sizes = spark.sql(SIZES.format(key="g2", where="AND g2 <> g0"), rows=rows)
+    sizes = sent(spark.sql(SIZES.format(key="g2", where="AND g2 <> g0"), rows=rows))
     # a group that has its own estimate is large enough under g2 as well
     rows = checkpointed(spark.sql(POOL.format(key="g2", wider="CASE WHEN g2 = g0 THEN g0 ELSE 'all' END", into="grp"), rows=rows, sizes=sizes))
     medians = checkpointed(spark.sql(MEDIANS, rows=rows))
-    deviations = spark.sql(DEVIATIONS, rows=spark.sql(WITH_MEDIANS, rows=rows, medians=medians))
+    deviations = spark.sql(DEVIATIONS, rows=spark.sql(WITH_MEDIANS, rows=rows, medians=sent(medians)))
     params = checkpointed(spark.sql(START, medians=medians, deviations=deviations))
     for _ in range(STEPS):
-        params = checkpointed(spark.sql(STEP, rows=rows, params=params))
+        params = checkpointed(spark.sql(STEP, rows=rows, params=sent(params)))
     enough = spark.sql(f"SELECT grp AS big FROM {{rows}} WHERE NOT base_failed GROUP BY grp HAVING count(*) >= {LEAST}", rows=rows)
-    judged = spark.sql(DISTANCE, rows=rows, params=params.join(enough, F.col("par_grp") == F.col("big"), "left_semi"))
+    judged = spark.sql(DISTANCE, rows=rows, params=sent(params.join(enough, F.col("par_grp") == F.col("big"), "left_semi")))
     return judged.select(
         F.col("__cv_id").alias(id_col),
         *[F.col(f"__cv{i}").alias(c) for i, c in enumerate(carry)],
