@@ -77,7 +77,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text_index: int = 1, limit: int =
             yield batch.slice(start), texts[start:]
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None], schema: str, text_index: int = 1) -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None], schema: str, text_index: int = 1, limit: int = PIECE_BYTES) -> DataFrame:
     """mapInArrow over pieces: fn sees a slice of the batch and its texts and returns a batch, or None.
 
     Batches hold at most 1000 rows, so that a run of very long texts does not fill a task's memory at once.
@@ -87,7 +87,7 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.Reco
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, text_index):
+        for batch, texts in pieces(batches, text_index, limit):
             out = fn(batch, texts)
             if out is not None and out.num_rows:
                 yield out

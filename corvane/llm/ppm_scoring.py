@@ -27,6 +27,8 @@ ORDER = 5
 #: Bytes that UTF-8 never has stand for what is before a text and for its end.
 BEFORE, END = 0xFE, 0xFF
 NODE_SHARE = 1 << 20
+#: Bytes of text whose strings a task sorts at once.
+STRING_PIECE = 1 << 20
 
 
 def coded(text: bytes) -> bytes:
@@ -179,7 +181,7 @@ def train_trie(rows: DataFrame) -> Trie:
         keys, n = np.unique(strings_of(texts)[0], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["k", "n"])
 
-    every = checkpointed(map_texts(rows, count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")))
+    every = checkpointed(map_texts(rows, count, "k long, n long", limit=STRING_PIECE).groupBy("k").agg(F.sum("n").alias("n")))
     total = every.agg(F.sum("n").alias("n")).first()["n"] or 0
     least = max(1, total // NODE_SHARE)
     strings, kept = [], []  # those that reach the level: at most 2**20 an order
@@ -310,7 +312,7 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([len(t.split()) + 1 for t in texts], pa.int64()), pa.array(made[0].texts(texts), pa.float64())], names=["__cv_key", "__cv_train", "__cv_id", "n_tokens", "score"])
 
     kind = keyed.schema["__cv_id"].dataType.simpleString()
-    scored = map_texts(keyed, score, f"__cv_key long, __cv_train boolean, __cv_id {kind}, n_tokens long, score double")
+    scored = map_texts(keyed, score, f"__cv_key long, __cv_train boolean, __cv_id {kind}, n_tokens long, score double", limit=STRING_PIECE)
     each = F.log10(F.lit(n + 0.1 * (v + 1)))
     return scored.join(texts, F.col("__cv_key") == F.col("__cv_found")).select(
         F.col("__cv_id").alias(id_col),
