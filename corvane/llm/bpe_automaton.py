@@ -235,6 +235,11 @@ class Codec:
                 labels.append(got[1])
         return b"".join(ids), " ".join(labels)
 
+    def forget(self) -> None:
+        """Empties the tables that grow with the texts."""
+        self.words, self.older = {}, {}
+        self.automaton.arcs.clear()
+
     def decode(self, ids: bytes) -> str:
         return " ".join([self.names[i] for i in memoryview(ids).cast("I")])
 
@@ -264,8 +269,11 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             names=["__cv_id", *[f"__cv{i}" for i in range(len(carry))], "ids", "decoded"],
         )
 
+    def done() -> None:
+        codec(spec.value).forget()
+
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = map_texts(rows, encode, ", ".join([f"__cv_id {kinds['__cv_id']}", *[f"__cv{i} {kinds[f'__cv{i}']}" for i in range(len(carry))], "ids binary", "decoded string"]))
+    out = map_texts(rows, encode, ", ".join([f"__cv_id {kinds['__cv_id']}", *[f"__cv{i} {kinds[f'__cv{i}']}" for i in range(len(carry))], "ids binary", "decoded string"]), after=done)
     return out.select(F.col("__cv_id").alias(id_col), *[F.col(f"__cv{i}").alias(c) for i, c in enumerate(carry)], "ids", "decoded")
 
 

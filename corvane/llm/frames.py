@@ -77,10 +77,10 @@ def pieces(batches: Iterator[pa.RecordBatch], text_index: int = 1, limit: int =
             yield batch.slice(start), texts[start:]
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None], schema: str, text_index: int = 1, limit: int = PIECE_BYTES) -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None], schema: str, text_index: int = 1, limit: int = PIECE_BYTES, after: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow over pieces: fn sees a slice of the batch and its texts and returns a batch, or None.
 
-    Batches hold at most 1000 rows, so that a run of very long texts does not fill a task's memory at once.
+    `after` is called when a task has seen its last piece. Batches hold at most 1000 rows, so that a run of very long texts does not fill a task's memory at once.
     """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
@@ -91,6 +91,8 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.Reco
             out = fn(batch, texts)
             if out is not None and out.num_rows:
                 yield out
+        if after is not None:
+            after()
 
     return df.mapInArrow(run, schema)
 
