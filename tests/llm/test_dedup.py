@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import words_of
+from samples import words_of
 
 from corvane.llm import bagminhash as bag
 from corvane.llm.components import connected_components

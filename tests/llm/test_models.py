@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import crc, words_of
+from samples import crc, words_of
 from pyspark.sql import functions as F
 
 from corvane.llm import ppm_scoring as ppm
