@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.SQL,
     "op2_substring_dedup": substring_dedup.SQL,
+    "op6_source_mixing": source_mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }

@@ -73,7 +73,9 @@ def allot(leaves: dict[tuple[str, str, str], int], budget: int, weights: dict[st
 
 
 def default_domain(source_col: str) -> Column:
-    return F.element_at(F.array(*map(F.lit, DOMAINS)), (F.crc32(F.coalesce(F.col(source_col).cast("string"), F.lit("")).cast("binary")) % len(DOMAINS) + 1).cast("int"))
+    """One of DOMAINS by a hash of the source, where a corpus has no domains of its own."""
+    place = F.conv(F.substring(F.md5(F.coalesce(F.col(source_col).cast("string"), F.lit("")).cast("binary")), 1, 4), 16, 10).cast("int") % len(DOMAINS)
+    return F.element_at(F.array(*map(F.lit, DOMAINS)), place + 1)
 
 
 def mix_sources(
@@ -146,3 +148,43 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 def op6_source_mixing(spark, sf_dir: str) -> DataFrame:
     got = mix_sources(documents(spark, sf_dir))
     return got.select("doc_id", F.col("__cv_domain").alias("domain"), F.col("__cv_tokens").alias("n_tokens"), F.col("__cv_budget").alias("leaf_budget"), F.col("__cv_copies").alias("copies"))
+
+
+def _level(source: str, parent: str, name: str, weight: str) -> str:
+    """SQL of one level: each child's share of its parent's budget `b`; needs `cap` and the columns named.
+
+    Weights are tenths as integers, so that shares are compared without rounding; 60 is divisible by all of them.
+    A child is full if it and all that fill up sooner have no more than their share of what is left then.
+    """
+    return f"""
+SELECT * EXCLUDE (full1, below, w_left, early, spare, w_open, part, rest, nth), CASE WHEN full1 THEN cap ELSE part + CASE WHEN nth <= rest THEN 1 ELSE 0 END END AS share FROM (
+  SELECT *, CAST(spare - sum(CASE WHEN full1 THEN 0 ELSE part END) OVER (PARTITION BY {parent}) AS HUGEINT) AS rest, row_number() OVER (PARTITION BY {parent}, full1 ORDER BY (spare * w) % w_open DESC, {name}) AS nth FROM (
+    SELECT *, CASE WHEN full1 THEN 0 ELSE (spare * w) // w_open END AS part FROM (
+      SELECT *, CAST(b0 - sum(CASE WHEN full1 THEN cap ELSE 0 END) OVER (PARTITION BY {parent}) AS HUGEINT) AS spare, CAST(greatest(1, sum(CASE WHEN full1 THEN 0 ELSE w END) OVER (PARTITION BY {parent})) AS HUGEINT) AS w_open FROM (
+        SELECT *, bool_and(early) OVER (PARTITION BY {parent} ORDER BY cap * 60 // w, {name} ROWS UNBOUNDED PRECEDING) AS full1 FROM (
+          SELECT *, cap * w_left <= (b0 - below) * w AS early FROM (
+            SELECT *, CAST(least(b, sum(cap) OVER (PARTITION BY {parent})) AS HUGEINT) AS b0, CAST(coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY cap * 60 // w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS HUGEINT) AS below,
+              CAST(sum(w) OVER (PARTITION BY {parent} ORDER BY cap * 60 // w, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS HUGEINT) AS w_left
+            FROM (SELECT *, CAST({weight} AS HUGEINT) AS w FROM {source})))))))"""
+
+
+def _weights(column: str, level: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '={n}' THEN {int(Fraction(str(w)) * 10)}" for n, w in WEIGHTS[level].items()) + " ELSE 10 END" if WEIGHTS[level] else "10"
+
+
+SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS i, '=' || [{", ".join(f"'{x}'" for x in DOMAINS)}][CAST('0x' || substr(md5(coalesce(source, '')), 1, 4) AS INT) % {len(DOMAINS)} + 1] AS d, coalesce('=' || lang, '') AS l, coalesce('=' || source, '') AS s,
+  CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS HUGEINT) AS n FROM documents),
+leaf AS (SELECT d, l, s, CAST(sum(n) AS HUGEINT) AS a, CAST(sum(n) * 4 AS HUGEINT) AS cap FROM t GROUP BY ALL),
+dom AS (SELECT d, CAST(sum(cap) AS HUGEINT) AS cap, (SELECT CAST(sum(a) AS HUGEINT) * 6 // 10 FROM leaf) AS b, 0 AS top FROM leaf GROUP BY d),
+dom_share AS ({_level("dom", "top", "d", _weights("d", "domain"))}),
+lan AS (SELECT leaf.d, l, CAST(sum(leaf.cap) AS HUGEINT) AS cap, CAST(any_value(share) AS HUGEINT) AS b FROM leaf JOIN dom_share ON leaf.d = dom_share.d GROUP BY leaf.d, l),
+lan_share AS ({_level("lan", "d", "l", _weights("l", "lang"))}),
+src AS (SELECT leaf.d, leaf.l, s, a, leaf.cap, CAST(share AS HUGEINT) AS b FROM leaf JOIN lan_share ON leaf.d = lan_share.d AND leaf.l = lan_share.l),
+src_share AS ({_level("src", "d, l", "s", _weights("s", "source"))}),
+plan AS (SELECT d, l, s, CAST(share AS BIGINT) AS share, CASE WHEN a = 0 THEN 0 ELSE CAST(share AS HUGEINT) // a END AS whole, CASE WHEN a = 0 THEN 0 ELSE CAST(share AS HUGEINT) % a END AS rest, a FROM src_share),
+placed AS (SELECT t.*, share, whole, rest, a, md5('17:' || CAST(whole AS VARCHAR) || ':' || i) AS h FROM t JOIN plan ON t.d = plan.d AND t.l = plan.l AND t.s = plan.s)
+SELECT doc_id, substr(d, 2) AS domain, CAST(n AS BIGINT) AS n_tokens, share AS leaf_budget,
+  CAST(whole + CASE WHEN a > 0 AND sum(n) OVER (PARTITION BY d, l, s ORDER BY h RANGE UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM placed
+"""
