@@ -261,6 +261,13 @@ def build_knowledge(root_path: str, scan_files: DataFrame, parsed_files: DataFra
         relations = relations.unionByName(p)
     relations = checkpointed(relations.dropDuplicates(["id"]))
 
+    every = spark.createDataFrame([(repository_id,)], "id string")
+    for table in (project_nodes, folder_nodes, file_nodes, symbol_nodes):
+        every = every.unionAll(table.select("id"))
+    refuse(every.groupBy("id").count().where("count > 1"), KnowledgeInputError, "DUPLICATE_NODE_ID", "Duplicate knowledge node ID", "id")
+    known = every.select(F.col("id").alias("__n"))
+    ends = relations.select("id", F.explode(F.array("source_node_id", "target_node_id")).alias("end"))
+    refuse(ends.join(known, F.col("end") == F.col("__n"), "left_anti"), KnowledgeInputError, "MISSING_RELATION_NODE", "Relation references a missing node", "id")
     name = posixpath.basename(root)
     # the repository's own node lists all top-level members: as many as it has, in one row, as its contract says
     repository = spark.createDataFrame([(repository_id, "repository", name, root, root)], "id string, kind string, name string, qualified_name string, root_path string")

@@ -181,6 +181,17 @@ def test_exploration(spark):
     assert explore.adjacency(g.relations).count() == 4
 
 
+def test_drawn_elements(spark):
+    nodes = spark.createDataFrame([("a", "file", "a-very-long-file-name-that-does-not-fit.ts"), ("b", "odd", "b")], "id string, kind string, label string")
+    edges = spark.createDataFrame([(str(i), "depends-on", "a", "b") for i in range(4)] + [("l", "depends-on", "b", "b")], "id string, kind string, source_node_id string, target_node_id string")
+    got = {r["id"]: r for r in explore.node_elements(nodes, edges).collect()}
+    assert (got["a"]["size"], got["a"]["font_size"], got["a"]["color"], got["a"]["display_label"]) == (50, 8, "#315f85", "a-very-long-file-…")
+    assert (got["b"]["connection_count"], got["b"]["color"], got["b"]["display_label"]) == (5, "#71717a", "b")
+    places = explore.separated([("a", 0.0, 0.0, 10.0), ("b", 0.0, 0.0, 10.0), ("c", 500.0, 0.0, 5.0)])
+    (ax, ay), (bx, by) = places["a"], places["b"]
+    assert abs(((ax - bx) ** 2 + (ay - by) ** 2) ** 0.5 - 30) < 1e-6 and places["c"] == (500.0, 0.0)
+
+
 SOURCE = "\n".join(f"line {i}" for i in range(1, 121))
 
 
