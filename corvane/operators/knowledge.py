@@ -93,13 +93,14 @@ def public_exports(resolved_exports: DataFrame, symbols: DataFrame) -> DataFrame
 def group_dependencies(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """Edges between different groups, rolled up: sorted ids, their number, and how many are type-only.
 
-    `edges`: id, source, target, type_only; `membership`: member, grp (null or absent: in no group).
+    `edges`: id (each once, as dependency_edges gives them), source, target, type_only; `membership`: member, grp
+    (null or absent: in no group). One partial aggregate: distinct ids need no second shuffle.
     """
     own = membership.where("grp IS NOT NULL")
     pairs = edges.join(own.select(F.col("member").alias("__s"), F.col("grp").alias("source_group")), F.col("source") == F.col("__s")).join(own.select(F.col("member").alias("__t"), F.col("grp").alias("target_group")), F.col("target") == F.col("__t"))
     return (
         pairs.where("source_group <> target_group").groupBy("source_group", "target_group")
-        .agg(F.array_sort(F.collect_set("id")).alias("dependency_ids"), F.count_distinct("id").cast("int").alias("dependency_count"), F.count_if("type_only").cast("int").alias("type_only_dependency_count"))
+        .agg(F.array_sort(F.collect_list("id")).alias("dependency_ids"), F.count(F.lit(1)).cast("int").alias("dependency_count"), F.count_if("type_only").cast("int").alias("type_only_dependency_count"))
     )
 
 

@@ -241,7 +241,9 @@ def _circular(exports: DataFrame, pending: DataFrame, done: DataFrame, calls: Da
 
 def dependency_edges(edges: DataFrame) -> DataFrame:
     """Distinct edges with their ids; needs source_file_id, target_file_id, kind, source_specifier, type_only."""
-    return edges.select(nul_id("dependency", F.col("source_file_id"), F.col("target_file_id"), F.col("kind"), F.col("source_specifier"), F.col("type_only")).alias("id"), "source_file_id", "target_file_id", "source_specifier", "kind", "type_only").distinct()
+    parts = ["source_file_id", "target_file_id", "source_specifier", "kind", "type_only"]
+    # distinct first: ids are made of, and shuffled with, the distinct rows only
+    return edges.select(*parts).distinct().select(nul_id("dependency", *map(F.col, ("source_file_id", "target_file_id", "kind", "source_specifier", "type_only"))).alias("id"), *parts)
 
 
 def external_groups(references: DataFrame) -> DataFrame:

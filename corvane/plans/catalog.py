@@ -210,7 +210,7 @@ def external_dependencies(spark, d):
 @query("SELECT DISTINCT sha256('binding' || chr(0) || l_orderkey || chr(0) || p_brand) AS id, l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate < TIMESTAMP '1997-01-01'")
 def symbol_bindings(spark, d):
     rows = t(spark, d, "lineitem").where("l_shipdate < TIMESTAMP '1997-01-01'").select("l_orderkey", "l_partkey").join(t(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select(nul_id("binding", F.col("l_orderkey"), F.col("p_brand")).alias("id"), "l_orderkey", "p_brand").distinct()
+    return rows.select("l_orderkey", "p_brand").distinct().select(nul_id("binding", F.col("l_orderkey"), F.col("p_brand")).alias("id"), "l_orderkey", "p_brand")
 
 
 @query(f"WITH {_EDGES} SELECT node, CAST(sum(i) AS BIGINT) AS incoming, CAST(sum(o) AS BIGINT) AS outgoing FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT tgt, 1, 0 FROM e) GROUP BY node")
