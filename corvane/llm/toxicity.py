@@ -110,7 +110,7 @@ def select_features(pos: list[bytes], unl: list[bytes], prior: float, most: int)
         count.append(n)
     p, u = count[0] / max(1, len(pos)), (count[1] + 1) / max(1, len(unl))
     z = (p - u) / np.sqrt(u / max(1, len(pos)) + u / max(1, len(unl)))
-    strong = np.flatnonzero((count[0] >= 4) & (p >= 0.005) & (p > 0.5 * u / prior) & (z > 5))
+    strong = np.flatnonzero((count[0] >= 4) & (p >= 0.005) & (p > 0.5 * u / prior) & (z > 8))
     strong = np.sort(strong[np.argsort(-z[strong], kind="stable")[:most]])
     return strong, np.log(p[strong] / u[strong])
 
