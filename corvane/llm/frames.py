@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task holds as one piece of numpy work. One longer text makes a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -77,6 +78,14 @@ def pieces(batches: Iterator[pa.RecordBatch], text_index: int = 1, limit: int =
             yield batch.slice(start), texts[start:]
 
 
+def give_back() -> None:
+    """Hands the memory that a task's arrays have left free back to the system, where the C library can."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None], schema: str, text_index: int = 1, limit: int = PIECE_BYTES, after: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow over pieces: fn sees a slice of the batch and its texts and returns a batch, or None.
 
@@ -93,6 +102,7 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.Reco
                 yield out
         if after is not None:
             after()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
