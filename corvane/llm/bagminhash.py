@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` that near_duplicates keeps, one of each class, with all their columns.
 
-    Kept rows are found by id and word sequence, so an id may stand on several rows.
+    Kept rows are found by id and number of words, so an id may stand on rows of different classes.
     """
     kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__cv_kept"), F.col("n_words").alias("__cv_words"))
     trimmed = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
