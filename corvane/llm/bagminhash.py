@@ -8,7 +8,7 @@ components, which keeps its earliest point; a shingle's process ends when it is
 Two bags agree in a component with the probability of their weighted Jaccard similarity.
 
 Equal word sequences collapse first. Signatures are banded; within a bucket the tree of the most similar
-signatures and each member's nearest neighbours give the candidate pairs, which are verified by exact bag
+signatures and each member's nearest neighbours (eight, where none is near for certain) give the candidate pairs, which are verified by exact bag
 overlap; verified links make the classes. Buckets beyond a block's size are dealt anew by further bands, by a
 random deal and to their leader, so no task holds more than a block and no bucket emits all its pairs.
 """
@@ -32,6 +32,8 @@ SIZE = BANDS * ROWS
 BLOCK = 512
 #: Candidates whose estimate lies more than 3.7 standard errors below the similarity are not verified.
 MARGIN = 0.15
+#: A member whose nearest one's estimate is this great is linked to it for certain; others offer more neighbours.
+CLEAR, UNSURE = 0.92, 8
 
 
 def bags(texts: list[bytes], size: int = SHINGLE) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +104,7 @@ def _signed(batch: pa.RecordBatch, texts: list[bytes], size: int) -> pa.RecordBa
 
 
 def _pick(rows: pa.Table) -> pa.Table:
-    """Candidate pairs of one block: the tree of greatest estimates, and each member's two nearest."""
+    """Candidate pairs of one block: the tree of greatest estimates, each member's nearest, and more of unsure ones."""
     nodes = np.asarray(rows.column("node"), dtype=np.int64)
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(len(nodes), SIZE)
     nodes, at = np.unique(nodes, return_index=True)
@@ -121,8 +123,10 @@ def _pick(rows: pa.Table) -> pa.Table:
         out[j] = False
         closer = out & (near[j] > best)
         best[closer], link[closer] = near[j][closer], j
-    for j in np.argsort(-near, axis=1, kind="stable")[:, :2].T:
-        pairs += zip(range(n), j.tolist(), strict=True)
+    unsure = near.max(axis=1) < CLEAR
+    for k, j in enumerate(np.argsort(-near, axis=1, kind="stable")[:, :UNSURE].T):
+        who = np.arange(n) if k == 0 else np.flatnonzero(unsure)
+        pairs += zip(who.tolist(), j[who].tolist(), strict=True)
     level = SIMILARITY - MARGIN
     chosen = sorted({(min(i, j), max(i, j)) for i, j in pairs if i != j and near[i, j] >= level})
     return pa.table({"a": pa.array(nodes[[i for i, _ in chosen]], pa.int64()), "b": pa.array(nodes[[j for _, j in chosen]], pa.int64())})
