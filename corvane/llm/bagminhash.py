@@ -172,8 +172,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are `[^\\x20\\x09-\\x0D]+`. Two texts are linked if the weighted Jaccard similarity of their bags
     of `size`-word shingles is `similarity` or more; classes are the links' connected components, and of each
     the row with the least id is kept. A text of 1 to size - 1 words is one shingle. Every link is verified
-    exactly; a pair at the similarity shares no band, and so may be missed, with a chance of 3 in a million,
-    and fewer the more similar it is.
+    exactly. A pair at the similarity shares no band, and so may be missed, with a chance of 3 in a million, and
+    fewer the more similar it is; in blocks of hundreds of texts, a link may go unseen if eight others seem
+    nearer to both its ends and no path of seen links joins them.
 
     Null and empty texts have no shingle: each is a class of its own and kept. A null id never is the
     class's id while another is there. Of repeated rows with the least id one is kept. An empty table gives
