@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.frames import documents
+from corvane.llm.frames import checkpointed, documents
 
 #: log2 of a sketch's registers: 1.04 / sqrt(2**12) is a standard error of 1.6 %.
 LG_K = 12
 #: Estimates within this share of the threshold count as near: six standard errors.
 NEAR = 0.1
+#: Wide lines (16 bytes each) that are sent to all tasks.
+MOST_SENT = 200_000
 
 
 def _lines(docs: DataFrame, key_cols: list, text_col: str, site_col: str) -> DataFrame:
@@ -47,8 +49,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     key = [F.xxhash64(F.col(text_col)).alias("__cv_key"), F.xxhash64(F.lit(1), F.col(text_col)).alias("__cv_key2")]
     lines = _lines(docs, key, text_col, site_col)
-    wide = wide_lines(lines, threshold)
-    hits = lines.join(wide, F.col("__cv_hash") == F.col("__cv_wide"), "left_semi")
+    wide = checkpointed(wide_lines(lines, threshold))
+    # a few MB of hashes go to all tasks, so that a line on a third of all pages is dealt to none; beyond that a shuffle
+    sent = F.broadcast(wide) if wide.count() <= MOST_SENT else wide
+    hits = lines.join(sent, F.col("__cv_hash") == F.col("__cv_wide"), "left_semi")
     # equal texts lose the same lines: one set of line numbers for each text, however many copies it has
     removed = hits.groupBy("__cv_key", "__cv_key2").agg(F.collect_set("__cv_no").alias("__cv_gone")).select(F.col("__cv_key").alias("__cv_k"), F.col("__cv_key2").alias("__cv_k2"), "__cv_gone")
     rows = docs.select(F.col(id_col).alias("__cv_id"), F.col(text_col).alias("__cv_text"), *key)
