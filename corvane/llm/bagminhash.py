@@ -8,8 +8,8 @@ components, which keeps its earliest point; a shingle's process ends when it is
 Two bags agree in a component with the probability of their weighted Jaccard similarity.
 
 Equal word sequences collapse first. Signatures are banded; within a bucket the tree of the most similar
-signatures and each member's nearest neighbours (eight, where none is near for certain) give the candidate pairs, which are verified by exact bag
-overlap; verified links make the classes. Buckets beyond a block's size are dealt anew by further bands, by a
+signatures and each member's nearest neighbours (three, where none is near for certain) give the candidate pairs, which are verified by exact bag
+overlap; verified links make the classes. Buckets beyond a block's size are dealt anew by a further band, by a
 random deal and to their leader, so no task holds more than a block and no bucket emits all its pairs.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.components import connected_components
-from corvane.llm.frames import checkpointed, documents, map_texts
+from corvane.llm.frames import checkpointed, documents, join_counted, map_texts
 from corvane.llm.hashing import U, Words, mix, stretch_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -33,7 +33,7 @@ BLOCK = 512
 #: Candidates whose estimate lies more than 3.7 standard errors below the similarity are not verified.
 MARGIN = 0.15
 #: A member whose nearest one's estimate is this great is linked to it for certain; others offer more neighbours.
-CLEAR, UNSURE = 0.92, 8
+CLEAR, UNSURE = 0.92, 3
 
 
 def bags(texts: list[bytes], size: int = SHINGLE) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -134,8 +134,9 @@ def _pick(rows: pa.Table) -> pa.Table:
 
 def _blocked(members: DataFrame, key: str) -> DataFrame:
     """Members with `block`: their key, dealt at random where a key has more than BLOCK members."""
-    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").withColumnRenamed(key, "__k")
-    return members.join(sizes, F.col(key) == F.col("__k")).withColumn("block", F.xxhash64(F.col(key), F.pmod(F.xxhash64("node", key), F.ceil(F.col("__n") / BLOCK)))).drop("__k")
+    members = checkpointed(members)
+    sizes = checkpointed(members.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").withColumnRenamed(key, "__k"))
+    return join_counted(members, sizes, key, "__k", "__n").withColumn("block", F.xxhash64(F.col(key), F.pmod(F.xxhash64("node", key), F.ceil(F.col("__n") / BLOCK)))).drop("__k")
 
 
 def candidate_pairs(signed: DataFrame) -> DataFrame:
@@ -143,12 +144,12 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
     reps = checkpointed(signed.where("node IS NOT NULL").groupBy("node", "sig", "bands").agg(F.count(F.lit(1)).alias("n")).select("node", "sig", "bands"))
     rows = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1").withColumnRenamed("bucket", "full")
-    members = checkpointed(rows.join(sizes, F.col("bucket") == F.col("full")).select("node", "band", "bucket", "n", "leader"))
+    members = checkpointed(join_counted(rows, checkpointed(sizes), "bucket", "full", "n").select("node", "band", "bucket", "n", "leader"))
     mine = reps.select(F.col("node").alias("who"), "sig", "bands")
     usual = members.where(F.col("n") <= BLOCK).select("node", F.col("bucket").alias("block"))
-    # a large bucket: by three further bands, and at random; where a further band has too many, at random within it
+    # a large bucket: by a further band, and at random; where a further band has too many, at random within it
     large = members.where(F.col("n") > BLOCK).join(mine.select("who", "bands"), F.col("node") == F.col("who"))
-    further = F.array(*[F.xxhash64("bucket", F.get("bands", (F.col("band") + step) % BANDS)) for step in (5, 11, 17)], F.xxhash64("bucket"))
+    further = F.array(F.xxhash64("bucket", F.get("bands", (F.col("band") + 5) % BANDS)), F.xxhash64("bucket"))
     dealt = _blocked(large.select("node", F.explode(further).alias("part")), "part").select("node", "block")
     blocks = usual.unionByName(dealt).join(mine.select("who", "sig"), F.col("node") == F.col("who")).select("node", "block", "sig")
     pairs = blocks.groupBy("block").applyInArrow(_pick, "a long, b long")
@@ -173,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of `size`-word shingles is `similarity` or more; classes are the links' connected components, and of each
     the row with the least id is kept. A text of 1 to size - 1 words is one shingle. Every link is verified
     exactly. A pair at the similarity shares no band, and so may be missed, with a chance of 3 in a million, and
-    fewer the more similar it is; in blocks of hundreds of texts, a link may go unseen if eight others seem
+    fewer the more similar it is; in blocks of hundreds of texts, a link may go unseen if three others seem
     nearer to both its ends and no path of seen links joins them.
 
     Null and empty texts have no shingle: each is a class of its own and kept. A null id never is the
@@ -197,10 +198,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     roots = connected_components(map_texts(sides, verify, "a long, b long"))
     counted = signed.groupBy("__cv_id", "n_words", "node").agg(F.count(F.lit(1)).alias("copies"))
-    placed = counted.where("node IS NOT NULL").join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("__cv_id", "n_words", "node", "copies", F.coalesce("root", "node").alias("root"))
+    placed = checkpointed(counted.where("node IS NOT NULL").join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("__cv_id", "n_words", "node", "copies", F.coalesce("root", "node").alias("root")))
     least = F.min(F.struct(F.col("__cv_id").isNull().alias("none"), F.col("__cv_id").alias("id"), F.col("node").alias("at")))
-    classes = placed.groupBy("root").agg(least.alias("first"), F.sum("copies").alias("class_size")).withColumnRenamed("root", "__r")
-    known = placed.join(classes, F.col("root") == F.col("__r"))
+    classes = checkpointed(placed.groupBy("root").agg(least.alias("first"), F.sum("copies").alias("class_size")).withColumnRenamed("root", "__r"))
+    known = join_counted(placed, classes, "root", "__r", "class_size")
     alone = counted.where("node IS NULL").withColumns({"first": F.struct(F.col("__cv_id").isNull().alias("none"), F.col("__cv_id").alias("id"), F.col("node").alias("at")), "class_size": F.lit(1).cast("long")})
     columns = ["__cv_id", "n_words", "node", "copies", "first", "class_size"]
     each = known.select(*columns).unionByName(alone.select(*columns)).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("nth"))

@@ -115,3 +115,21 @@ def hash_sample(df: DataFrame, rows: int, total: int, *keys: str) -> DataFrame:
     """
     level = min(1.0, rows / max(total, 1))
     return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(level * (1 << 30))).limit(2 * rows)
+
+
+#: A key with over one in this many of all rows is a hot one; there are fewer of these than this.
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, table_key: str, count: str) -> DataFrame:
+    """Equi-join with a table of one row a key that says how many rows each key has.
+
+    Hot keys (over a thousandth of all rows each, so fewer than a thousand) are sent to all tasks, and their rows
+    stay where they are; the others are dealt out. Both tables are read more than once: checkpoint them first.
+    """
+    total = table.agg(F.sum(count).alias("n")).first()["n"] or 0
+    hot = F.col(count) * HOT_SHARE > F.lit(total)
+    sent = F.broadcast(table.where(hot))
+    on = F.col(key) == F.col(table_key)
+    cold = rows.join(F.broadcast(table.where(hot).select(F.col(table_key).alias("__cv_hot"))), F.col(key) == F.col("__cv_hot"), "left_anti")
+    return rows.join(sent, on).unionByName(cold.join(table.where(~hot), on))
