@@ -7,10 +7,12 @@ bits of its hash. A point counts if its level is within the weight. Each point g
 components, which keeps its earliest point; a shingle's process ends when it is later than all components.
 Two bags agree in a component with the probability of their weighted Jaccard similarity.
 
-Equal word sequences collapse first. Signatures are banded; within a bucket the tree of the most similar
-signatures and each member's nearest neighbours (three, where none is near for certain) give the candidate pairs, which are verified by exact bag
-overlap; verified links make the classes. Buckets beyond a block's size are dealt anew by a further band, by a
-random deal and to their leader, so no task holds more than a block and no bucket emits all its pairs.
+Equal word sequences collapse first. Signatures are banded; candidate pairs are verified by exact bag overlap and
+verified links make the classes. A first round takes, within a bucket, the tree of the most similar signatures and
+each member's nearest neighbours (three, where none is near for certain); buckets beyond a block's size are dealt by
+a further band, at random and to their leader. The second round leaves out no pair: all members of a bucket that are
+outside its greatest class so far meet all of its members in tiles of two blocks, where the exact overlaps are
+counted by an index of the tile's shingles. So no task holds more than a tile and no bucket emits all its pairs.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.components import connected_components
-from corvane.llm.frames import checkpointed, documents, join_counted, map_texts
+from corvane.llm.frames import checkpointed, documents, join_counted, map_texts, pieces
 from corvane.llm.hashing import U, Words, mix, stretch_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 BLOCK = 512
-#: Candidates whose estimate lies more than 3.7 standard errors below the similarity are not verified.
+#: Candidates whose estimate lies more than this below the similarity are not verified.
 MARGIN = 0.15
 #: A member whose nearest one's estimate is this great is linked to it for certain; others offer more neighbours.
 CLEAR, UNSURE = 0.92, 3
@@ -132,6 +134,37 @@ def _pick(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(nodes[[i for i, _ in chosen]], pa.int64()), "b": pa.array(nodes[[j for _, j in chosen]], pa.int64())})
 
 
+def _link_across(rows: pa.Table, size: int, similarity: float) -> pa.Table:
+    """Of one tile: a verified link (a, b) for each two classes that have one, from the exact overlaps of all pairs."""
+    nodes, at = np.unique(rows.column("node").to_numpy(), return_index=True)
+    root = rows.column("root").to_numpy()[at]
+    asking = np.isin(nodes, rows.column("node").to_numpy()[rows.column("asks").to_numpy()])
+    found = []
+    for batch, texts in pieces(rows.select(["t"]).take(at).combine_chunks().to_batches(), 0):
+        found.append((batch.num_rows, *bags(texts, size)[1:]))
+    before = np.cumsum([0, *[f[0] for f in found]])
+    owner, shingle, weight = (np.concatenate([f[i] + (n if i == 1 else 0) for f, n in zip(found, before, strict=False)]) for i in (1, 2, 3))
+    every = np.bincount(owner, weight, minlength=len(nodes)).astype(np.int64)
+    mine = np.searchsorted(owner, np.arange(len(nodes) + 1))
+    _, shingle = np.unique(shingle, return_inverse=True)
+    order = np.argsort(shingle, kind="stable")
+    start = np.searchsorted(shingle[order], np.arange(shingle.max(initial=0) + 2))
+    runs = np.diff(start)
+    holder, held = owner[order], weight[order]
+    links = {}
+    for x in np.flatnonzero(asking):
+        common = np.zeros(len(nodes))
+        own, w = shingle[mine[x] : mine[x + 1]], weight[mine[x] : mine[x + 1]]
+        for part in np.array_split(np.arange(len(own)), runs[own].sum() // (1 << 20) + 1):
+            n = runs[own[part]]
+            entry = np.arange(n.sum()) + np.repeat(start[own[part]] - (np.cumsum(n) - n), n)
+            common += np.bincount(holder[entry], np.minimum(held[entry], np.repeat(w[part], n)), minlength=len(nodes))
+        near = (common / np.maximum(every[x] + every - common, 1) >= similarity) & (root != root[x])
+        for y in np.flatnonzero(near):
+            links.setdefault((min(root[x], root[y]), max(root[x], root[y])), (min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+    return pa.table({"a": pa.array([a for a, _ in links.values()], pa.int64()), "b": pa.array([b for _, b in links.values()], pa.int64())})
+
+
 def _blocked(members: DataFrame, key: str) -> DataFrame:
     """Members with `block`: their key, dealt at random where a key has more than BLOCK members."""
     members = checkpointed(members)
@@ -139,12 +172,16 @@ def _blocked(members: DataFrame, key: str) -> DataFrame:
     return join_counted(members, sizes, key, "__k", "__n").withColumn("block", F.xxhash64(F.col(key), F.pmod(F.xxhash64("node", key), F.ceil(F.col("__n") / BLOCK)))).drop("__k")
 
 
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) of nodes, from rows with node, sig and bands."""
+def bucket_members(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct nodes with sig and bands, and their places in buckets of two and more; from rows with node, sig and bands."""
     reps = checkpointed(signed.where("node IS NOT NULL").groupBy("node", "sig", "bands").agg(F.count(F.lit(1)).alias("n")).select("node", "sig", "bands"))
     rows = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1").withColumnRenamed("bucket", "full")
-    members = checkpointed(join_counted(rows, checkpointed(sizes), "bucket", "full", "n").select("node", "band", "bucket", "n", "leader"))
+    return reps, checkpointed(join_counted(rows, checkpointed(sizes), "bucket", "full", "n").select("node", "band", "bucket", "n", "leader"))
+
+
+def first_pairs(reps: DataFrame, members: DataFrame) -> DataFrame:
+    """Distinct candidate pairs (a, b) of the first round: enough to join most classes, not all there are."""
     mine = reps.select(F.col("node").alias("who"), "sig", "bands")
     usual = members.where(F.col("n") <= BLOCK).select("node", F.col("bucket").alias("block"))
     # a large bucket: by a further band, and at random; where a further band has too many, at random within it
@@ -157,6 +194,22 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
     return pairs.unionByName(led).distinct()
 
 
+def tiles_across(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, root, asks, block: any two members of a bucket whose classes by `roots` (node, root) differ meet in a block, and one asks."""
+    # a bucket of two had its pair in the first round
+    placed = members.where(F.col("n").between(3, BLOCK)).join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
+    placed = checkpointed(placed.select("node", "bucket", F.coalesce("root", "node").alias("root")))
+    classes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col("bucket").alias("full"))
+    split = classes.agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("rest")).where("rest > 0")
+    rows = join_counted(placed, checkpointed(split), "bucket", "full", "n")
+    # of two classes one at least is not the greatest: its members ask, and all answer
+    across, down = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("rest") / BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    answer = rows.select("node", "root", "bucket", F.lit(False).alias("asks"), F.pmod(F.xxhash64("node", "bucket"), across).alias("i"), every(down).alias("j"))
+    ask = rows.where("root <> main").select("node", "root", "bucket", F.lit(True).alias("asks"), F.pmod(F.xxhash64("bucket", "node"), down).alias("j"), every(across).alias("i"))
+    return answer.unionByName(ask).select("node", "root", "asks", F.xxhash64("bucket", "i", "j").alias("block"))
+
+
 def overlap(a: bytes, b: bytes, size: int = SHINGLE) -> float:
     """Weighted Jaccard similarity of two texts' bags of shingles."""
     _, text, shingle, weight = bags([a, b], size)
@@ -173,9 +226,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are `[^\\x20\\x09-\\x0D]+`. Two texts are linked if the weighted Jaccard similarity of their bags
     of `size`-word shingles is `similarity` or more; classes are the links' connected components, and of each
     the row with the least id is kept. A text of 1 to size - 1 words is one shingle. Every link is verified
-    exactly. A pair at the similarity shares no band, and so may be missed, with a chance of 3 in a million, and
-    fewer the more similar it is; in blocks of hundreds of texts, a link may go unseen if three others seem
-    nearer to both its ends and no path of seen links joins them.
+    exactly, and every pair that shares a band is linked by a path or verified, in buckets up to BLOCK (in a
+    bucket of two, if its estimate is within MARGIN). A pair at the similarity shares no band, and so may be
+    missed, with a chance of 3 in a million, and fewer the more similar it is.
 
     Null and empty texts have no shingle: each is a class of its own and kept. A null id never is the
     class's id while another is there. Of repeated rows with the least id one is kept. An empty table gives
@@ -184,19 +237,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("__cv_id"), F.col(text_col).alias("__cv_text"), F.xxhash64(F.col(text_col)).alias("text_key"))
     kind = rows.schema["__cv_id"].dataType.simpleString()
     signed = checkpointed(map_texts(rows, lambda b, t: _signed(b, t, size), f"__cv_id {kind}, text_key long, n_words long, node long, sig binary, bands array<long>"))
-    pairs = checkpointed(candidate_pairs(signed))
-    # the texts of the nodes in some pair, each once
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    keys = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("text_key").alias("key")).join(wanted, F.col("node") == F.col("w"), "left_semi")
-    one = rows.select(F.col("text_key").alias("k"), F.col("__cv_text").alias("t")).join(keys, F.col("k") == F.col("key")).dropDuplicates(["k", "node"]).select("node", "t")
-    sides = pairs.join(one.select(F.col("node").alias("na"), F.col("t").alias("ta")), F.col("a") == F.col("na")).select("a", "b", "ta").join(one.select(F.col("node").alias("nb"), F.col("t").alias("tb")), F.col("b") == F.col("nb")).select("a", "ta", "b", "tb")
+    reps, members = bucket_members(signed)
 
     def verify(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         other = batch.column(3).cast(pa.binary()).to_pylist()
         near = pa.array([overlap(x, y, size) >= similarity for x, y in zip(texts, other, strict=True)], pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(near)
 
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        # the texts of the nodes w, each once
+        keys = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("text_key").alias("key")).join(wanted.distinct(), F.col("node") == F.col("w"), "left_semi")
+        return rows.select(F.col("text_key").alias("k"), F.col("__cv_text").alias("t")).join(keys, F.col("k") == F.col("key")).dropDuplicates(["k", "node"]).select("node", "t")
+
+    pairs = checkpointed(first_pairs(reps, members))
+    one = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("w")))
+    sides = pairs.join(one.select(F.col("node").alias("na"), F.col("t").alias("ta")), F.col("a") == F.col("na")).select("a", "b", "ta").join(one.select(F.col("node").alias("nb"), F.col("t").alias("tb")), F.col("b") == F.col("nb")).select("a", "ta", "b", "tb")
     roots = connected_components(map_texts(sides, verify, "a long, b long"))
+    tiles = checkpointed(tiles_across(members, roots))
+    one = texts_of(tiles.select(F.col("node").alias("w"))).withColumnRenamed("node", "who")
+    across = tiles.join(one, F.col("node") == F.col("who")).select("node", "root", "asks", "block", "t")
+    links = checkpointed(across.groupBy("block").applyInArrow(lambda t: _link_across(t, size, similarity), "a long, b long").distinct())
+    if not links.isEmpty():
+        roots = connected_components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     counted = signed.groupBy("__cv_id", "n_words", "node").agg(F.count(F.lit(1)).alias("copies"))
     placed = checkpointed(counted.where("node IS NOT NULL").join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("__cv_id", "n_words", "node", "copies", F.coalesce("root", "node").alias("root")))
     least = F.min(F.struct(F.col("__cv_id").isNull().alias("none"), F.col("__cv_id").alias("id"), F.col("node").alias("at")))

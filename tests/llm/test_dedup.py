@@ -150,6 +150,20 @@ def test_large_buckets_are_dealt_in_blocks(spark, monkeypatch):
     assert sum(r["kept"] for r in got) == 21
 
 
+def class_sizes(rows, df):
+    got = Counter(r["class_id"] for r in df.collect())
+    return sorted(got.values()), sorted(len(c) for c in classes_of(rows))
+
+
+def test_every_cross_pair_of_a_small_block_is_offered(spark):
+    """Two pairs of near copies, joined only by a link that does not seem the nearest."""
+    a = [f"w{i}_8" for i in range(100)]
+    b = ["q1" if i == 20 else "q2" if i == 70 else x for i, x in enumerate(a)]
+    rows = [(0, " ".join(a)), (1, " ".join(["p0", *a[1:]])), (2, " ".join([*b[:-1], "z"])), (3, " ".join(["p0", *b[1:]]))]
+    got, want = class_sizes(rows, bag.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert want == [4] and got == want
+
+
 def test_signatures_estimate_weighted_jaccard():
     texts = [b"a a a a a a a a a b b b c d e", b"a a a a a b b b b b c d f g"]
     words, text, shingle, weight = bag.bags(texts, 1)
