@@ -197,7 +197,7 @@ def first_pairs(reps: DataFrame, members: DataFrame) -> DataFrame:
 def tiles_across(members: DataFrame, roots: DataFrame) -> DataFrame:
     """node, root, asks, block: any two members of a bucket whose classes by `roots` (node, root) differ meet in a block, and one asks."""
     # a bucket of two had its pair in the first round
-    placed = members.where(F.col("n").between(3, BLOCK)).join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
+    placed = members.where("n > 2").join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
     placed = checkpointed(placed.select("node", "bucket", F.coalesce("root", "node").alias("root")))
     classes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col("bucket").alias("full"))
     split = classes.agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("rest")).where("rest > 0")
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are `[^\\x20\\x09-\\x0D]+`. Two texts are linked if the weighted Jaccard similarity of their bags
     of `size`-word shingles is `similarity` or more; classes are the links' connected components, and of each
     the row with the least id is kept. A text of 1 to size - 1 words is one shingle. Every link is verified
-    exactly, and every pair that shares a band is linked by a path or verified, in buckets up to BLOCK (in a
+    exactly, and every pair that shares a band is linked by a path or verified, however large the bucket (in a
     bucket of two, if its estimate is within MARGIN). A pair at the similarity shares no band, and so may be
     missed, with a chance of 3 in a million, and fewer the more similar it is.
 

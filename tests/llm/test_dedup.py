@@ -164,6 +164,21 @@ def test_every_cross_pair_of_a_small_block_is_offered(spark):
     assert want == [4] and got == want
 
 
+def test_large_buckets_are_searched_whole(spark, monkeypatch):
+    """Near copies about the similarity, far more than a block holds: classes equal those of all pairs."""
+    monkeypatch.setattr(bag, "BLOCK", 8)
+    rng = np.random.default_rng(1)
+    texts = set()
+    while len(texts) < 120:
+        words = [f"w{i}" for i in range(100)]
+        for at in rng.choice(100, rng.integers(1, 4), replace=False):
+            words[at] = f"x{rng.integers(4)}"
+        texts.add(" ".join(words))
+    rows = list(enumerate(sorted(texts)))
+    got, want = class_sizes(rows, bag.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == want
+
+
 def test_signatures_estimate_weighted_jaccard():
     texts = [b"a a a a a a a a a b b b c d e", b"a a a a a b b b b b c d f g"]
     words, text, shingle, weight = bag.bags(texts, 1)
