@@ -33,7 +33,7 @@ BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 BLOCK = 512
 #: Candidates whose estimate lies more than this below the similarity are not verified.
-MARGIN = 0.15
+MARGIN = 0.25
 #: A member whose nearest one's estimate is this great is linked to it for certain; others offer more neighbours.
 CLEAR, UNSURE = 0.92, 3
 

@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import pytest
@@ -179,6 +180,12 @@ def test_large_buckets_are_searched_whole(spark, monkeypatch):
     assert got == want
 
 
+def test_margin_misses_fewer_than_bands():
+    least = int(np.ceil((bag.SIMILARITY - bag.MARGIN) * bag.SIZE))
+    below = sum(comb(bag.SIZE, k) * 0.8**k * 0.2 ** (bag.SIZE - k) for k in range(least))
+    assert below < (1 - 0.8**bag.ROWS) ** bag.BANDS
+
+
 def test_signatures_estimate_weighted_jaccard():
     texts = [b"a a a a a a a a a b b b c d e", b"a a a a a b b b b b c d f g"]
     words, text, shingle, weight = bag.bags(texts, 1)
