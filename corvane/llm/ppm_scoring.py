@@ -1,18 +1,18 @@
 """LM scoring by prediction by partial matching, beside a unigram base score.
 
-The model is a trie of byte contexts up to order 5. Its counts come from all training texts: tasks count
-the six-byte strings of their texts, Spark sums them, and shorter contexts follow by summing on. Strings
-that are less than one in 2**20 of the training bytes are left out, so the trie has at most 2**20 strings
-an order however large the corpus is; it is sent to all tasks.
+The model is a trie of byte contexts up to order 5. Its counts come from all training texts, and every string
+counted is kept. Tasks deal the distinct six-byte strings of their texts, with the texts that have them, by the
+three bytes before the last one; so a bucket holds all longer contexts of its strings whole, counts them and scores
+them for its texts. Only strings of three bytes and fewer, at most 2**24 and in text far fewer, are sent to all tasks.
 
 A byte is coded in the longest context known. A context that lacks it escapes (method C: as often as it
-has distinct symbols, and what was left out of it) to the next shorter one, where the symbols already ruled out are excluded from the
-counts. Below order 0 the symbols left are equally likely. Texts are coded as their words, lower-cased,
+has distinct symbols) to the next shorter one, where the symbols already ruled out are excluded from the counts. Below order 0 the symbols left are equally likely. Texts are coded as their words, lower-cased,
 joined by one space, with an end symbol: the events that the base score has too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,10 @@ from corvane.llm.hashing import U, Words, pack_values, packed_runs, unpack_value
 ORDER = 5
 #: Bytes that UTF-8 never has stand for what is before a text and for its end.
 BEFORE, END = 0xFE, 0xFF
-NODE_SHARE = 1 << 20
+#: Strings of orders up to this are sent to all tasks.
+SHARED = 2
+#: Spreads three bytes over 24 bits, and its inverse.
+_SPREAD, _BACK = 0x9E3779, pow(0x9E3779, -1, 1 << 24)
 
 
 def coded(text: bytes) -> bytes:
@@ -59,18 +62,17 @@ class Trie:
 
     @classmethod
     def build(cls, keys: np.ndarray, counts: np.ndarray) -> Trie:
-        """From counts of distinct strings of ORDER + 1 bytes; shorter ones are sums. Rare strings go."""
+        """From counts of distinct strings of ORDER + 1 bytes; shorter ones are sums."""
         order = np.argsort(keys)
         keys, counts = keys[order].astype(U), counts[order].astype(np.int64)
-        least = max(1, int(counts.sum()) // NODE_SHARE)
         strings, kept = [], []
         for k in range(ORDER + 1):
             short = keys & U((1 << 8 * (k + 1)) - 1)
             uniq, back = np.unique(short, return_inverse=True)
             n = np.zeros(len(uniq), dtype=np.int64)
             np.add.at(n, back, counts)
-            strings.append(uniq[n >= least])
-            kept.append(n[n >= least])
+            strings.append(uniq)
+            kept.append(n)
         return cls(strings, kept)
 
 
@@ -172,25 +174,34 @@ def adaptive_log10(text: bytes) -> float:
     return total
 
 
-def train_trie(rows: DataFrame) -> Trie:
-    """The trie of the rows' texts (columns: any, text). Spark sums the strings' counts over all rows."""
+def shared_strings(rows: DataFrame) -> Trie:
+    """The trie up to order SHARED of the rows' texts (columns: any, text). Spark sums the strings' counts over all rows."""
 
     def count(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        keys, n = np.unique(strings_of(texts)[0], return_counts=True)
+        keys, n = np.unique(strings_of(texts)[0] & U((1 << 8 * (SHARED + 1)) - 1), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["k", "n"])
 
-    every = checkpointed(map_texts(rows, count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")))
-    total = every.agg(F.sum("n").alias("n")).first()["n"] or 0
-    least = max(1, total // NODE_SHARE)
-    strings, kept = [], []  # those that reach the level: at most 2**20 an order
-    for k in range(ORDER + 1):
-        mask = (1 << 8 * (k + 1)) - 1
-        got = every.groupBy(F.col("k").bitwiseAND(F.lit(mask)).alias("k")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-        keys, counts = np.asarray(got["k"]), np.asarray(got["n"])
-        order = np.argsort(keys)
-        strings.append(keys[order].astype(U))
-        kept.append(counts[order].astype(np.int64))
-    return Trie(strings, kept)
+    got = map_texts(rows, count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    trie = Trie.build(np.asarray(got["k"], dtype=np.int64).astype(U), np.asarray(got["n"], dtype=np.int64))
+    return Trie(trie.strings[: SHARED + 1], trie.counts[: SHARED + 1])
+
+
+def dealt_form(keys: np.ndarray) -> np.ndarray:
+    """Strings with the three bytes before the last one, spread, on top."""
+    near = ((keys >> U(8)) & U(0xFFFFFF)) * U(_SPREAD) & U(0xFFFFFF)
+    return (near << U(40)) | ((keys >> U(32)) << U(24)) | ((keys & U(0xFF)) << U(16))
+
+
+def string_form(dealt: np.ndarray) -> np.ndarray:
+    near = (dealt >> U(40)) * U(_BACK) & U(0xFFFFFF)
+    return (((dealt >> U(24)) & U(0xFFFF)) << U(32)) | (near << U(8)) | ((dealt >> U(16)) & U(0xFF))
+
+
+def string_weights(dealt: np.ndarray, count: np.ndarray, shared: Trie) -> np.ndarray:
+    """log10 probability of a bucket's strings; `count` is how often each stands in training texts."""
+    keys = string_form(dealt)
+    own = Trie.build(keys[count > 0], count[count > 0])
+    return Scorer(Trie(shared.strings + own.strings[SHARED + 1 :], shared.counts + own.counts[SHARED + 1 :])).log10(keys)
 
 
 #: the hash of the end token, which no word has but by chance
@@ -199,13 +210,39 @@ _ROW = "bucket int, keys binary, hashes binary, trained binary, runs binary, tex
 _PART = "text_group int, keys binary, sums binary, known binary, copies binary, train_tokens long, train_kinds long"
 
 
-def _tokens_of(batch: pa.RecordBatch, texts: list[bytes], buckets: int) -> pa.RecordBatch:
-    """The piece's distinct tokens by bucket: in which texts and how often each stands."""
+def _small(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _whole(data: bytes) -> bytes:
+    return pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _planes(h: np.ndarray) -> bytes:
+    """Rising integers byte by byte, first all first bytes: they compress better so."""
+    return h.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(U).reshape(-1)
+
+
+def _tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of each token."""
     words = Words(texts, lower=True)
+    return np.concatenate([words.hashes, np.full(len(texts), END_HASH)]), np.concatenate([words.text_of(np.arange(len(words))), np.arange(len(texts))])
+
+
+def _strings_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Dealt form and text of each coded byte's string."""
+    keys, ends = strings_of(texts)
+    return dealt_form(keys), np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+
+
+def _dealt(batch: pa.RecordBatch, h: np.ndarray, d: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The piece's distinct tokens (or strings) by bucket: in which texts and how often each stands."""
     keys = np.asarray(batch.column(0), dtype=np.int64)
     train = np.asarray(batch.column(2).to_pylist(), dtype=bool)
-    h = np.concatenate([words.hashes, np.full(len(texts), END_HASH)])
-    d = np.concatenate([words.text_of(np.arange(len(words))), np.arange(len(texts))])
     order = np.argsort(h, kind="stable")
     h, d = h[order], d[order]
     new_hash = np.diff(h, prepend=h[0] + U(1)) != 0
@@ -216,7 +253,7 @@ def _tokens_of(batch: pa.RecordBatch, texts: list[bytes], buckets: int) -> pa.Re
     runs = np.diff(np.append(first, len(h)))
     trained = np.add.reduceat(times * train[d], first)
     h = h[first]
-    deal = ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)  # rises with the hash
+    deal = ((h >> U(40)) * U(buckets) >> U(24)).astype(np.int64)  # rises with the hash
     cuts = np.searchsorted(deal, np.arange(buckets + 1))
     edges = np.append(first, len(d))
     rows = []
@@ -224,7 +261,8 @@ def _tokens_of(batch: pa.RecordBatch, texts: list[bytes], buckets: int) -> pa.Re
         lo, hi = cuts[b], cuts[b + 1]
         if lo < hi:
             part = slice(edges[lo], edges[hi])
-            rows.append((b, keys.tobytes(), h[lo:hi].tobytes(), pack_values(trained[lo:hi]), pack_values(runs[lo:hi]), packed_runs(d[part], runs[lo:hi]), pack_values(times[part])))
+            packed = _planes(h[lo:hi]), pack_values(trained[lo:hi]), pack_values(runs[lo:hi]), packed_runs(d[part], runs[lo:hi]), pack_values(times[part])
+            rows.append((b, keys.tobytes(), *map(_small, packed)))
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 7)]], names=[c.split()[0] for c in _ROW.split(", ")])
 
 
@@ -236,21 +274,21 @@ def _grouped(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, li
     return keys[heads], [np.add.reduceat(v[order], heads) if len(keys) else v for v in values]
 
 
-def _look_up(rows: pa.Table, groups: int) -> pa.Table:
-    """Of one bucket: each token's training count, and from it the texts' sums, packed by groups of texts."""
+def _look_up(rows: pa.Table, groups: int, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.Table:
+    """Of one bucket: each token's training count, and by its weight the texts' sums, packed by groups of texts."""
     col = {name: rows.column(name).to_pylist() for name in rows.column_names if name != "bucket"}
-    hashes = [np.frombuffer(x, dtype=U) for x in col["hashes"]]
+    hashes = [_unplaned(_whole(x)) for x in col["hashes"]]
     every, back = np.unique(np.concatenate(hashes), return_inverse=True)
     count = np.zeros(len(every), dtype=np.int64)
-    np.add.at(count, back, np.concatenate([unpack_values(x) for x in col["trained"]]))
-    weight, known = np.log10(count + 0.1), count > 0
+    np.add.at(count, back, np.concatenate([unpack_values(_whole(x)) for x in col["trained"]]))
+    weight, known = weigh(every, count), count > 0
     parts: list[tuple[np.ndarray, ...]] = []
     start = 0
     for i, h in enumerate(hashes):
-        runs = unpack_values(col["runs"][i])
+        runs = unpack_values(_whole(col["runs"][i]))
         token = np.repeat(back[start : start + len(h)], runs)
         start += len(h)
-        text, times = unpacked_runs(col["texts"][i], runs), unpack_values(col["times"][i])
+        text, times = unpacked_runs(_whole(col["texts"][i]), runs), unpack_values(_whole(col["times"][i]))
         keys = np.frombuffer(col["keys"][i], dtype=np.int64)
         n = len(keys)
         there = np.bincount(text, minlength=n) > 0
@@ -277,13 +315,15 @@ def _add_up(rows: pa.Table) -> pa.Table:
     return pa.table([keys, sums, known, copies], names=["__cv_found", "base_sum", "n_known", "copies"])
 
 
-def base_parts(rows: DataFrame, buckets: int) -> tuple[DataFrame, int, int]:
-    """Per text (row_key): sum of log10(c + 0.1), known tokens, rows with the key; and the corpus's N and V."""
-    dealt = map_texts(rows, lambda batch, texts: _tokens_of(batch, texts, buckets), _ROW)
-    parts = checkpointed(dealt.groupBy("bucket").applyInArrow(lambda t: _look_up(t, buckets), _PART))
-    total = parts.where("text_group < 0").agg(F.sum("train_tokens").alias("n"), F.sum("train_kinds").alias("v")).first()
-    texts = parts.where("text_group >= 0").groupBy("text_group").applyInArrow(_add_up, "__cv_found long, base_sum double, n_known long, copies long")
-    return texts, total["n"] or 0, total["v"] or 0
+def summed_parts(rows: DataFrame, buckets: int, split: Callable, weigh: Callable) -> DataFrame:
+    """Parts, by groups of texts, of the texts' sums of their tokens' weights; and each bucket's training counts (group -1)."""
+    dealt = map_texts(rows, lambda batch, texts: _dealt(batch, *split(texts), buckets), _ROW)
+    return dealt.groupBy("bucket").applyInArrow(lambda t: _look_up(t, buckets, weigh), _PART)
+
+
+def added_up(parts: DataFrame) -> DataFrame:
+    """Per text (row_key): sum of its tokens' weights, known tokens, rows with the key."""
+    return parts.where("text_group >= 0").groupBy("text_group").applyInArrow(_add_up, "__cv_found long, base_sum double, n_known long, copies long")
 
 
 def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,26 +340,28 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
     keyed = docs.select(row_key(id_col, text_col).alias("__cv_key"), F.col(text_col).alias("__cv_text"), (~held_out).alias("__cv_train"), F.col(id_col).alias("__cv_id"))
-    texts, n, v = base_parts(keyed.select("__cv_key", "__cv_text", "__cv_train"), buckets_for(docs, text_col))
-    trie = docs.sparkSession.sparkContext.broadcast(train_trie(keyed.where("__cv_train").select("__cv_key", "__cv_text")))
-    made: list[Scorer] = []
+    pieces = keyed.select("__cv_key", "__cv_text", "__cv_train")
+    parts = checkpointed(summed_parts(pieces, buckets_for(docs, text_col), _tokens_of, lambda _, count: np.log10(count + 0.1)))
+    total = parts.where("text_group < 0").agg(F.sum("train_tokens").alias("n"), F.sum("train_kinds").alias("v")).first()
+    n, v = total["n"] or 0, total["v"] or 0
+    shared = docs.sparkSession.sparkContext.broadcast(shared_strings(keyed.where("__cv_train").select("__cv_key", "__cv_text")))
+    strings = added_up(summed_parts(pieces, buckets_for(docs, text_col, 16 << 20), _strings_in, lambda dealt, count: string_weights(dealt, count, shared.value)))
+    texts = added_up(parts).join(strings.select(F.col("__cv_found").alias("__cv_also"), F.col("base_sum").alias("log_sum")), F.col("__cv_found") == F.col("__cv_also"))
 
-    def score(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        if not made:
-            made.append(Scorer(trie.value))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([len(t.split()) + 1 for t in texts], pa.int64()), pa.array(made[0].texts(texts), pa.float64())], names=["__cv_key", "__cv_train", "__cv_id", "n_tokens", "score"])
+    def count(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([len(t.split()) + 1 for t in texts], pa.int64())], names=["__cv_key", "__cv_train", "__cv_id", "n_tokens"])
 
     kind = keyed.schema["__cv_id"].dataType.simpleString()
-    scored = map_texts(keyed, score, f"__cv_key long, __cv_train boolean, __cv_id {kind}, n_tokens long, score double")
+    counted = map_texts(keyed, count, f"__cv_key long, __cv_train boolean, __cv_id {kind}, n_tokens long")
     each = F.log10(F.lit(n + 0.1 * (v + 1)))
-    return scored.join(texts, F.col("__cv_key") == F.col("__cv_found")).select(
+    return counted.join(texts, F.col("__cv_key") == F.col("__cv_found")).select(
         F.col("__cv_id").alias(id_col),
         (~F.col("__cv_train")).alias("held_out"),
         "n_tokens",
         (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_sum") / F.col("copies") - F.col("n_tokens") * each).alias("base_score"),
-        "score",
+        (F.col("log_sum") / F.col("copies")).alias("score"),
     )
 
 

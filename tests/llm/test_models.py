@@ -170,6 +170,17 @@ def test_ppm_scores(docs, rows, empty):
     assert ppm.ppm_scores(empty).count() == 0
 
 
+def test_ppm_keeps_rare_strings_of_a_large_corpus(spark):
+    rows = [(i, "the same words again " * 8000) for i in range(20)] + [(100 + i, "quartz jumps vexed") for i in range(3)]
+    train = [t.encode() for i, t in rows if crc(i, 10)]
+    keys, times = np.unique(ppm.strings_of(train)[0], return_counts=True)
+    assert times.sum() > 1 << 21 and np.array_equal(ppm.string_form(ppm.dealt_form(keys)), keys)
+    trie = ppm.Trie.build(keys, times)
+    assert len(trie.strings[ppm.ORDER]) == len(keys)
+    got = {r["doc_id"]: r["score"] for r in ppm.ppm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(math.isclose(got[i], ppm.Scorer(trie).texts([t.encode()])[0], rel_tol=1e-9) for i, t in rows[-3:])
+
+
 def test_ppm_probabilities_sum_to_one():
     keys, times = np.unique(ppm.strings_of([b"abracadabra abra", b"banana bandana"])[0], return_counts=True)
     scorer = ppm.Scorer(ppm.Trie.build(keys, times))
