@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.components import connected_components
-from corvane.llm.frames import checkpointed, documents, join_counted, map_texts, pieces
+from corvane.llm.frames import checkpointed, content_key, documents, join_counted, map_texts, pieces
 from corvane.llm.hashing import U, Words, mix, stretch_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -46,7 +46,7 @@ def bags(texts: list[bytes], size: int = SHINGLE) -> tuple[Words, np.ndarray, np
     n = np.diff(words.first)
     short = np.flatnonzero((n > 0) & (n < size))
     if len(short):
-        own = mix(stretch_hashes(words.hashes, words.first[short], words.first[short + 1], 0xA24BAED4963EE407) + n[short].astype(U))
+        own = mix(stretch_hashes(words.hashes, words.first[short], words.first[short + 1]) + (n[short].astype(U) << U(61)))
         text, h = np.concatenate([text, short]), np.concatenate([h, own])
     order = np.lexsort((h, text))
     text, h = text[order], h[order]
@@ -172,6 +172,33 @@ def _blocked(members: DataFrame, key: str) -> DataFrame:
     return join_counted(members, sizes, key, "__k", "__n").withColumn("block", F.xxhash64(F.col(key), F.pmod(F.xxhash64("node", key), F.ceil(F.col("__n") / BLOCK)))).drop("__k")
 
 
+def spread_out(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by their key to the usual number of tasks, none of them merged.
+
+    A block of n members is few bytes but n * n comparisons: tasks that Spark would merge by their bytes stay apart.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+#: A node on more rows than this share of all (and than the least number) has its text repeated; there are fewer of these nodes than this.
+HOT_NODES, HOT_LEAST = 10_000, 256
+
+
+def with_texts(rows: DataFrame, texts: DataFrame, key: str, name: str) -> DataFrame:
+    """`rows` (few columns) with the text of their node `key`, from `texts` (node, t).
+
+    A node on many rows, as a large bucket's leader is, has its text repeated for every 10,000th of all rows that it
+    has, and its rows are dealt among the repeats: no key has more, and there are fewer than 20,000 repeats.
+    """
+    each = max(HOT_LEAST, rows.count() // HOT_NODES)
+    counts = rows.groupBy(F.col(key).alias("__cv_of")).agg(F.count(F.lit(1)).alias("__cv_n")).where(F.col("__cv_n") > each)
+    hot = F.broadcast(checkpointed(counts.select("__cv_of", F.ceil(F.col("__cv_n") / each).cast("int").alias("__cv_parts"))))  # 12 bytes each
+    spread = F.coalesce("__cv_parts", F.lit(1))
+    dealt = rows.join(hot, F.col(key) == F.col("__cv_of"), "left").withColumn("__cv_part", F.pmod(F.xxhash64(*rows.columns), spread).cast("int")).drop("__cv_of", "__cv_parts")
+    held = texts.join(hot, F.col("node") == F.col("__cv_of"), "left").select(F.col("node").alias("__cv_node"), F.col("t").alias(name), F.explode(F.sequence(F.lit(0), spread - 1)).alias("__cv_at"))
+    return dealt.join(held, (F.col(key) == F.col("__cv_node")) & (F.col("__cv_part") == F.col("__cv_at"))).drop("__cv_node", "__cv_at", "__cv_part")
+
+
 def bucket_members(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct nodes with sig and bands, and their places in buckets of two and more; from rows with node, sig and bands."""
     reps = checkpointed(signed.where("node IS NOT NULL").groupBy("node", "sig", "bands").agg(F.count(F.lit(1)).alias("n")).select("node", "sig", "bands"))
@@ -189,7 +216,7 @@ def first_pairs(reps: DataFrame, members: DataFrame) -> DataFrame:
     further = F.array(F.xxhash64("bucket", F.get("bands", (F.col("band") + 5) % BANDS)), F.xxhash64("bucket"))
     dealt = _blocked(large.select("node", F.explode(further).alias("part")), "part").select("node", "block")
     blocks = usual.unionByName(dealt).join(mine.select("who", "sig"), F.col("node") == F.col("who")).select("node", "block", "sig")
-    pairs = blocks.groupBy("block").applyInArrow(_pick, "a long, b long")
+    pairs = spread_out(blocks, "block").groupBy("block").applyInArrow(_pick, "a long, b long")
     led = members.where((F.col("n") > BLOCK) & (F.col("node") != F.col("leader"))).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
     return pairs.unionByName(led).distinct()
 
@@ -234,7 +261,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class's id while another is there. Of repeated rows with the least id one is kept. An empty table gives
     an empty result; other columns are not read. Word sequences are told apart by a 64-bit hash.
     """
-    rows = docs.select(F.col(id_col).alias("__cv_id"), F.col(text_col).alias("__cv_text"), F.xxhash64(F.col(text_col)).alias("text_key"))
+    return judged(docs, id_col, text_col, size, similarity).select(F.col("__cv_id").alias(id_col), "n_words", "class_id", "class_size", "kept")
+
+
+def judged(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
+    """near_duplicates with __cv_id and the text's content_key (text_key) on each row."""
+    rows = docs.select(F.col(id_col).alias("__cv_id"), F.col(text_col).alias("__cv_text"), content_key(text_col).alias("text_key"))
     kind = rows.schema["__cv_id"].dataType.simpleString()
     signed = checkpointed(map_texts(rows, lambda b, t: _signed(b, t, size), f"__cv_id {kind}, text_key long, n_words long, node long, sig binary, bands array<long>"))
     reps, members = bucket_members(signed)
@@ -244,43 +276,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = pa.array([overlap(x, y, size) >= similarity for x, y in zip(texts, other, strict=True)], pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(near)
 
+    # one row stands for each node: of many copies, dealt by id and text, only this one is ever fetched
+    stands = signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("text_key").alias("key"), F.col("__cv_id").alias("id"))).alias("s")).select("node", "s.key", "s.id")
+
     def texts_of(wanted: DataFrame) -> DataFrame:
         # the texts of the nodes w, each once
-        keys = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("text_key").alias("key")).join(wanted.distinct(), F.col("node") == F.col("w"), "left_semi")
-        return rows.select(F.col("text_key").alias("k"), F.col("__cv_text").alias("t")).join(keys, F.col("k") == F.col("key")).dropDuplicates(["k", "node"]).select("node", "t")
+        keys = stands.join(wanted.distinct(), F.col("node") == F.col("w"), "left_semi")
+        found = rows.select("__cv_id", F.col("text_key").alias("k"), F.col("__cv_text").alias("t")).join(keys, (F.col("k") == F.col("key")) & F.col("__cv_id").eqNullSafe(F.col("id")))
+        return found.dropDuplicates(["k", "node"]).select("node", "t")
 
     pairs = checkpointed(first_pairs(reps, members))
     one = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("w")))
-    sides = pairs.join(one.select(F.col("node").alias("na"), F.col("t").alias("ta")), F.col("a") == F.col("na")).select("a", "b", "ta").join(one.select(F.col("node").alias("nb"), F.col("t").alias("tb")), F.col("b") == F.col("nb")).select("a", "ta", "b", "tb")
+    sides = with_texts(with_texts(pairs, one, "a", "ta"), one, "b", "tb").select("a", "ta", "b", "tb")
     roots = connected_components(map_texts(sides, verify, "a long, b long"))
     tiles = checkpointed(tiles_across(members, roots))
-    one = texts_of(tiles.select(F.col("node").alias("w"))).withColumnRenamed("node", "who")
-    across = tiles.join(one, F.col("node") == F.col("who")).select("node", "root", "asks", "block", "t")
-    links = checkpointed(across.groupBy("block").applyInArrow(lambda t: _link_across(t, size, similarity), "a long, b long").distinct())
+    one = texts_of(tiles.select(F.col("node").alias("w")))
+    across = with_texts(tiles, one, "node", "t").select("node", "root", "asks", "block", "t")
+    links = checkpointed(spread_out(across, "block").groupBy("block").applyInArrow(lambda t: _link_across(t, size, similarity), "a long, b long").distinct())
     if not links.isEmpty():
         roots = connected_components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    counted = signed.groupBy("__cv_id", "n_words", "node").agg(F.count(F.lit(1)).alias("copies"))
-    placed = checkpointed(counted.where("node IS NOT NULL").join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("__cv_id", "n_words", "node", "copies", F.coalesce("root", "node").alias("root")))
-    least = F.min(F.struct(F.col("__cv_id").isNull().alias("none"), F.col("__cv_id").alias("id"), F.col("node").alias("at")))
+    counted = signed.groupBy("__cv_id", "n_words", "node", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    placed = checkpointed(counted.where("node IS NOT NULL").join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("__cv_id", "n_words", "node", "text_key", "copies", F.coalesce("root", "node").alias("root")))
+    one_row = [F.col("__cv_id").isNull().alias("none"), F.col("__cv_id").alias("id"), F.col("text_key").alias("at")]
+    least = F.min(F.struct(*one_row))
     classes = checkpointed(placed.groupBy("root").agg(least.alias("first"), F.sum("copies").alias("class_size")).withColumnRenamed("root", "__r"))
     known = join_counted(placed, classes, "root", "__r", "class_size")
-    alone = counted.where("node IS NULL").withColumns({"first": F.struct(F.col("__cv_id").isNull().alias("none"), F.col("__cv_id").alias("id"), F.col("node").alias("at")), "class_size": F.lit(1).cast("long")})
-    columns = ["__cv_id", "n_words", "node", "copies", "first", "class_size"]
+    alone = counted.where("node IS NULL").withColumns({"first": F.struct(*one_row), "class_size": F.lit(1).cast("long")})
+    columns = ["__cv_id", "n_words", "node", "text_key", "copies", "first", "class_size"]
     each = known.select(*columns).unionByName(alone.select(*columns)).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("nth"))
-    kept = F.col("node").isNull() | (F.col("__cv_id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.at")) & (F.col("nth") == 1))
-    return each.select(F.col("__cv_id").alias(id_col), "n_words", F.col("first.id").alias("class_id"), "class_size", kept.alias("kept"))
+    kept = F.col("node").isNull() | (F.col("__cv_id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.at")) & (F.col("nth") == 1))
+    return each.select("__cv_id", "text_key", "n_words", F.col("first.id").alias("class_id"), "class_size", kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` that near_duplicates keeps, one of each class, with all their columns.
 
-    Kept rows are found by id and number of words, so an id may stand on rows of different classes.
+    A kept row is found by its id and text, so an id may stand on rows of different classes, and of repeated rows one
+    is kept. Texts without a word are all kept, repeated ones too.
     """
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__cv_kept"), F.col("n_words").alias("__cv_words"))
-    trimmed = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
-    words = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
-    keyed = docs.withColumn("__cv_own", words)
-    return keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__cv_kept")) & (F.col("__cv_own") == F.col("__cv_words")), "left_semi").select(*docs.columns)
+    options = {"size": SHINGLE, "similarity": SIMILARITY} | options
+    kept = judged(docs, id_col, text_col, **options).where("kept AND n_words > 0").select(F.col("__cv_id").alias("__cv_kept"), F.col("text_key").alias("__cv_key"))
+    no_word = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(" \t\n\x0b\x0c\r")) == ""
+    keyed = docs.where(~no_word).withColumn("__cv_own", content_key(text_col))
+    found = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__cv_kept")) & (F.col("__cv_own") == F.col("__cv_key")))
+    return found.dropDuplicates(["__cv_kept", "__cv_key"]).select(*docs.columns).unionByName(docs.where(no_word))
 
 
 def op5_bagminhash(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder the cluster names; only without one (tests) to a local folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """Checkpoints go to the folder the cluster names; only a local master (tests) does without one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or "/tmp/checkpoints/corvane")
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir(named or "/tmp/checkpoints/corvane")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -61,7 +65,13 @@ def ascii_lower(text):
 
 def row_key(id_col: str, text_col: str):
     """64 bits from id and text: rows with equal id and text share their result, others are told apart."""
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    return content_key(id_col, text_col)
+
+
+def content_key(*columns: str, seed: int = 0):
+    """64 bits from the columns' values, in their order. Spark's hash skips a null; here it counts as a value of its own."""
+    parts = [p for c in columns for p in (F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))]
+    return F.xxhash64(F.lit(seed), *parts)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text_index: int = 1, limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

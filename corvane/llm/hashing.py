@@ -1,21 +1,30 @@
 """Polynomial (Rabin-Karp) hashes over whole pieces of text, in numpy.
 
-A hash of a stretch is a difference of two prefix sums, so every word and every window of words
-costs a constant number of vector operations. Arithmetic is modulo 2**64 with odd bases, over
-random 64-bit values of the symbols, and a bijective finaliser spreads the result's bits. Two
-different words or windows share a hash with a chance of about 2**-64.
+A word's value is 64 bits of its BLAKE2b digest. A window's hash is a polynomial over its words' values,
+modulo the prime 2**61 - 1 with a random base: a difference of two prefix sums, so every window costs a constant
+number of vector operations. Modulo a prime no pattern of words collides by its shape (modulo 2**64 the Thue-Morse
+patterns do, whatever the base): two different windows of n words share a hash with a chance of about n / 2**61. A
+bijective finaliser spreads the result's bits.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+from itertools import chain
+
 import numpy as np
 
 U = np.uint64
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: The modulus, a Mersenne prime.
+PRIME = U((1 << 61) - 1)
+_M29, _M30, _M31, _M32 = (U((1 << n) - 1) for n in (29, 30, 31, 32))
 #: every ASCII byte but letters and digits
 NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: bytes.translate table that leaves blanks between runs of letters and digits
+LETTERS_ONLY = bytes(32 if NO_LETTER[b] else b for b in range(256))
+_WORD_BASE = 0x17E3_779B_97F4_A7C1
+#: Words whose values a worker remembers before it starts afresh.
+WORD_TABLE = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,54 +34,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & PRIME) + (x >> U(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of numbers below it: in halves of 31 bits, where 2**61 counts as 1."""
+    a1, a0, b1, b0 = a >> U(31), a & _M31, b >> U(31), b & _M31
+    middle = a1 * b0 + a0 * b1
+    return _folded((a1 * b1 << U(1)) + (middle >> U(30)) + ((middle & _M30) << U(31)) + a0 * b0)
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+_POWERS: dict[int, np.ndarray] = {}
 
-def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**0 to base**size and their inverses. One table a base is kept, grown in steps."""
+
+def powers(base: int, size: int) -> np.ndarray:
+    """base**0 to base**size modulo PRIME. One table a base is kept, grown by doubling."""
     have = _POWERS.get(base)
-    if have is None or len(have[0]) <= size:
-        n = (size // (1 << 18) + 1) * (1 << 18) + 1
+    if have is None:
+        have = np.ones(1, dtype=U)
+    while len(have) <= size:
+        have = np.concatenate([have, times(have, U(pow(base, len(have), int(PRIME))))])
+    _POWERS[base] = have
+    return have[: size + 1]
 
-        def table(b: int) -> np.ndarray:
-            out = np.full(n, b, dtype=U)
-            out[0] = 1
-            return np.cumprod(out, dtype=U)
 
-        have = _POWERS[base] = (table(base), table(pow(base, -1, 1 << 64)))
-    return have[0][: size + 1], have[1][: size + 1]
+def prefix_sums(values: np.ndarray, base: int) -> np.ndarray:
+    """Of values * base**place modulo PRIME, from 0 on; halves are summed apart, so that 2**30 of them cannot overflow."""
+    terms = times(_folded(values), powers(base, len(values))[:-1])
+    low, high = np.cumsum(terms & _M32, dtype=U), np.cumsum(terms >> U(32), dtype=U)
+    out = np.zeros(len(values) + 1, dtype=U)
+    out[1:] = _folded((high >> U(29)) + ((high & _M29) << U(32)) + low)
+    return out
 
 
-def stretch_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+def stretch_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _WORD_BASE) -> np.ndarray:
     """The polynomial hash of values[start:end] for each pair, independent of where it stands."""
-    up, down = powers(base, len(values))
-    prefix = np.zeros(len(values) + 1, dtype=U)
-    np.cumsum(values * up[:-1], out=prefix[1:])
-    return (prefix[ends] - prefix[starts]) * down[starts]
+    prefix = prefix_sums(values, base)
+    back = powers(pow(base, -1, int(PRIME)), len(values))
+    return times(_folded(prefix[ends] + PRIME - prefix[starts]), back[starts])
+
+
+class _WordValues(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORD_TABLE:
+            self.clear()
+        value = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return value
+
+
+_VALUES = _WordValues()
 
 
 class Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of several texts: their hashes, and each text's range of words."""
+    """The words `[^\\x20\\x09-\\x0D]+` of several texts: their hashes, and each text's range of words.
+
+    `letters`: words are runs of letters, digits and bytes beyond ASCII instead.
+    """
 
-    def __init__(self, texts: list[bytes], lower: bool = False, apart: np.ndarray = _SPACE) -> None:
-        joined = b"\n".join(texts)
+    def __init__(self, texts: list[bytes], lower: bool = False, letters: bool = False) -> None:
         if lower:
-            joined = joined.lower()
-        buf = np.frombuffer(joined, dtype=np.uint8)
-        inside = np.zeros(len(buf) + 2, dtype=np.int8)
-        inside[1:-1] = ~apart[buf]
-        step = np.diff(inside)
-        self.starts, self.ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        sizes = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
-        text_ends = np.cumsum(sizes + 1)
+            texts = [t.lower() for t in texts]
+        lists = [(t.translate(LETTERS_ONLY) if letters else t).split() for t in texts]
         #: text i has the words first[i] to first[i + 1]
-        self.first = np.concatenate(([0], np.searchsorted(self.starts, text_ends)))
-        hashes = stretch_hashes(_BYTE_VALUES[buf], self.starts, self.ends, _BYTE_BASE)
-        self.hashes = mix(hashes + (self.ends - self.starts).astype(U) * U(0xD6E8FEB86659FD93))
-        self.buf = joined
+        self.first = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64)))
+        self.hashes = np.fromiter(map(_VALUES.__getitem__, chain.from_iterable(lists)), dtype=U, count=int(self.first[-1]))
 
     def __len__(self) -> int:
         return len(self.hashes)
@@ -88,7 +116,7 @@ class Words:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
         before = np.cumsum(n) - n
         at = np.arange(n.sum()) - np.repeat(before - self.first[:-1], n)
-        return at, mix(stretch_hashes(self.hashes, at, at + size, _WORD_BASE))
+        return at, mix(stretch_hashes(self.hashes, at, at + size))
 
 
 def pack_steps(sorted_values: np.ndarray) -> bytes:

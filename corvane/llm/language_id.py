@@ -9,13 +9,14 @@ fitted on texts that training did not see; texts below the rejection level are m
 from __future__ import annotations
 
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.frames import documents, hash_sample, map_texts
+from corvane.llm.frames import content_key, documents, map_texts
 from corvane.llm.hashing import U, mix
 
 SIZES = (2, 3, 4)
@@ -118,26 +119,35 @@ def predict(texts: list[bytes], table: np.ndarray, bias: np.ndarray, temperature
     return p / p.sum(1, keepdims=True)
 
 
-def training_sample(docs: DataFrame, rows_per_language: int, id_col: str, text_col: str, lang_col: str, held_out) -> tuple[list[bytes], list[str]]:
-    """About `rows_per_language` labelled texts of each language, by a hash of id and text; twice as many at most."""
-    usable = docs.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= 1 << 16))
-    usable = usable.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    texts: list[bytes] = []
-    found: list[str] = []
-    for r in sorted(usable.groupBy("l").count().collect()):
-        got = hash_sample(usable.where(F.col("l") == r["l"]), rows_per_language, r["count"], "i", "t").select("t").collect()
-        texts += sorted(x["t"].encode("utf-8", "replace") for x in got)
-        found += [r["l"]] * len(got)
-    return texts, found
+def training_sample(docs: DataFrame, rows_per_language: int, bytes_per_language: int, most_languages: int, id_col: str, text_col: str, lang_col: str, held_out) -> tuple[list[bytes], list[str]]:
+    """About `rows_per_language` labelled texts of each language, fewer where they are long, by a hash of id and text.
 
-
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400, reject_below: float = 0.5) -> DataFrame:
+    Two passes, however many languages there are: one counts them and finds each one's level of the hash, below which
+    about so many rows or bytes stand; the other takes the rows below it, and the least one in any case.
+    """
+    usable = docs.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    usable = usable.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.shiftrightunsigned(content_key(id_col, text_col), 1).alias("h"))
+    sizes = usable.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("b"), F.min("h").alias("least")).orderBy(F.desc("n"), "l").limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    share = lambda r: min(Fraction(1), Fraction(rows_per_language, r["n"]), Fraction(bytes_per_language, max(r["b"], 1)))
+    levels = [(r["l"], max(r["least"], int(share(r) * ((1 << 63) - 1)))) for r in sizes]
+    if not levels:
+        return [], []
+    level = F.broadcast(docs.sparkSession.createDataFrame(levels, "__cv_l string, __cv_level long"))
+    chosen = usable.join(level, (F.col("l") == F.col("__cv_l")) & (F.col("h") <= F.col("__cv_level"))).select("l", "h", "t").dropDuplicates(["l", "h"])
+    got = sorted((r["l"], r["t"].encode("utf-8", "replace")) for r in chosen.limit(2 * rows_per_language * len(levels)).collect())
+    return [t for _, t in got], [lang for lang, _ in got]
+
+
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400, bytes_per_language: int = 8 << 20, most_languages: int = 1000, reject_below: float = 0.5) -> DataFrame:
     """One row per document: id, held_out, lang_pred, score, rejected.
 
     Learns from text and non-null lang of documents whose crc32(id as text) mod 3 is not 1, from a bounded
-    sample of about `rows_per_language` texts of each language (of up to 64 KiB each, chosen by a hash; never
-    more than twice as many), and predicts every whole text. lang, source and id are never inputs of a prediction. `score` is
-    the calibrated probability of lang_pred; `rejected` marks texts whose score is below `reject_below`.
+    sample of about `rows_per_language` whole texts of each language, chosen by a hash of id and text: fewer where
+    they hold more than about `bytes_per_language`, one at least; rows with equal id and text count once. More than
+    `most_languages` of them are refused. Every whole text gets a prediction, of which lang, source and id are never
+    inputs. `score` is the calibrated probability of lang_pred; `rejected` marks texts whose score is below `reject_below`.
 
     A null text or one without a letter gets `und` with score 0 and is rejected. A null id counts as
     empty text for the split. Repeated rows get equal results; ties go to the language first in
@@ -145,7 +155,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty result; other columns are not read.
     """
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
-    texts, langs = training_sample(docs, rows_per_language, id_col, text_col, lang_col, held_out)
+    texts, langs = training_sample(docs, rows_per_language, bytes_per_language, most_languages, id_col, text_col, lang_col, held_out)
     model = train(texts, langs)
     sent = docs.sparkSession.sparkContext.broadcast((model.labels, model.table(), model.bias, model.temperature))
     rows = docs.select(F.col(id_col).alias("__cv_id"), F.col(text_col).alias("__cv_text"), held_out.alias("held_out"))

@@ -30,9 +30,14 @@ def _lines(docs: DataFrame, key_cols: list, text_col: str, site_col: str) -> Dat
 def wide_lines(lines: DataFrame, threshold: int) -> DataFrame:
     """__cv_wide: hashes of lines that stand on at least `threshold` distinct sites."""
     sites = lines.where(F.col("__cv_site").isNotNull())
-    spread = sites.groupBy("__cv_hash").agg(F.hll_sketch_agg("__cv_site", LG_K).alias("s")).select("__cv_hash", F.hll_sketch_estimate("s").alias("n")).where(F.col("n") >= threshold * (1 - NEAR))
+    sketched = sites.groupBy("__cv_hash").agg(F.hll_sketch_agg("__cv_site", LG_K).alias("s")).select("__cv_hash", F.hll_sketch_estimate("s").alias("n"))
+    spread = checkpointed(sketched.where(F.col("n") >= threshold * (1 - NEAR)))
     near = spread.where(F.col("n") <= threshold * (1 + NEAR)).select(F.col("__cv_hash").alias("__cv_near"))
-    exact = sites.join(near, F.col("__cv_hash") == F.col("__cv_near"), "left_semi").select("__cv_hash", "__cv_site").distinct().groupBy("__cv_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
+    on = F.col("__cv_hash") == F.col("__cv_near")
+    pairs = sites.select("__cv_hash", "__cv_site")
+    # a few MB of hashes go to all tasks; beyond that each task makes its pairs distinct before they are dealt out by line
+    pairs = pairs.join(F.broadcast(near), on, "left_semi").distinct() if near.count() <= MOST_SENT else pairs.distinct().join(near, on, "left_semi")
+    exact = pairs.groupBy("__cv_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
     return spread.where(F.col("n") > threshold * (1 + NEAR)).select("__cv_hash").unionByName(exact.select("__cv_hash")).withColumnRenamed("__cv_hash", "__cv_wide")
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.frames import checkpointed, documents
+from corvane.llm.frames import checkpointed, content_key, documents
 
 UNIT = 4096
 DIMS = 5
@@ -186,7 +186,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     Verdicts come back by the content they were made from (text, language, source), so rows need no unique id.
     """
-    keyed = docs.withColumn("__cv_key", F.xxhash64(lang_col, source_col, F.col(text_col), F.lit(1))).withColumn("__cv_key2", F.xxhash64(F.lit(2), lang_col, source_col, F.col(text_col)))
+    keyed = docs.withColumns({"__cv_key": content_key(lang_col, source_col, text_col), "__cv_key2": content_key(lang_col, source_col, text_col, seed=1)})
     verdicts = quality_rules(keyed, id_col, text_col, lang_col, source_col, carry=("__cv_key", "__cv_key2")).where("kept").select(F.col("__cv_key").alias("__cv_k"), F.col("__cv_key2").alias("__cv_k2")).distinct()
     return keyed.join(verdicts, (F.col("__cv_key") == F.col("__cv_k")) & (F.col("__cv_key2") == F.col("__cv_k2")), "left_semi").select(*docs.columns)
 

@@ -19,6 +19,8 @@ from corvane.llm.frames import checkpointed, documents
 
 #: The tree is held on the driver; a corpus with more leaves has its sources at too fine a grain for weights.
 MOST_LEAVES = 200_000
+#: Leaves up to which their budgets and cuts (some 150 bytes each) are sent to all tasks; beyond, a join deals the rows out.
+MOST_SENT = 50_000
 DOMAINS = ("web", "books", "forum")
 WEIGHTS = {"domain": {"web": 0.5, "books": 0.3, "forum": 0.2}, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, "source": {}}
 
@@ -118,9 +120,11 @@ def mix_sources(
     there = {(r["__cv_d"], r["__cv_l"], r["__cv_s"]): r["n"] for r in totals}
     budgets = allot(there, int(Fraction(str(budget_share)) * sum(there.values())), weights, epochs)
     plan = [(*x, b, b // there[x] if there[x] else 0, b % there[x] if there[x] else 0) for x, b in budgets.items()]
-    leaves = spark.createDataFrame(plan, "__cv_d string, __cv_l string, __cv_s string, budget long, __cv_whole long, __cv_rest long")
+    # a row is some 150 bytes: up to MOST_SENT of them go to all tasks, so that no leaf's texts are dealt to one
+    sent = F.broadcast if len(plan) <= MOST_SENT else (lambda t: t)
+    leaves = spark.createDataFrame(plan, "__cv_d string, __cv_l string, __cv_s string, __cv_budget long, __cv_whole long, __cv_rest long")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__cv_whole").cast("string"), F.col("__cv_i")).cast("binary"))
-    placed = rows.join(leaves, on).withColumn("__cv_h", order).withColumn("__cv_b", F.substring("__cv_h", 1, 3))
+    placed = rows.join(sent(leaves), on).withColumn("__cv_h", order).withColumn("__cv_b", F.substring("__cv_h", 1, 3))
     upto = Window.partitionBy(*on).orderBy("__cv_b")
     ranges = placed.groupBy(*on, "__cv_rest", "__cv_b").agg(F.sum("__cv_n").alias("n")).withColumn("upto", F.sum("n").over(upto))
     edge = ranges.where((F.col("upto") > F.col("__cv_rest")) & (F.col("upto") - F.col("n") <= F.col("__cv_rest"))).select(*on, "__cv_b", (F.col("__cv_rest") - (F.col("upto") - F.col("n"))).alias("__cv_more"))
@@ -133,10 +137,10 @@ def mix_sources(
     )
     cuts = checkpointed(leaves.join(last, on, "left"))
     source = docs.select(*([F.col(c) for c in docs.columns] if keep_columns else [F.col(id_col)]), key, *leaf, tokens.alias("__cv_n")) if keep_columns else rows
-    done = source.join(cuts, on)
+    done = source.join(sent(cuts), on)
     copies = F.col("__cv_whole") + F.when(order <= F.col("__cv_cut"), 1).otherwise(0)
     first = [F.col(c) for c in docs.columns] if keep_columns else [F.col("__cv_id").alias(id_col)]
-    return done.select(*first, F.expr("nullif(substr(__cv_d, 2), '')").alias("__cv_domain"), F.col("__cv_n").alias("__cv_tokens"), F.col("budget").alias("__cv_budget"), copies.cast("long").alias("__cv_copies"))
+    return done.select(*first, F.expr("nullif(substr(__cv_d, 2), '')").alias("__cv_domain"), F.col("__cv_n").alias("__cv_tokens"), "__cv_budget", copies.cast("long").alias("__cv_copies"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -20,20 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.frames import documents, hash_sample, map_texts, table
-from corvane.llm.hashing import NO_LETTER, U, Words, mix
+from corvane.llm.hashing import LETTERS_ONLY, U, Words, mix
 
 SPACE_BITS = 22
 SIZES = (5, 6)
 
 
 def feature_hits(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) pairs, each once, in order; of features where `wanted` is set, if given."""
-    words = Words(texts, lower=True, apart=NO_LETTER)
+    """(text, feature) pairs, each once, in order; of features where `wanted` is set, if given.
+
+    Features are the words, and the n-grams of the text and one blank after it. A text's do not depend on the others.
+    """
+    words = Words(texts, lower=True, letters=True)
     shift = U(64 - SPACE_BITS)
     ids = [(words.hashes >> shift).astype(np.int32)]
     texts_of = [words.text_of(np.arange(len(words)))]
-    buf = np.frombuffer(words.buf, dtype=np.uint8)
-    buf = np.where(NO_LETTER[buf], np.uint8(32), buf)
+    buf = np.frombuffer(b"\n".join([*texts, b""]).lower().translate(LETTERS_ONLY), dtype=np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
     for size in SIZES:
         n = len(buf) - size + 1
@@ -47,8 +49,10 @@ def feature_hits(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[
         if wanted is not None:
             at = np.flatnonzero(wanted[got])
             got = got[at]
-        ids.append(got)
-        texts_of.append(np.searchsorted(ends, at, side="right"))
+        own = np.searchsorted(ends, at, side="right")
+        within = at + size <= ends[own]  # what runs on into the next text is of neither
+        ids.append(got[within])
+        texts_of.append(own[within])
     if wanted is not None:
         hit = wanted[ids[0]]
         ids[0], texts_of[0] = ids[0][hit], texts_of[0][hit]
@@ -129,6 +133,19 @@ def cut_point(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
     return float((good[0] + 2 * good[-1]) / 3)
 
 
+def nn_risk(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, np.ndarray, float]:
+    """The non-negative corrected risk under the logistic loss, with its gradient by the weights and by the bias."""
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    zp, zu = xp @ w + b, xu @ w + b
+    plus = prior * np.logaddexp(0, -zp).mean()
+    minus = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    # d loss(z) / dz = -sig(-z); d loss(-z) / dz = sig(z); a negative second part is held at zero
+    held = minus < 0
+    dp = -prior * sig(-zp) / len(zp) - (0 if held else prior * sig(zp) / len(zp))
+    du = 0 * zu if held else sig(zu) / len(zu)
+    return float(plus + max(0, minus)), xp.T @ dp + xu.T @ du, float(dp.sum() + du.sum())
+
+
 def train_nnpu(pos: list[bytes], unl: list[bytes], prior: float, most: int = 1024, epochs: int = 30, l2: float = 1e-4, seed: int = 5) -> ToxicityModel:
     """Adam on the non-negative risk with the logistic loss; a quarter of the texts is set aside for the cut.
 
@@ -155,23 +172,14 @@ def train_nnpu(pos: list[bytes], unl: list[bytes], prior: float, most: int = 102
     rng = np.random.default_rng(seed)
     w, b = np.zeros(len(features), dtype=np.float32), float(np.log(prior / (1 - prior)))
     m, v, t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    loss = lambda z: np.logaddexp(0, -z)
     batches = max(1, len(xu) // 512)
     for _ in range(epochs):
         parts = zip(np.array_split(rng.permutation(len(xp)), batches), np.array_split(rng.permutation(len(xu)), batches), strict=True)
         for ip, iu in parts:
             if not len(ip) or not len(iu):
                 continue
-            zp, zu = xp[ip] @ w + b, xu[iu] @ w + b
-            negative = loss(-zu).mean() - prior * loss(-zp).mean()
-            # d loss(z) / dz = -sig(-z); d loss(-z) / dz = sig(z)
-            gu, gp_minus, gp_plus = sig(zu) / len(iu), -prior * sig(zp) / len(ip), -prior * sig(-zp) / len(ip)
-            if negative >= 0:
-                dp, du = gp_plus + gp_minus, gu
-            else:  # the second part is held at zero
-                dp, du = gp_plus, 0 * gu
-            g = np.append(xp[ip].T @ dp + xu[iu].T @ du + l2 * w, dp.sum() + du.sum())
+            _, gw, gb = nn_risk(xp[ip], xu[iu], w, b, prior)
+            g = np.append(gw + l2 * w, gb)
             t += 1
             m = 0.9 * m + 0.1 * g
             v = 0.999 * v + 0.001 * g * g
@@ -181,11 +189,12 @@ def train_nnpu(pos: list[bytes], unl: list[bytes], prior: float, most: int = 102
     return ToxicityModel(features, w * scale, -cut_point(kept[0] @ w, kept[1] @ w, prior))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", class_prior: float | None = None, positives: int = 2000, unlabelled: int = 6000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", class_prior: float | None = None, positives: int = 2000, unlabelled: int = 6000, most_bytes: int = 64 << 20) -> DataFrame:
     """One row per document: id, held_out, score (0 to 1), predicted (1 if score >= 0.5).
 
     Learns labels only from rows whose crc32(id as text) mod 5 is not 0: from about `positives` texts
-    labelled 1 and `unlabelled` texts taken as unlabelled, chosen by a hash; never more than twice as many.
+    labelled 1 and `unlabelled` texts taken as unlabelled, chosen by a hash; never more than twice as many, and
+    fewer of either where they would hold more than about `most_bytes`.
     `class_prior` is the share of toxic texts; without it, the share among the labelled training rows.
     Scores depend on the text alone.
 
@@ -203,9 +212,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         class_prior = n_toxic / max(counts["n"], 1)
     chosen = hash_sample(known.where("__cv_toxic = 1").select(F.col("__cv_id").cast("string").alias("__cv_id")), positives, n_toxic, "__cv_id")
     texts = docs.where(~held_out & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    n_texts = texts.count()
-    pos = texts.join(F.broadcast(chosen), F.col("i") == F.col("__cv_id")).limit(2 * positives).select("t").collect()
-    unl = hash_sample(texts, unlabelled, n_texts, "i", "t").select("t").collect()
+    toxic = texts.join(F.broadcast(chosen), F.col("i") == F.col("__cv_id")).select("i", "t")
+
+    def bounded(rows: DataFrame, most: int) -> list:
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
+        share = min(1.0, most / max(size["n"], 1), most_bytes / max(size["b"] or 0, 1))
+        return hash_sample(rows, int(share * size["n"]), size["n"], "i", "t").select("t").collect() if size["n"] else []
+
+    pos, unl = bounded(toxic, 2 * positives), bounded(texts, unlabelled)
     pos, unl = (sorted((r["t"].encode("utf-8", "replace") for r in x), key=lambda t: (zlib.crc32(t), t)) for x in (pos, unl))
     sent = spark.sparkContext.broadcast(train_nnpu(pos, unl, class_prior))
     rows = docs.select(F.col(id_col).alias("__cv_id"), F.col(text_col).alias("__cv_text"), held_out.alias("held_out"))

@@ -3,7 +3,7 @@
 import random
 import zlib
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double, n_words string, class_id long, keep_id string, held_out string, node string, bucket string, grp string, bin long, k string, n long, h string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double, n_words string, class_id long, keep_id string, held_out string, node string, bucket string, grp string, bin long, k string, n long, h string, budget long, cuts string"
 SYLLABLES = {"en": "the er ing tion and ha st on re ou".split(), "fr": "le eau que oi é de ment aux re".split(), "de": "der ung sch ein keit ch zu ver".split(), "es": "el ción que ado as mente os ca".split()}
 
 
@@ -46,4 +46,4 @@ def make_rows(n=160, seed=3):
         [12, "#" * 50 + " * $ % & | < >", "en", "src3"], [13, " ".join(f"w{i % 7000}" for i in range(30000)), "en", "src1"], [14, "x" * 200000, "en", "src1"], [15, "\n\n\nline\nline\n\n", "en", "src1"],
     ]
     rng.shuffle(rows)
-    return [(d, t, lang, s, len(t or ""), None, None, "x", None, "y", "z", "q", "b", "g", None, "k", None, "h") for d, t, lang, s in rows]
+    return [(d, t, lang, s, len(t or ""), None, None, "x", None, "y", "z", "q", "b", "g", None, "k", None, "h", None, "c") for d, t, lang, s in rows]

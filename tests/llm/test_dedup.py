@@ -1,6 +1,7 @@
 """Exact, substring, line and near dedup against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 from math import comb
 
@@ -9,8 +10,10 @@ import pytest
 from samples import words_of
 
 from corvane.llm import bagminhash as bag
+from corvane.llm import hashing
 from corvane.llm.components import connected_components
 from corvane.llm.exact_dedup import drop_exact_copies, exact_dedup
+from corvane.llm.frames import content_key
 from corvane.llm.hashing import Words, pack_steps, pack_values, packed_runs, unpack_steps, unpack_values, unpacked_runs
 from corvane.llm.line_dedup import line_dedup
 from corvane.llm.substring_dedup import substring_dedup
@@ -222,3 +225,53 @@ def test_word_hashes_tell_words_apart():
     words = Words(texts)
     assert words.first.tolist() == [0, 4, 4, 4, 6]
     assert words.hashes[2] == words.hashes[4] and len(set(words.hashes.tolist())) == 5
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_patterns_that_collide_modulo_powers_of_two(spark):
+    x, y = thue_morse(1024), thue_morse(1024, 1)
+    assert len(set(Words([x.encode(), y.encode()]).hashes.tolist())) == 2
+    rest = [f"w{i}" for i in range(34)]
+    table = spark.createDataFrame([(i, " ".join([*rest[:17], w, *rest[17:]])) for i, w in enumerate((x, y))], "doc_id long, text string")
+    assert {r["n_removed"] for r in substring_dedup(table).collect()} == {0}
+    assert {r["class_size"] for r in bag.near_duplicates(spark.createDataFrame([(0, x), (1, y)], "doc_id long, text string")).collect()} == {1}
+    long = thue_morse(4096)
+    words = [" ".join(thue_morse(64, k)) for k in (0, 1)]
+    _, hashes = Words([w.encode() for w in words]).windows(64)
+    assert len(set(hashes.tolist())) == 2 and len(long) == 4096
+
+
+def test_polynomials_modulo_the_prime():
+    rng = random.Random(2)
+    values = [rng.randrange(1 << 64) for _ in range(400)]
+    starts, ends = np.arange(0, 360), np.arange(40, 400)
+    prime = int(hashing.PRIME)
+    got = hashing.stretch_hashes(np.array(values, dtype=np.uint64), starts, ends)
+    assert got.tolist() == [sum(values[s + i] % prime * pow(hashing._WORD_BASE, i, prime) for i in range(40)) % prime for s in starts.tolist()]
+
+
+def test_near_copies_leave_one_row_of_repeats_and_shared_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = words[:59] + ["changed"]
+    other = [f"v{i}" for i in range(60)]
+    rows = [(11, " ".join(words)), (11, " ".join(words)), (7, " ".join(near)), (7, " ".join(other)), (None, " ".join(words)), (3, None), (3, ""), (3, " ")]
+    got = bag.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(7, " ".join(near)), (7, " ".join(other)), (3, None), (3, ""), (3, " ")])
+
+
+def test_texts_of_hot_nodes_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(bag, "HOT_LEAST", 4)
+    monkeypatch.setattr(bag, "HOT_NODES", 1000)
+    pairs = spark.createDataFrame([(1 if i < 40 else i, i) for i in range(60)], "a long, b long")
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(60)], "node long, t string")
+    got = bag.with_texts(pairs, texts, "a", "ta").collect()
+    assert sorted((r["a"], r["b"], r["ta"]) for r in got) == sorted((1 if i < 40 else i, i, f"t{1 if i < 40 else i}") for i in range(60))
+
+
+def test_row_keys_tell_nulls_apart(spark):
+    rows = [(None, "5"), (5, None), (None, None), (5, "5"), (None, ""), (5, "")]
+    table = spark.createDataFrame(rows, "a long, b string")
+    assert table.select(content_key("a", "b")).distinct().count() == len(rows)

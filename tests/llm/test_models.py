@@ -14,8 +14,10 @@ from corvane.llm import ppm_scoring as ppm
 from corvane.llm import quality_rules as quality
 from corvane.llm import source_mixing as mixing
 from corvane.llm.bpe_automaton import Codec, MergeAutomaton, bpe_decode, bpe_encode, word_bpe_path
+from corvane.llm import language_id as language
+from corvane.llm import queries
 from corvane.llm.language_id import language_id
-from corvane.llm.toxicity import cut_point, toxicity
+from corvane.llm.toxicity import cut_point, feature_hits, nn_risk, toxicity
 
 
 def test_bpe_equals_the_library(docs, rows):
@@ -92,6 +94,42 @@ def test_language_id(docs, rows):
     assert len(right) > 30 and np.mean(right) > 0.9
 
 
+def test_language_model_is_a_mean_of_ngrams(docs, rows):
+    texts, langs = [r[1].encode() for r in rows if r[0] and r[0] >= 1000 and r[2]][:60], [r[2] for r in rows if r[0] and r[0] >= 1000 and r[2]][:60]
+    model = language.train(texts, langs, epochs=2)
+    got = language.predict(texts, model.table(), model.bias, model.temperature)
+    for t, p in zip(texts[:12], got, strict=False):
+        data = b" " + t.lower() + b" "
+        grams = [data[i : i + n] for n in language.SIZES for i in range(len(data) - n + 1)]
+        ids = [int(language.ngram_ids(np.frombuffer(g, dtype=np.uint8), len(g))[0]) for g in grams]
+        z = (np.mean([model.embeddings[i] for i in ids], axis=0) @ model.weights + model.bias) / model.temperature
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert np.allclose(p, want, atol=1e-4) and np.isclose(p.sum(), 1)
+
+
+def test_languages_of_long_texts_only_are_learnt(spark):
+    long = {lang: " ".join(f"{a}{b}" for b in "xyz" for a in words) * 400 for lang, words in (("aa", ["one", "two", "three"]), ("bb", ["uno", "due", "tre"]))}
+    table = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate([*long.items()] * 20)], "doc_id long, text string, lang string")
+    got = {(r["doc_id"] % 2, r["lang_pred"]) for r in language_id(table, bytes_per_language=1000).collect()}
+    assert got == {(0, "aa"), (1, "bb")}
+
+
+def test_registered_wrappers(spark, docs, rows, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(r[0], int(r[0] % 5 == 0)) for r in rows if r[0]], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    columns = {
+        "op3_ppm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
+        "op4_bpe_automaton": "doc_id n_tokens ids_sha256 decoded_sha256",
+        "op5_bagminhash": "doc_id n_words class_id class_size kept",
+        "op7_toxicity": "doc_id held_out score predicted",
+        "op9_language_id": "doc_id held_out lang_pred score",
+    }
+    for name, want in columns.items():
+        got = queries.QUERIES[name](spark, str(tmp_path))
+        assert set(want.split()) <= set(got.columns), name
+        assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got.select("doc_id").collect()) == sorted((r[0] is None, r[0]) for r in rows), name
+
+
 def test_language_id_without_labels(docs, empty):
     assert language_id(empty).count() == 0
     none = language_id(docs.withColumn("lang", F.lit(None).cast("string")))
@@ -119,6 +157,39 @@ def test_toxicity(spark, docs, empty):
     assert len(flat) == 1 and 0 <= flat[0]["score"] < 0.5
 
 
+def test_corrected_risk_and_its_step():
+    """One step of the training against the risk and its gradient in plain Python."""
+    rng = random.Random(8)
+    xp, xu = [[[rng.random() for _ in range(3)] for _ in range(n)] for n in (7, 20)]
+    w, b = [rng.random() for _ in range(3)], -0.3
+    for prior in (0.1, 0.9):
+        risk, gw, gb = nn_risk(np.array(xp), np.array(xu), np.array(w), b, prior)
+
+        def plain(w, b, prior=prior):
+            z = lambda x: sum(a * c for a, c in zip(x, w, strict=True)) + b
+            loss = lambda v: math.log(1 + math.exp(-v))
+            plus = sum(loss(z(x)) for x in xp) / len(xp)
+            minus = sum(loss(-z(x)) for x in xu) / len(xu) - prior * sum(loss(-z(x)) for x in xp) / len(xp)
+            return prior * plus + max(0, minus)
+
+        assert math.isclose(risk, plain(w, b), rel_tol=1e-9)
+        step = 1e-6
+        for k in range(3):
+            up, down = [[v + (i == k) * s for i, v in enumerate(w)] for s in (step, -step)]
+            assert math.isclose(gw[k], (plain(up, b) - plain(down, b)) / (2 * step), rel_tol=1e-4, abs_tol=1e-8)
+        assert math.isclose(gb, (plain(w, b + step) - plain(w, b - step)) / (2 * step), rel_tol=1e-4, abs_tol=1e-8)
+
+
+def test_features_of_texts_against_plain_python():
+    texts = ["Some plain words, again and AGAIN".encode(), "é¿x 12".encode(), b""]
+    text, feature = feature_hits(texts)
+    for i, t in enumerate(texts):
+        clean = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in t.lower())
+        grams = {clean[j : j + n] for clean in [clean + b" "] for n in (5, 6) for j in range(len(clean) - n + 1)}
+        assert len(set(feature[text == i].tolist())) == len(grams) + len(set(clean.split()))
+        assert feature_hits([t])[1].tolist() == feature[text == i].tolist()
+
+
 def test_cut_point_parts_two_clusters():
     assert 0.5 < cut_point(np.full(50, 3.0), np.concatenate([np.zeros(900), np.full(100, 3.0)]), 0.1) < 3
 
