@@ -4,9 +4,13 @@ The automaton reads tokens. It starts as one state that every base symbol leads
 accepts each spelling of each word. Then every merge (u, v) -> w, in order, places a gadget: where a
 u-arc enters state q and q has a v-arc to r, the u-arc is led to a copy of q without its v-arc, and a
 w-arc is added that goes from wherever the u-arc left straight to r. After the last merge one path is
-left for each word: its BPE encoding. All arcs of a label lead to one state, so a copied state is its
-parent, the removed label and the time of the gadget; an arc's presence follows from these on demand and
-is tabulated. Encoding walks over the table, the longest arc first; decoding emits the labels of the arcs.
+left for each spelling: its BPE encoding. All arcs of a label lead to one state, so a copied state is the label it
+was made for and the time of its gadget; whether a state has an arc follows from these.
+
+Encoding reads a word's symbols once, from the first to the last. As one path alone spells each beginning of the word,
+at most one arc ends at each place, and the state it leads to decides by the transition table which arcs leave there.
+Nothing is tried and taken back. A full table has 2.4e9 entries, so entries are filled in as they are first asked for
+(a lazily determinised automaton). Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -44,17 +48,19 @@ class MergeAutomaton:
         size = max(vocab.values(), default=-1) + 1
         #: when a label came to be (0: base symbol), and the pair that it replaces
         self.born, self.left, self.right = [0] * size, [-1] * size, [-1] * size
-        #: the state that all arcs of a label lead to; state 0 is the first one
+        #: the state that all arcs of a label lead to; state 0 is the first one, which has every arc
         self.target = [0] * size
-        #: of each state: what it was copied from, the label that it lacks, and the time of its gadget
-        self.parent, self.lacks, self.made = [-1], [-1], [0]
+        #: of each state: the label whose arcs a gadget led to it, and the gadget's time
+        self.of, self.made = [-1], [0]
         #: time of the gadget that forbade v after u
         self.cut: dict[tuple[int, int], int] = {}
         #: labels that some arc bears: the base symbols, and merges as their gadgets are placed
         spelled = {i for s, i in vocab.items() if len(s[: len(s) - len(suffix)] if suffix and s.endswith(suffix) else s) == 1}
         for time, (u, v) in enumerate(merges, 1):
             self._gadget(time, vocab[u], vocab[v], vocab[u + v], spelled)
-        self.arcs: dict[tuple[int, int], bool] = {}
+        #: the transition table: by state and label the next state, or -1
+        self.table: dict[int, int] = {}
+        self.labels = size
         #: every beginning of an arc's spelling, with the arc's label if it is the whole (else -1), of arcs that can
         #: end inside a word; and the labels of those that end it
         self.inner: dict[str, int] = {}
@@ -70,27 +76,29 @@ class MergeAutomaton:
                 for i in range(1, len(spelling)):
                     self.inner.setdefault(spelling[:i], -1)
                 self.inner[spelling] = t
+        self.longest = max(map(len, self.final), default=0)
 
     def _gadget(self, time: int, u: int, v: int, w: int, seen: set[int]) -> None:
-        if w in seen or u not in seen or v not in seen or not self._follows(u, v):
+        if w in seen or u not in seen or v not in seen or not self._leaves(self.target[u], v):
             return  # no path has v after u (any more), or another merge already spells w
         seen.add(w)
         after = self.target[v]
-        self.parent.append(self.target[u])
-        self.lacks.append(v)
+        self.of.append(u)
         self.made.append(time)
-        self.target[u] = len(self.parent) - 1
+        self.target[u] = len(self.of) - 1
         self.cut[u, v] = time
         self.born[w], self.left[w], self.right[w], self.target[w] = time, u, v, after
 
-    def _follows(self, u: int, t: int) -> bool:
-        """Whether the state that u leads to has an arc t.
+    def _leaves(self, state: int, t: int) -> bool:
+        """Whether arc t leaves the state.
 
         A copy has the arcs that its parent had, without one, and each later label w = (l, r) leaves
         exactly the states that l leaves. So either t goes back to its left part, at the time of its
-        gadget, or u's state goes back to the one that u's right part led to when u came to be.
+        gadget, or the state goes back to the one that its label's right part led to when the label came to be.
         """
-        now = 1 << 40  # gadgets before this time count
+        if not state:
+            return True
+        u, now = self.of[state], self.made[state] + 1  # gadgets before this time count
         while True:
             when = self.cut.get((u, t))
             if when is not None and when < now:
@@ -103,62 +111,49 @@ class MergeAutomaton:
                 # t's gadget added its arc wherever its left part had one, the copy made then included
                 now, t = min(now, self.born[t] + 1), self.left[t]
 
-    def follows(self, u: int, t: int) -> bool:
-        key = (u, t)
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) >= ARC_TABLE:
-                self.arcs.clear()
-            known = self.arcs[key] = self._follows(u, t)
-        return known
+    def step(self, state: int, t: int) -> int:
+        """The transition: the state that arc t leads to, or -1."""
+        key = state * self.labels + t
+        to = self.table.get(key)
+        if to is None:
+            if len(self.table) >= ARC_TABLE:
+                self.table.clear()
+            to = self.table[key] = self.target[t] if self._leaves(state, t) else -1
+        return to
 
     def path(self, word: str) -> list[int]:
-        """The labels of the one path that spells the word (byte symbols, without the suffix).
-
-        From each state the longest arc that goes on with the word comes first; where none is left, the place is
-        marked dead and the walk steps back. As one path alone spells a word, the first one found is it.
-        """
-        n, arcs, inner = len(word), self.arcs, self.inner
-        out: list[int] = []
-        ways: list[tuple[list[int], int, int]] = []
-        dead: set[int] = set()
-        at, before = 0, -1
-        while at < n:
-            fits: list[int] = []
-            end = at + 1
+        """The labels of the one path that spells the word (byte symbols, without the suffix)."""
+        n, inner, final, table, labels = len(word), self.inner, self.final, self.table, self.labels
+        #: by place in the word: the state there (-1: no arc ends there), and the arc that ends there
+        states, arc, begun = [-1] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        states[0] = 0
+        for at in range(n):
+            state = states[at]
+            if state < 0:
+                continue
+            base, end = state * labels, at + 1
             while end < n:
                 t = inner.get(word[at:end])
                 if t is None:
                     break
                 if t >= 0:
-                    fits += (t, end)
+                    to = table.get(base + t)
+                    if to is None:
+                        to = self.step(state, t)
+                    if to >= 0:
+                        states[end], arc[end], begun[end] = to, t, at
                 end += 1
-            t = self.final.get(word[at:])
-            if t is not None:
-                fits += (t, n)
-            while True:
-                if not fits:
-                    dead.add(at)
-                    if not out:
-                        raise ValueError(f"no path spells {word!r}")
-                    out.pop()
-                    fits, at, before = ways.pop()
-                    continue
-                end = fits.pop()
-                t = fits.pop()
-                if end in dead:
-                    continue
-                if before >= 0:
-                    ok = arcs.get((before, t))
-                    if ok is None:
-                        ok = self.follows(before, t)
-                    if not ok:
-                        continue
-                ways.append((fits, at, before))
-                out.append(t)
-                at, before = end, t
-                break
-        return out
+            if n - at <= self.longest:
+                t = final.get(word[at:])
+                if t is not None and self.step(state, t) >= 0:
+                    states[n], arc[n], begun[n] = 0, t, at
+        if n and states[n] < 0:
+            raise ValueError(f"no path spells {word!r}")
+        out = []
+        while n:
+            out.append(arc[n])
+            n = begun[n]
+        return out[::-1]
 
 
 def _ranges(kind: str, end: int = 0x300) -> str:
@@ -238,7 +233,7 @@ class Codec:
     def forget(self) -> None:
         """Empties the tables that grow with the texts."""
         self.words, self.older = {}, {}
-        self.automaton.arcs.clear()
+        self.automaton.table.clear()
 
     def decode(self, ids: bytes) -> str:
         return " ".join([self.names[i] for i in memoryview(ids).cast("I")])
