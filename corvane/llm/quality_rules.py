@@ -1,10 +1,11 @@
 """Quality rules: base statistics of each document, and robust multivariate outliers.
 
 Everything is DataFrame and SQL functions. The statistics make a vector of transformed numbers; for each
-language and source a minimum-covariance-determinant estimate of centre and scatter is found by
-concentration steps: from the coordinates' medians and median deviations, the three quarters of the
-documents nearest to the centre give the next centre and scatter, and so on. Documents whose Mahalanobis
-distance under the last estimate passes the cut are rejected.
+language and source a minimum-covariance-determinant estimate of centre and scatter is sought from several starts:
+the coordinates' medians and median deviations, and the moments of small sets of documents chosen by a hash. From
+each start concentration steps take the three quarters of the documents nearest to the centre as the next estimate's,
+until the determinant of the scatter falls no more; of all starts the estimate with the least determinant counts.
+Documents whose Mahalanobis distance under it passes the cut are rejected.
 
 Vectors are held as integers (4096ths), so sums are exact and do not depend on the order of rows. Distances
 are counted in narrow bins with their sums; a step needs one pass, and no task ever holds a group's rows.
@@ -19,11 +20,15 @@ from corvane.llm.frames import checkpointed, content_key, documents
 
 UNIT = 4096
 DIMS = 5
-#: Deviation added to each coordinate: the log of a length, the log of a word's length, and roots of shares.
-FLOORS = (0.5, 0.15, 0.15, 0.15, 0.15)
+#: Deviation added to each coordinate, so that groups without any still have an estimate: a tenth of a text's length,
+#: a thirtieth of a word's, and of the shares' roots what one case in a text of a hundred words makes.
+FLOORS = (0.1, 0.03, 0.1, 0.1, 0.1)
 #: Smallest group that has an estimate of its own; smaller ones are pooled by language, then altogether.
 LEAST = 50
-STEPS = 4
+#: Steps from each start at most; where the determinant still falls after them, the last estimate counts.
+STEPS = 12
+#: Sets of documents that are starts beside the medians, and about how many documents each has of a group.
+SEEDS, SEED_ROWS = 2, 12
 #: Groups up to which their tables (under 300 bytes a row) are sent to all tasks.
 MOST_SENT = 20_000
 HALF = 0.75
@@ -87,7 +92,7 @@ FROM {{{{rows}}}} r LEFT JOIN {{{{sizes}}}} a ON r.{{key}} = a.{{key}}_s"""
 
 def _median(width: int, value: str) -> str:
     """Per group and coordinate, the lower edge of the median's bin."""
-    each = " UNION ALL ".join(f"SELECT grp, {i} AS dim, CAST(floor({value.format(i=i)} / {width}e0) AS BIGINT) AS bin FROM {{rows}} WHERE NOT base_failed" for i in range(1, DIMS + 1))
+    each = " UNION ALL ".join(f"SELECT grp, {i} AS dim, CAST(floor({value.format(i=i)} / {width}e0) AS BIGINT) AS bin FROM {{rows}}" for i in range(1, DIMS + 1))
     return f"""
 SELECT grp AS med_grp, {", ".join(f"min(CASE WHEN dim = {i} THEN bin END) AS b{i}" for i in range(1, DIMS + 1))} FROM (
   SELECT grp, dim, bin, sum(n) OVER (PARTITION BY grp, dim ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY grp, dim) AS every
@@ -96,12 +101,18 @@ WHERE 2 * upto >= every GROUP BY grp"""
 
 
 MEDIANS = _median(64, "q{i}")
-WITH_MEDIANS = f"SELECT r.*, {', '.join(f'b{i} * 64 + 32 AS c{i}' for i in range(1, DIMS + 1))} FROM {{rows}} r JOIN {{medians}} m ON r.grp = m.med_grp WHERE NOT base_failed"
+WITH_MEDIANS = f"SELECT r.*, {', '.join(f'b{i} * 64 + 32 AS c{i}' for i in range(1, DIMS + 1))} FROM {{rows}} r JOIN {{medians}} m ON r.grp = m.med_grp"
 DEVIATIONS = _median(16, "abs(q{i} - c{i})")
 _LOWER = [(i, j) for i in range(1, DIMS + 1) for j in range(1, i + 1)]
+_MEANS = [f"m{i}" for i in range(1, DIMS + 1)]
+_ENTRIES = [f"l{i}{j}" for i, j in _LOWER]
+#: Vectors of the documents that estimates are made from.
+VECTORS = f"SELECT grp, {', '.join(f'q{i}' for i in range(1, DIMS + 1))} FROM {{rows}} WHERE NOT base_failed"
+#: More than any determinant: what a start has before its first step.
+NO_DET = "1e300"
 START = f"""
-SELECT m.med_grp AS par_grp, {", ".join(f"(m.b{i} * 64 + 32) / {UNIT}e0 AS m{i}" for i in range(1, DIMS + 1))},
-  {", ".join(f"sqrt((1.4826e0 * (d.b{i} * 16 + 8) / {UNIT}e0) * (1.4826e0 * (d.b{i} * 16 + 8) / {UNIT}e0) + {FLOORS[i - 1] ** 2!r}e0)" + f" AS l{i}{j}" if i == j else f"CAST(0 AS DOUBLE) AS l{i}{j}" for i, j in _LOWER)}
+SELECT m.med_grp AS par_grp, 0 AS seed, {", ".join(f"(m.b{i} * 64 + 32) / {UNIT}e0 AS m{i}" for i in range(1, DIMS + 1))},
+  {", ".join(f"sqrt((1.4826e0 * (d.b{i} * 16 + 8) / {UNIT}e0) * (1.4826e0 * (d.b{i} * 16 + 8) / {UNIT}e0) + {FLOORS[i - 1] ** 2!r}e0)" + f" AS l{i}{j}" if i == j else f"CAST(0 AS DOUBLE) AS l{i}{j}" for i, j in _LOWER)}, {NO_DET} AS det
 FROM {{medians}} m JOIN {{deviations}} d ON m.med_grp = d.med_grp"""
 
 
@@ -119,10 +130,16 @@ def _nested(selects: list[str], table: str) -> str:
 _JOINED = "(SELECT * FROM {rows} r LEFT JOIN {params} p ON r.grp = p.par_grp) j"
 DISTANCE = f"SELECT *, {' + '.join(f'y{i} * y{i}' for i in range(1, DIMS + 1))} AS d2 FROM {_nested(_distance(), _JOINED)}"
 _SUMS = [f"sum(q{i}) AS s{i}" for i in range(1, DIMS + 1)] + [f"sum(q{i} * q{j}) AS s{i}{j}" for i, j in _LOWER]
-_NEAREST = f"""(SELECT *, sum(n) OVER (PARTITION BY grp ORDER BY bin) - n AS before, sum(n) OVER (PARTITION BY grp) AS every FROM (
-  SELECT grp, bin, count(*) AS n, {", ".join(_SUMS)} FROM (SELECT *, CAST(floor(ln(d2 + 1e-9) * 32) AS BIGINT) AS bin FROM ({DISTANCE}) d WHERE NOT base_failed AND d2 IS NOT NULL) b GROUP BY grp, bin) c) w"""
-_TOTALS = f"(SELECT grp AS par_grp, CAST(sum(n) AS DOUBLE) AS n, {', '.join(f'CAST(sum({c}) AS DOUBLE) AS {c}' for c in [f's{i}' for i in range(1, DIMS + 1)] + [f's{i}{j}' for i, j in _LOWER])} FROM {_NEAREST} WHERE before < {HALF}e0 * every GROUP BY grp) t"
-_MOMENTS = f"(SELECT par_grp, {', '.join(f's{i} / n / {UNIT}e0 AS m{i}' for i in range(1, DIMS + 1))}, {', '.join(f'(s{i}{j} / n - s{i} / n * (s{j} / n)) / {UNIT}e0 / {UNIT}e0 * {CONSISTENCY}e0' + (f' + {FLOORS[i - 1] ** 2!r}e0' if i == j else '') + f' AS v{i}{j}' for i, j in _LOWER)} FROM {_TOTALS}) mo"
+_ALL_SUMS = [f"s{i}" for i in range(1, DIMS + 1)] + [f"s{i}{j}" for i, j in _LOWER]
+_NEAREST = f"""(SELECT *, sum(n) OVER (PARTITION BY grp, seed ORDER BY bin) - n AS before, sum(n) OVER (PARTITION BY grp, seed) AS every FROM (
+  SELECT grp, seed, bin, count(*) AS n, {", ".join(_SUMS)} FROM (SELECT *, CAST(floor(ln(d2 + 1e-9) * 32) AS BIGINT) AS bin FROM ({DISTANCE}) d WHERE d2 IS NOT NULL) b GROUP BY grp, seed, bin) c) w"""
+_TOTALS = f"(SELECT grp AS par_grp, seed, CAST(sum(n) AS DOUBLE) AS n, {', '.join(f'CAST(sum({c}) AS DOUBLE) AS {c}' for c in _ALL_SUMS)} FROM {_NEAREST} WHERE before < {HALF}e0 * every GROUP BY grp, seed) t"
+#: A hash of the vector that any engine computes alike: remainders of products below 2**53.
+_HASHES = [f"SELECT *, (q1 * 48271 + q2 * 16807 + q3 * 69621 + q4 * 39373 + q5 * 30517 + {{k}}) % 2147483647 AS h1 FROM ", "SELECT *, (h1 * 48271 + {k}) % 2147483647 AS h2 FROM ", "SELECT *, (h2 * 69621 + {k}) % 2147483647 AS h3 FROM "]
+
+
+def _moments(totals: str) -> str:
+    return f"(SELECT par_grp, seed, {', '.join(f's{i} / n / {UNIT}e0 AS m{i}' for i in range(1, DIMS + 1))}, {', '.join(f'(s{i}{j} / n - s{i} / n * (s{j} / n)) / {UNIT}e0 / {UNIT}e0 * {CONSISTENCY}e0' + (f' + {FLOORS[i - 1] ** 2!r}e0' if i == j else '') + f' AS v{i}{j}' for i, j in _LOWER)} FROM {totals}) mo"
 
 
 def _factor() -> list[str]:
@@ -135,7 +152,27 @@ def _factor() -> list[str]:
     return out
 
 
-STEP = f"SELECT par_grp, {', '.join([f'm{i}' for i in range(1, DIMS + 1)] + [f'l{i}{j}' for i, j in _LOWER])} FROM {_nested(_factor(), _MOMENTS)}"
+def _estimate(totals: str, det: str) -> str:
+    """Centre, triangular factor and determinant from sums."""
+    return f"SELECT par_grp, seed, {', '.join(_MEANS + _ENTRIES)}, {det} AS det FROM {_nested(_factor(), _moments(totals))}"
+
+
+_DET = " * ".join(f"l{i}{i} * l{i}{i}" for i in range(1, DIMS + 1))
+#: One concentration step of all groups and starts; where the determinant does not fall, the estimate stays.
+STEP = f"""SELECT p.par_grp, p.seed, {", ".join(f"CASE WHEN e.det < p.det THEN e.{c} ELSE p.{c} END AS {c}" for c in [*_MEANS, *_ENTRIES, "det"])}
+FROM {{params}} p JOIN ({_estimate(_TOTALS, _DET)}) e ON p.par_grp = e.par_grp AND p.seed = e.seed"""
+#: Starts from the documents of a group whose hash falls on SEED_ROWS of as many places as the group has documents.
+SEED = " UNION ALL ".join(
+    _estimate(
+        f"(SELECT grp AS par_grp, {k} AS seed, CAST(count(*) AS DOUBLE) AS n, {', '.join(f'CAST({x} AS DOUBLE) AS {c}' for x, c in zip([x.split(' AS ')[0] for x in _SUMS], _ALL_SUMS, strict=True))} FROM (SELECT * FROM {_nested([h.format(k=k) for h in _HASHES], '{rows}')} JOIN {{sizes}} z ON grp = size_grp WHERE h3 % size < {SEED_ROWS}) chosen{k} GROUP BY grp) t",
+        NO_DET,
+    )
+    for k in range(1, SEEDS + 1)
+)
+GROUP_SIZES = "SELECT grp AS size_grp, count(*) AS size FROM {rows} GROUP BY grp"
+#: Of each group of enough documents the estimate with the least determinant, the first start's where they are equal.
+BEST = f"""SELECT par_grp, {", ".join(_MEANS + _ENTRIES)} FROM (SELECT *, row_number() OVER (PARTITION BY par_grp ORDER BY det, seed) AS place FROM {{params}} p JOIN {{sizes}} z ON p.par_grp = z.size_grp) o
+WHERE place = 1 AND size >= {LEAST}"""
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -145,7 +182,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found twice or more in the text. The vector: log of the words, log of the mean word length, roots of the
     shares of symbols, repeated lines and repeated words. Estimates come from documents that pass the base;
     `distance` is the Mahalanobis distance (null without an estimate) and kept documents pass the base and have
-    none beyond the cut. Groups of fewer than 50 such documents are pooled by language, and these by all; if
+    none beyond the cut. A group has SEEDS + 1 starts, of up to STEPS steps each. Groups of fewer than 50 such documents are pooled by language, and these by all; if
     even that is too small, the base alone decides.
 
     Null text counts as empty (base_failed); null languages and sources are groups of their own. Repeated
@@ -165,13 +202,18 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = sent(spark.sql(SIZES.format(key="g2", where="AND g2 <> g0"), rows=rows))
     # a group that has its own estimate is large enough under g2 as well
     rows = checkpointed(spark.sql(POOL.format(key="g2", wider="CASE WHEN g2 = g0 THEN g0 ELSE 'all' END", into="grp"), rows=rows, sizes=sizes))
-    medians = checkpointed(spark.sql(MEDIANS, rows=rows))
-    deviations = spark.sql(DEVIATIONS, rows=spark.sql(WITH_MEDIANS, rows=rows, medians=sent(medians)))
-    params = checkpointed(spark.sql(START, medians=medians, deviations=deviations))
+    vectors = checkpointed(spark.sql(VECTORS, rows=rows))
+    sizes = checkpointed(spark.sql(GROUP_SIZES, rows=vectors))
+    medians = checkpointed(spark.sql(MEDIANS, rows=vectors))
+    deviations = spark.sql(DEVIATIONS, rows=spark.sql(WITH_MEDIANS, rows=vectors, medians=sent(medians)))
+    starts = spark.sql(START, medians=medians, deviations=deviations).unionByName(spark.sql(SEED, rows=vectors, sizes=sent(sizes)))
+    params = checkpointed(starts)
     for _ in range(STEPS):
-        params = checkpointed(spark.sql(STEP, rows=rows, params=sent(params)))
-    enough = spark.sql(f"SELECT grp AS big FROM {{rows}} WHERE NOT base_failed GROUP BY grp HAVING count(*) >= {LEAST}", rows=rows)
-    judged = spark.sql(DISTANCE, rows=rows, params=sent(params.join(enough, F.col("par_grp") == F.col("big"), "left_semi")))
+        before, params = params, checkpointed(spark.sql(STEP, rows=vectors, params=sent(params)))
+        falls = before.select("par_grp", "seed", F.col("det").alias("former")).join(params, ["par_grp", "seed"]).where("det < former")
+        if falls.isEmpty():
+            break
+    judged = spark.sql(DISTANCE, rows=rows, params=sent(spark.sql(BEST, params=params, sizes=sizes)))
     return judged.select(
         F.col("__cv_id").alias(id_col),
         *[F.col(f"__cv{i}").alias(c) for i, c in enumerate(carry)],
@@ -209,15 +251,17 @@ def oracle() -> str:
         ("p0", POOL.format(key="g0", wider="concat('lang', r.g1)", into="g2").format(rows="vec", sizes="z0")),
         ("z2", SIZES.format(key="g2", where="AND g2 <> g0").format(rows="p0")),
         ("r", POOL.format(key="g2", wider="CASE WHEN g2 = g0 THEN g0 ELSE 'all' END", into="grp").format(rows="p0", sizes="z2")),
-        ("med", MEDIANS.format(rows="r")),
-        ("wm", WITH_MEDIANS.format(rows="r", medians="med")),
+        ("v", VECTORS.format(rows="r")),
+        ("z", GROUP_SIZES.format(rows="v")),
+        ("med", MEDIANS.format(rows="v")),
+        ("wm", WITH_MEDIANS.format(rows="v", medians="med")),
         ("dev", DEVIATIONS.format(rows="wm")),
-        ("s0", START.format(medians="med", deviations="dev")),
-        *[(f"s{i + 1}", STEP.format(rows="r", params=f"s{i}")) for i in range(STEPS)],
-        ("big", f"SELECT * FROM s{STEPS} WHERE par_grp IN (SELECT grp FROM r WHERE NOT base_failed GROUP BY grp HAVING count(*) >= {LEAST})"),
+        ("s0", START.format(medians="med", deviations="dev") + " UNION ALL " + SEED.format(rows="v", sizes="z")),
+        *[(f"s{i + 1}", STEP.format(rows="v", params=f"s{i}")) for i in range(STEPS)],
+        ("big", BEST.format(params=f"s{STEPS}", sizes="z")),
         ("judged", DISTANCE.format(rows="r", params="big")),
     ]
-    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in parts) + f"\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND coalesce(d2 <= {CUT}, true)) AS kept FROM judged"
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({q})" for n, q in parts) + f"\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND coalesce(d2 <= {CUT}, true)) AS kept FROM judged"
 
 
 SQL = oracle()
