@@ -316,6 +316,11 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def json_id(value) -> str:
+    """The id of a value: SHA-256 of its canonical JSON."""
+    return _sha(canonical_json(value))
+
+
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
@@ -364,13 +369,20 @@ def _excerpts(ranked: list, contents: dict, options: dict, omit) -> list[dict]:
             text, short = truncate_text(text, rest), True
         reasons, ids = list(r["reasons"]), list(r["symbol_ids"])
         out.append({
-            "id": _sha(canonical_json([f, start, end, reasons, ids, text])), "fileId": f, "relativePath": r["relative_path"], "contentHash": r["content_hash"], "startLine": start, "endLine": end, "startCharacter": 0,
+            "id": json_id([f, start, end, reasons, ids, text]), "fileId": f, "relativePath": r["relative_path"], "contentHash": r["content_hash"], "startLine": start, "endLine": end, "startCharacter": 0,
             "endCharacter": _utf16(lines[end - 1]), "text": text, "reasons": reasons, "symbolIds": ids, "truncated": short,
         })
         total += _utf16(text)
     return sorted(out, key=lambda e: (e["relativePath"], e["startLine"], e["endLine"], e["id"]))
 
 
+def external_modules(external: DataFrame, files: DataFrame) -> DataFrame:
+    """External references of some files by specifier: f (file ids) and e (ids of their imports and exports), sorted."""
+    ext = external.join(files.select(F.col("file_id").alias("__f")), F.col("source_file_id") == F.col("__f"), "left_semi")
+    entities = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat("import_ids", "export_ids")))))
+    return ext.groupBy("source_specifier", "type_only").agg(F.array_sort(F.collect_set("source_file_id")).alias("f"), entities.alias("e"))
+
+
 def check_stages(s: Stages) -> None:
     """The stages must be of one repository."""
     known = s.knowledge.files.select(F.col("file_id").alias("__k"))
@@ -445,8 +457,7 @@ def build_context(s: Stages, target: dict, options: dict | None = None, contents
             notes.setdefault(r["file_id"], []).append({"fileId": r["file_id"], "severity": r["severity"], "code": r["code"], "message": r["message"], "location": _location(r["location"])})
     modules = []
     if chosen["includeExternalDependencies"]:
-        ext = s.resolution.external.join(files.select(F.col("file_id").alias("__f")), F.col("source_file_id") == F.col("__f"), "left_semi")
-        grouped = ext.groupBy("source_specifier", "type_only").agg(F.array_sort(F.collect_set("source_file_id")).alias("f"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat("import_ids", "export_ids"))))).alias("e"))
+        grouped = external_modules(s.resolution.external, files)
         modules = [{"sourceSpecifier": r["source_specifier"], "sourceFileIds": r["f"], "typeOnly": r["type_only"], "contributingEntityIds": r["e"]} for r in grouped.orderBy("source_specifier", "type_only").collect()]
 
     repo, counts = k.repository.select("id", "name").first(), k.summaries.first()
@@ -469,7 +480,7 @@ def build_context(s: Stages, target: dict, options: dict | None = None, contents
         },
     }
     identity = {"version": "context:v1", "repository": repo["id"], "target": {"kind": at["kind"], "nodeId": at["nodeId"]}, "options": chosen, "hashes": [[r["file_id"], r["content_hash"]] for r in file_rows] if chosen["includeSource"] else []}
-    return base | {"id": _sha(canonical_json(identity))}
+    return base | {"id": json_id(identity)}
 
 
 def _location(x):

@@ -6,18 +6,21 @@ customer depends on a supplier it bought from.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import files as fl
-from corvane.functions.ids import knowledge_id, nul_id
-from corvane.functions.paths import ancestors, basename, dirname, extname, normalize
+from corvane.functions.ids import knowledge_id
+from corvane.functions.paths import ancestors, dirname
 from corvane.functions.tables import checkpointed
-from corvane.operators import explore, graph, resolve
+from corvane.operators import context, explore, graph, resolve
 from corvane.operators.cycles import elementary_cycles
 from corvane.operators.knowledge import folder_closure, group_dependencies, project_membership, relation_rows
+from corvane.plans import repository, shop
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,10 +36,6 @@ def query(sql: str | None):
     return add
 
 
-def quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -75,12 +74,7 @@ def binary_filter(spark, d):
     return t(spark, d, "pages").select("page_id", fl.is_binary(F.col("html").cast("binary")).alias("binary_content"))
 
 
-@query("SELECT octet_length(encode(html)) <= 2000 AS kept, count(*) AS pages, CAST(sum(octet_length(encode(html))) AS BIGINT) AS bytes FROM pages GROUP BY ALL")
-def size_filter(spark, d):
-    return t(spark, d, "pages").groupBy((F.octet_length("html") <= 2000).alias("kept")).agg(F.count(F.lit(1)).alias("pages"), F.sum(F.octet_length("html")).alias("bytes"))
-
-
-_NAMES_SQL = ", ".join(f"'{n}'" for n in fl.IGNORED_NAMES)
+_NAMES_SQL = "'.DS_Store', '.cache', '.env', '.git', '.next', '.nx', 'DS_Store', 'build', 'coverage', 'dist', 'node_modules', '.corvane'"
 
 
 @query(f"SELECT doc_id, path, list_has_any(string_split(path, '/'), [{_NAMES_SQL}]) AS ignored FROM (SELECT *, {_PATHS_SQL} AS path FROM documents)")
@@ -89,7 +83,7 @@ def hard_ignores(spark, d):
 
 
 IGNORE_TEXT = "*.py\n# comment\nnotes/**\n!src3/**/*.md\nsrc1*/**/*.json\n!*1*.json\n/src5/en/*.ts\n"
-_RULES_SQL = ", ".join(f"({i}, {quoted(regex)}, {str(neg).lower()})" for i, (regex, neg, folders) in enumerate(fl.ignore_rules(IGNORE_TEXT)) if not folders)
+_RULES_SQL = "(0, '(^|/)[^/]*\\.py$', false), (1, '^notes/.*$', false), (2, '^src3/(.*/)?[^/]*\\.md$', true), (3, '^src1[^/]*/(.*/)?[^/]*\\.json$', false), (4, '(^|/)[^/]*1[^/]*\\.json$', true), (5, '^src5/en/[^/]*\\.ts$', false)"
 
 
 @query(f"WITH p AS (SELECT doc_id, {_PATHS_SQL} AS path FROM documents), r(ord, re, neg) AS (VALUES {_RULES_SQL}) SELECT doc_id, path, coalesce(NOT arg_max(neg, ord), false) AS ignored FROM p LEFT JOIN r ON regexp_matches(path, re) GROUP BY ALL")
@@ -97,11 +91,6 @@ def ignore_rules_last_match(spark, d):
     return doc_paths(spark, d).select("doc_id", "path", fl.ignored_by("path", False, fl.ignore_rules(IGNORE_TEXT)).alias("ignored"))
 
 
-@query("SELECT lang AS language, count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
-def language_histogram(spark, d):
-    return t(spark, d, "documents").groupBy(F.col("lang").alias("language")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("text")).alias("chars"))
-
-
 @query("WITH p AS (SELECT regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', '') AS path FROM pages) SELECT nullif(CASE WHEN regexp_extract(path, '([^/]*)/*$', 1) = '..' THEN '' ELSE lower(regexp_extract(regexp_extract(path, '([^/]*)/*$', 1), '^.+(\\.[^.]*)$', 1)) END, '') AS extension, count(*) AS pages FROM p GROUP BY 1")
 def url_extension(spark, d):
     path = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^[a-z]+://[^/]*", "")
@@ -109,7 +98,7 @@ def url_extension(spark, d):
 
 
 PATTERNS = ["src1/*/*", "src2/**", "*/en/*.ts", "src*/d?/*"]
-_PATTERNS_SQL = ", ".join(f"({quoted(p)}, {quoted(fl.workspace_regex(p))})" for p in PATTERNS)
+_PATTERNS_SQL = "('src1/*/*', '^src1/[^/]*/[^/]*$'), ('src2/**', '^src2/.*$'), ('*/en/*.ts', '^[^/]*/en/[^/]*\\.ts$'), ('src*/d?/*', '^src[^/]*/d\\?/[^/]*$')"
 
 
 @query(f"WITH p AS (SELECT {_PATHS_SQL} AS path FROM documents), r(pattern, re) AS (VALUES {_PATTERNS_SQL}) SELECT pattern, count(path) AS matches FROM r LEFT JOIN p ON regexp_matches(path, re) GROUP BY pattern")
@@ -118,6 +107,21 @@ def workspace_glob_match(spark, d):
     return one.select(F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(f"m{i}").alias("matches")) for i, p in enumerate(PATTERNS)])).alias("r")).select("r.*")
 
 
+@query(f"WITH p AS (SELECT {_PATHS_SQL} AS path FROM documents) SELECT {_LANG_SQL} AS language, count(*) AS files FROM p GROUP BY 1")
+def language_histogram(spark, d):
+    files = doc_paths(spark, d).select(fl.language(fl.extension("path")).alias("language"))
+    return spark.createDataFrame(repository.language_histogram(files), "language string, files long")
+
+
+_NAME_SQL = "regexp_extract(path, '[^/]*$')"
+
+
+@query(f"WITH p AS (SELECT {_PATHS_SQL} AS path FROM documents), q AS (SELECT {_LANG_SQL} IN ('JSON', 'YAML', 'Markdown') OR {_NAME_SQL} = '.gitkeep' OR contains({_NAME_SQL}, '.config.') OR starts_with({_NAME_SQL}, 'tsconfig.') OR list_contains(string_split(path, '/'), 'config') AS config, list_contains(string_split(path, '/'), '__tests__') OR contains({_NAME_SQL}, '.spec.') OR contains({_NAME_SQL}, '.test.') AS test FROM p) SELECT config, test, count(*) AS files FROM q GROUP BY ALL")
+def path_classifiers(spark, d):
+    rows = doc_paths(spark, d).withColumn("language", fl.language(fl.extension("path")))
+    return rows.groupBy(context.is_config("path").alias("config"), context.is_test("path").alias("test")).agg(F.count(F.lit(1)).alias("files"))
+
+
 @query("SELECT count(*) AS files, count(*) FILTER (n > 1) AS in_folders, count(DISTINCT folder) AS folders FROM (SELECT path, len(string_split(path, '/')) AS n, nullif(regexp_extract(path, '^(.*[^/])/+[^/]+/*$', 1), '') AS folder FROM (SELECT " + _PATHS_SQL + " AS path FROM documents))")
 def path_functions(spark, d):
     return doc_paths(spark, d).agg(F.count(F.lit(1)).alias("files"), F.count_if(F.size(ancestors("path")) > 0).alias("in_folders"), F.count_distinct(dirname("path")).alias("folders"))
@@ -126,12 +130,6 @@ def path_functions(spark, d):
 # modules -----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, pos, href FROM (SELECT page_id, unnest(h) AS href, unnest(range(1, len(h) + 1)) AS pos FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS h FROM pages))")
-def import_extraction(spark, d):
-    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
-    return t(spark, d, "pages").select("page_id", F.posexplode(found).alias("at", "href")).select("page_id", (F.col("at") + 1).cast("long").alias("pos"), "href")
-
-
 _STORED = "CASE p_partkey % 5 WHEN 0 THEN base || '.tsx' WHEN 1 THEN base || '/index.ts' WHEN 2 THEN base || '.js' WHEN 3 THEN base || '.css' ELSE base END"
 
 
@@ -160,28 +158,6 @@ def alias_longest_prefix(spark, d):
     return asked.join(best, F.col("spec") == F.col("s"), "left").select("p_partkey", "spec", "alias")
 
 
-@query(
-    """SELECT l_returnflag, CASE WHEN s.s_suppkey IS NULL THEN 'unresolved' WHEN s_acctbal < 2000 THEN 'external' ELSE 'resolved-symbol' END AS status, count(*) AS n
-FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_nationkey < 20) s ON l_suppkey = s_suppkey GROUP BY ALL"""
-)
-def resolution_status(spark, d):
-    known = t(spark, d, "supplier").where("s_nationkey < 20").select("s_suppkey", "s_acctbal")
-    rows = t(spark, d, "lineitem").select("l_suppkey", "l_returnflag").join(known, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    return rows.groupBy("l_returnflag", F.when(F.col("s_suppkey").isNull(), "unresolved").when(F.col("s_acctbal") < 2000, "external").otherwise("resolved-symbol").alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(
-    """WITH e AS (SELECT DISTINCT s_nationkey AS file, s_suppkey AS statement, p_brand || '.' || p_size % 10 AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48)
-SELECT file, name, count(*) > 1 AS ambiguous, CASE WHEN count(*) = 1 THEN min(statement) END AS origin FROM e GROUP BY file, name"""
-)
-def effective_exports_ambiguous(spark, d):
-    rows = (
-        t(spark, d, "lineitem").where("l_quantity > 48").select("l_suppkey", "l_partkey").join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .select(F.col("s_nationkey").alias("file"), F.col("s_suppkey").alias("statement"), F.concat("p_brand", F.lit("."), F.col("p_size") % 10).alias("name")).distinct()
-    )
-    return rows.groupBy("file", "name").agg((F.count(F.lit(1)) > 1).alias("ambiguous"), F.when(F.count(F.lit(1)) == 1, F.min("statement")).alias("origin"))
-
-
 def bought(spark, d) -> DataFrame:
     """source (customer), target (supplier), kind, type_only: distinct edges."""
     li = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", "l_linestatus")
@@ -207,18 +183,6 @@ def external_dependencies(spark, d):
     return resolve.external_groups(rows).select("source_file_id", "source_specifier", "type_only", F.array_join("import_ids", ",").alias("import_ids"))
 
 
-@query("SELECT DISTINCT sha256('binding' || chr(0) || l_orderkey || chr(0) || p_brand) AS id, l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate < TIMESTAMP '1997-01-01'")
-def symbol_bindings(spark, d):
-    rows = t(spark, d, "lineitem").where("l_shipdate < TIMESTAMP '1997-01-01'").select("l_orderkey", "l_partkey").join(t(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select("l_orderkey", "p_brand").distinct().select(nul_id("binding", F.col("l_orderkey"), F.col("p_brand")).alias("id"), "l_orderkey", "p_brand")
-
-
-@query(f"WITH {_EDGES} SELECT node, CAST(sum(i) AS BIGINT) AS incoming, CAST(sum(o) AS BIGINT) AS outgoing FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT tgt, 1, 0 FROM e) GROUP BY node")
-def module_in_out(spark, d):
-    ends = resolve.dependency_edges(bought(spark, d)).select(F.explode(F.array(F.struct(F.col("source_file_id").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("target_file_id").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("x"))
-    return ends.groupBy("x.node").agg(F.sum("x.i").alias("incoming"), F.sum("x.o").alias("outgoing"))
-
-
 _STEPS = "steps AS (SELECT DISTINCT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, event_type AS b FROM events)"
 
 
@@ -252,11 +216,6 @@ def folder_closure_ids(spark, d):
     return folder_closure(customer_paths(spark, d)).select("folder", knowledge_id("folder", F.col("folder")).alias("id"))
 
 
-@query(f"WITH {_CUST_PATHS}, {_FOLDERS_SQL} SELECT folder, nullif(regexp_extract(folder, '^(.*[^/])/+[^/]+/*$', 1), '') AS parent, count(*) AS descendant_files FROM f GROUP BY ALL")
-def folder_descendants(spark, d):
-    return customer_paths(spark, d).select(F.explode(ancestors("path")).alias("folder")).groupBy("folder").agg(F.count(F.lit(1)).alias("descendant_files")).select("folder", dirname("folder").alias("parent"), "descendant_files")
-
-
 _ROOTS = [("all", ""), ("west", "r1"), ("n3", "r1/n3"), ("build3", "r1/n3/building"), ("east", "r2")]
 _ROOTS_SQL = ", ".join(f"('{a}', '{b}')" for a, b in _ROOTS)
 
@@ -267,22 +226,6 @@ def project_members(spark, d):
     return project_membership(customer_paths(spark, d).select("path"), roots)
 
 
-@query("SELECT o_orderpriority AS surface, o_orderstatus AS name, count(*) AS exports, count(DISTINCT o_custkey) AS files FROM orders GROUP BY ALL")
-def public_surface(spark, d):
-    return t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("surface"), F.col("o_orderstatus").alias("name")).agg(F.count(F.lit(1)).alias("exports"), F.count_distinct("o_custkey").alias("files"))
-
-
-@query("SELECT o_orderkey FROM orders ANTI JOIN lineitem ON o_orderkey = l_orderkey")
-def orphans(spark, d):
-    return t(spark, d, "orders").select("o_orderkey").join(t(spark, d, "lineitem").select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
-
-
-@query("SELECT o_orderkey, count(l_orderkey) > 0 AS exported, coalesce(bool_or(l_linenumber = 1), false) AS default_export, coalesce(bool_and(l_linestatus = 'F'), false) AS type_only FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
-def symbol_flags(spark, d):
-    lines = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_linenumber") == 1).alias("first"), F.bool_and(F.col("l_linestatus") == "F").alias("types"))
-    return t(spark, d, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.col("l_orderkey").isNotNull().alias("exported"), F.coalesce("first", F.lit(False)).alias("default_export"), F.coalesce("types", F.lit(False)).alias("type_only"))
-
-
 def members(spark, d) -> DataFrame:
     """member, grp: customers and suppliers with their nation."""
     return t(spark, d, "customer").select(F.concat(F.lit("c:"), "c_custkey").alias("member"), F.col("c_nationkey").alias("grp")).unionByName(t(spark, d, "supplier").select(F.concat(F.lit("s:"), "s_suppkey").alias("member"), F.col("s_nationkey").alias("grp")))
@@ -338,17 +281,9 @@ def relations_union(spark, d):
     return world(spark, d).relations.groupBy("kind").agg(F.count(F.lit(1)).alias("relations"), F.count_distinct("source_node_id").alias("sources"), F.count_distinct("target_node_id").alias("targets"), F.min("id").alias("first_id"))
 
 
-@query(f"{_G} SELECT (SELECT count(*) FROM nodes WHERE kind = 'project') AS projects, (SELECT count(*) FROM nodes WHERE kind = 'file') AS files, (SELECT count(*) FROM nodes WHERE kind = 'symbol') AS symbols, (SELECT count(*) FROM g WHERE kind = 'depends-on') AS file_dependencies, (SELECT count(*) FROM g WHERE kind = 'project-depends-on') AS project_dependencies, (SELECT count(*) FROM nodes WHERE kind = 'file' AND id NOT IN (SELECT src FROM g WHERE kind = 'depends-on') AND id NOT IN (SELECT tgt FROM g WHERE kind = 'depends-on')) AS orphan_files")
-def knowledge_summary(spark, d):
-    w = world(spark, d)
-    kinds = w.nodes.agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("project", "projects"), ("file", "files"), ("symbol", "symbols"))])
-    rels = w.relations.agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("depends-on", "file_dependencies"), ("project-depends-on", "project_dependencies"))])
-    used = w.relations.where("kind = 'depends-on'").select(F.explode(F.array("source_node_id", "target_node_id")).alias("u"))
-    lone = w.nodes.where("kind = 'file'").join(used, F.col("id") == F.col("u"), "left_anti").agg(F.count(F.lit(1)).alias("orphan_files"))
-    return kinds.join(rels).join(lone)
-
-
-_LEGAL_SQL = ", ".join(f"('{k}', '{s}', '{x}')" for k, s, x in graph.ENDPOINT_KINDS)
+_LEGAL_SQL = """('contains', 'repository', 'project'), ('contains', 'repository', 'folder'), ('contains', 'repository', 'file'), ('contains', 'project', 'folder'), ('contains', 'project', 'file'), ('contains', 'project', 'symbol'),
+  ('contains', 'folder', 'folder'), ('contains', 'folder', 'file'), ('belongs-to-project', 'file', 'project'), ('belongs-to-project', 'symbol', 'project'), ('declares', 'file', 'symbol'), ('exports', 'file', 'symbol'), ('binds-to', 'file', 'symbol'),
+  ('depends-on', 'file', 'file'), ('parent-symbol', 'symbol', 'symbol'), ('project-depends-on', 'project', 'project')"""
 
 
 @query(
@@ -421,34 +356,12 @@ def view_repository(spark, d):
     return _view(spark, d, "repository").edges.groupBy("kind").agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query(f"{_FILES_SQL}, e AS (SELECT * FROM kept ORDER BY src, kind, tgt, id LIMIT 20000) SELECT count(*) AS roots FROM chosen WHERE id NOT IN (SELECT tgt FROM kept)")
-def view_roots(spark, d):
-    got = _view(spark, d, "file-dependencies")
-    every = got.nodes.join(graph.steps(world(spark, d).relations.where("kind = 'depends-on'"), "outgoing").select(F.col("far").alias("id")), "id", "left_anti")
-    return every.agg(F.count(F.lit(1)).alias("roots"))
-
-
-@query(f"{_G} SELECT (SELECT count(*) FROM nodes WHERE kind = 'project') AS node_count, (SELECT count(*) FROM g WHERE kind = 'project-depends-on') AS edge_count, 0 AS omission_count")
-def artifact_counts(spark, d):
-    got = _view(spark, d, "project-dependencies")
-    n = got.nodes.agg(F.count(F.lit(1)).alias("node_count")).join(got.edges.agg(F.count(F.lit(1)).alias("edge_count")))
-    return n.join(got.omissions.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("int").alias("omission_count")))
-
-
 @query(f"{_G}, e AS (SELECT id, unnest(list_distinct([src, tgt])) AS node FROM g) SELECT n.id, count(e.id) AS degree, CAST(least(88, floor(38 + 6 * sqrt(count(e.id)) + 0.5)) AS INT) AS size FROM nodes n LEFT JOIN e ON n.id = node GROUP BY n.id")
 def degree_and_size(spark, d):
     w = world(spark, d)
     return explore.degrees(w.nodes, w.relations)
 
 
-@query(f"{_G}, v AS (SELECT id FROM nodes WHERE kind IN ('file', 'project') AND (contains(lower(id), 's:1') OR contains(lower(qualified_name), '00012'))) SELECT 'node' AS element, id FROM v UNION ALL SELECT 'edge', id FROM g WHERE src IN (SELECT id FROM v) AND tgt IN (SELECT id FROM v)")
-def visible_elements(spark, d):
-    w = world(spark, d)
-    nodes = w.nodes.select("id", "kind", F.col("qualified_name").alias("label"), F.lit(None).cast("string").alias("subtitle"), F.lit(None).cast("string").alias("path"))
-    one, two = explore.visible(nodes.where("label LIKE '%00012%' OR id LIKE 's:1%'"), w.relations, "", ["file", "project"])
-    return one.select(F.lit("node").alias("element"), "id").unionByName(two.select(F.lit("edge").alias("element"), "id"))
-
-
 @query(f"{_G}, h AS (SELECT DISTINCT src, tgt FROM g WHERE kind IN ('contains', 'declares')), a AS (SELECT 'r' AS id, 2 AS remaining), b AS (SELECT tgt AS id, 1 AS remaining FROM h WHERE src = 'r' ), c AS (SELECT tgt AS id, CASE WHEN tgt = '{_NODE}' THEN 2 ELSE 0 END AS remaining FROM h JOIN b ON src = b.id WHERE b.id <> 'n:3'), d AS (SELECT tgt AS id, 1 AS remaining FROM h WHERE src = '{_NODE}' AND '{_NODE}' IN (SELECT id FROM c)) SELECT id, CAST(max(remaining) AS INT) AS remaining FROM (SELECT id, CASE WHEN id = 'n:3' THEN 0 ELSE remaining END AS remaining FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d)) GROUP BY id")
 def exploration_depth2(spark, d):
     w = world(spark, d)
@@ -464,20 +377,6 @@ def isolated_closure(spark, d):
 # selections --------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT o_orderpriority AS file, " + ", ".join(f"count(*) FILTER (o_orderstatus = '{s}') AS {n}" for s, n in (("F", "finished"), ("O", "open"), ("P", "partial"))) + " FROM orders GROUP BY 1")
-def symbol_kind_pivot(spark, d):
-    got = t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("file")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
-    return got.select("file", *[F.coalesce(s, F.lit(0)).alias(n) for s, n in (("F", "finished"), ("O", "open"), ("P", "partial"))])
-
-
-@query(
-    f"""WITH p AS (SELECT {_PATHS_SQL} AS path FROM documents) SELECT CASE WHEN regexp_matches(path, '\\.(json|md|yaml|yml)$') THEN 'config' WHEN regexp_matches(path, '\\.(spec|test)\\.[^/]*$') THEN 'test' ELSE 'source' END AS class, count(*) AS files FROM p GROUP BY 1"""
-)
-def path_classifiers(spark, d):
-    p = F.col("path")
-    return doc_paths(spark, d).groupBy(F.when(p.rlike(r"\.(json|md|yaml|yml)$"), "config").when(p.rlike(r"\.(spec|test)\.[^/]*$"), "test").otherwise("source").alias("class")).agg(F.count(F.lit(1)).alias("files"))
-
-
 _RANGES = "r AS (SELECT l_orderkey AS file, CAST(l_quantity AS INT) * 3 AS lo, CAST(l_quantity AS INT) * 3 + l_linenumber AS hi, l_linenumber AS priority FROM lineitem)"
 
 
@@ -492,36 +391,6 @@ def excerpt_ranges_merged(spark, d):
     return merged_ranges(rows, ["file"], "lo", "hi", ["priority"], 3).groupBy("file", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("priority").alias("priority"), F.count(F.lit(1)).alias("requests")).drop("island")
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE left(text, CAST(floor((400 - 5) * 0.65) AS BIGINT)) || chr(10) || '...' || chr(10) || right(text, CAST(400 - 5 - floor((400 - 5) * 0.65) AS BIGINT)) END AS excerpt FROM documents WHERE text IS NOT NULL")
-def excerpt_truncate(spark, d):
-    from corvane.operators.context import truncated
-
-    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", truncated(F.col("text"), 400, "\n...\n").alias("excerpt"))
-
-
-@query(
-    """WITH e AS (SELECT DISTINCT o_custkey AS s, l_suppkey AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey), fan AS (SELECT t, count(*) AS fan_in FROM e GROUP BY t),
-one AS (SELECT t AS id, 10 AS priority, 1 AS depth FROM e WHERE s = 7), back AS (SELECT DISTINCT 1000000000 + e.s AS id, 21 AS priority, 2 AS depth FROM e JOIN one ON e.t = one.id WHERE e.s <> 7), c AS (SELECT 1000000007 AS id, 0 AS priority, 0 AS depth UNION ALL SELECT * FROM one UNION ALL SELECT * FROM back)
-SELECT CAST(row_number() OVER (ORDER BY priority, depth, coalesce(fan_in, 0) DESC, id) AS INT) AS place, CAST(id AS BIGINT) AS id, CAST(priority AS INT) AS priority, CAST(depth AS INT) AS depth FROM c LEFT JOIN fan ON id = t"""
-)
-def context_file_ranking(spark, d):
-    e = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(t(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("s"), F.col("l_suppkey").alias("t")).distinct()
-    fan = e.groupBy(F.col("t").alias("f")).agg(F.count(F.lit(1)).alias("fan_in"))
-    one = e.where("s = 7").select(F.col("t").alias("id"), F.lit(10).alias("priority"), F.lit(1).alias("depth"))
-    back = e.join(one.select("id"), F.col("t") == F.col("id")).where("s <> 7").select((F.col("s") + 1000000000).alias("id"), F.lit(21).alias("priority"), F.lit(2).alias("depth")).distinct()
-    own = spark.range(1).select((F.col("id") + 1000000007).alias("id"), F.lit(0).alias("priority"), F.lit(0).alias("depth"))
-    rows = own.unionByName(one).unionByName(back).groupBy("id").agg(F.min("priority").alias("priority"), F.min("depth").alias("depth")).join(fan, F.col("id") == F.col("f"), "left")
-    # the candidates around one target: a ranking of a few, by contract
-    return rows.select(F.row_number().over(Window.orderBy("priority", "depth", F.coalesce("fan_in", F.lit(0)).desc(), "id")).alias("place"), "id", "priority", "depth")
-
-
-@query("SELECT nation, place, c_custkey FROM (SELECT c_nationkey AS nation, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 10 WHEN 'MACHINERY' THEN 20 ELSE 30 END, c_acctbal DESC, c_custkey) AS INT) AS place FROM customer) WHERE place <= 5")
-def context_project_files(spark, d):
-    rank = F.expr("CASE c_mktsegment WHEN 'BUILDING' THEN 10 WHEN 'MACHINERY' THEN 20 ELSE 30 END")
-    w = Window.partitionBy("c_nationkey").orderBy(rank, F.col("c_acctbal").desc(), "c_custkey")
-    return t(spark, d, "customer").withColumn("place", F.row_number().over(w)).where("place <= 5").select(F.col("c_nationkey").alias("nation"), "place", "c_custkey")
-
-
 @query("SELECT o_custkey, array_to_string(list_sort(list(DISTINCT CASE o_orderpriority WHEN '1-URGENT' THEN '0 target' WHEN '2-HIGH' THEN '1 direct-dependency' ELSE '2 same-file-symbol' END)), ', ') AS reasons FROM orders GROUP BY o_custkey")
 def context_reasons(spark, d):
     from corvane.operators.context import in_order
@@ -533,25 +402,38 @@ def context_reasons(spark, d):
     return got.select("o_custkey", F.array_join(number, ", ").alias("reasons"))
 
 
-@query("SELECT reason, CAST(sum(greatest(n - 3, 0)) AS BIGINT) AS count FROM (SELECT CASE WHEN o_orderstatus = 'F' THEN 'SYMBOL_LIMIT' ELSE 'FILE_LIMIT' END AS reason, o_custkey, count(*) AS n FROM orders GROUP BY ALL) GROUP BY reason")
-def context_omissions(spark, d):
-    rows = t(spark, d, "orders").groupBy(F.when(F.col("o_orderstatus") == "F", "SYMBOL_LIMIT").otherwise("FILE_LIMIT").alias("reason"), "o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    return rows.groupBy("reason").agg(F.sum(F.greatest(F.col("n") - 3, F.lit(0))).alias("count"))
+def _texts(rows, make, name):
+    """The rows (key, text) with what `make` gives for each text, in Arrow batches."""
+    key = rows.columns[0]
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make(x) for x in batch.column(1).to_pylist()], pa.string())], names=[key, name])
 
+    return rows.mapInArrow(run, f"{key} long, {name} string")
 
-@query("SELECT source, place, doc_id FROM (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY kind, id) AS INT) AS place FROM (SELECT source, doc_id, CASE WHEN n_chars > 3000 THEN 0 WHEN n_chars > 1000 THEN 6 ELSE 9 END AS kind, doc_id AS id FROM documents)) WHERE place <= 4")
-def context_relation_topk(spark, d):
-    rank = F.when(F.col("n_chars") > 3000, 0).when(F.col("n_chars") > 1000, 6).otherwise(9)
-    return t(spark, d, "documents").select("source", "doc_id", "n_chars").withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(rank, "doc_id"))).where("place <= 4").select("source", "place", "doc_id")
 
+_MARK_SQL = "chr(10) || '/* … excerpt truncated … */' || chr(10)"
 
-@query("SELECT l_returnflag AS specifier, l_linestatus = 'F' AS type_only, count(DISTINCT o_custkey) AS files, count(DISTINCT l_suppkey) AS imports FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
-def external_modules_regrouped(spark, d):
-    rows = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", "l_linestatus").join(t(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.groupBy(F.col("l_returnflag").alias("specifier"), (F.col("l_linestatus") == "F").alias("type_only")).agg(F.count_distinct("o_custkey").alias("files"), F.count_distinct("l_suppkey").alias("imports"))
+
+@query(f"WITH m AS (SELECT {_MARK_SQL} AS mark, 400 - length({_MARK_SQL}) AS room) SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE left(text, CAST(floor(room * 0.65) AS BIGINT)) || mark || right(text, CAST(room - floor(room * 0.65) AS BIGINT)) END AS excerpt FROM documents, m WHERE text IS NOT NULL")
+def excerpt_truncate(spark, d):
+    return _texts(t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text"), lambda x: context.truncate_text(x, 400), "excerpt")
 
 
 @query("SELECT c_custkey, sha256('{\"id\":' || c_custkey || ',\"name\":\"' || c_name || '\",\"nation\":' || c_nationkey || '}') AS id FROM customer")
 def canonical_json_id(spark, d):
-    body = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")))
-    return t(spark, d, "customer").select("c_custkey", F.sha2(body.cast("binary"), 256).alias("id"))
+    rows = t(spark, d, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), F.col("c_custkey").alias("id"))).alias("body"))
+    return _texts(rows, lambda x: context.json_id(json.loads(x)), "id")
+
+
+@query(f"{_G}, v AS (SELECT id FROM nodes WHERE kind IN ('file', 'project') AND (contains(lower(id), 's:1') OR contains(lower(qualified_name), 's:1'))) SELECT 'node' AS element, id FROM v UNION ALL SELECT 'edge', id FROM g WHERE src IN (SELECT id FROM v) AND tgt IN (SELECT id FROM v)")
+def visible_elements(spark, d):
+    w = world(spark, d)
+    nodes = w.nodes.select("id", "kind", F.col("qualified_name").alias("label"), F.lit(None).cast("string").alias("subtitle"), F.lit(None).cast("string").alias("path"))
+    one, two = explore.visible(nodes, w.relations, " S:1 ", ["file", "project"])
+    return one.select(F.lit("node").alias("element"), "id").unionByName(two.select(F.lit("edge").alias("element"), "id"))
+
+
+QUERIES |= shop.QUERIES
+SQL |= shop.SQL
