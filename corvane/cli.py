@@ -15,9 +15,10 @@ from corvane.operators.context import build_context
 from corvane.operators.graph import VIEWS, create_graph
 from corvane.plans import repository as plan
 from corvane.schemas import SYMBOL_KINDS, InputError
-from corvane.sources.repository import scan_entries, scan_tables
+from corvane.sources.repository import reread, scan_entries, scan_tables
 
 OUTPUT = ".corvane/graph.json"
+# The commands, flags and labels of the outputs below.
 _LABELS = dict(zip(SYMBOL_KINDS, ("Functions", "Classes", "Methods", "Constructors", "Interfaces", "Type aliases", "Enums", "Variables"), strict=True))
 _COMMANDS = ("index", "analyze", "context", "graph")
 _TARGETS = {"--file": ("file", "relativePath"), "--symbol": ("symbol", "qualifiedName"), "--folder": ("folder", "relativePath"), "--project": ("project", "name")}
@@ -140,7 +141,7 @@ def run(argv: list[str], spark: SparkSession | None = None, out: Callable[[str],
         if args["command"] == "analyze":
             out(plan.document_text(plan.analysis_document(repo)).rstrip("\n") if args["json"] else analysis_text(plan.summary(repo), clock() - began))
         elif args["command"] == "context":
-            package = build_context(repo.stages(), args["target"], args["options"], repo.files.select("id", "content"))
+            package = build_context(repo.stages(), args["target"], args["options"], reread)
             out(plan.document_text(package).rstrip("\n") if args["json"] else context_text(package))
         else:
             made = art.create_artifact(create_graph(repo.knowledge), **args["graph"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,13 @@ from corvane.schemas import InputError
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder that the cluster names; a local one only where none is named, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/corvane")
+    """The folder that the cluster names; only a local master, as in tests, does without one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir(named or "/tmp/checkpoints/corvane")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

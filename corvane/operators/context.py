@@ -9,7 +9,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +50,8 @@ class Stages:
     diagnostics: DataFrame
     resolution: Resolution
     knowledge: Knowledge
+    #: the root paths that scan, analysis, resolution and model are of, where they are known
+    roots: tuple[str, ...] = ("",)
 
 
 def in_order(values: Column, order) -> Column:
@@ -56,14 +60,6 @@ def in_order(values: Column, order) -> Column:
     return F.filter(wanted, lambda x: F.array_contains(values, x))
 
 
-def truncated(text: Column, most: int, marker: str = MARKER) -> Column:
-    """Head and tail of a text around a marker, `most` characters in all."""
-    if most <= len(marker):
-        return F.when(F.length(text) <= most, text).otherwise(F.left(text, F.lit(most)))
-    head = int((most - len(marker)) * HEAD_SHARE)
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(head)), F.lit(marker), F.right(text, F.lit(most - len(marker) - head))))
-
-
 def merged_ranges(rows: DataFrame, keys: list[str], lo: str, hi: str, ties: list[str], gap: int) -> DataFrame:
     """The rows with `island`: ranges of a key that overlap, or lie at most `gap` lines apart, share one."""
     w = Window.partitionBy(*keys).orderBy(lo, hi, *ties)
@@ -326,7 +322,7 @@ def _sha(text: str) -> str:
 
 
 def _excerpts(ranked: list, contents: dict, options: dict, omit) -> list[dict]:
-    """Keeps the running budget; ranked requests in order, contents by file id (None: not readable)."""
+    """Keeps the running budget; ranked requests in order, sources by file id (without content: not readable)."""
     out, total, gone, lines_of = [], 0, set(), {}
     for at, r in enumerate(ranked):
         if len(out) >= options["maxExcerpts"]:
@@ -336,17 +332,20 @@ def _excerpts(ranked: list, contents: dict, options: dict, omit) -> list[dict]:
         if f in gone:
             continue
         if f not in lines_of:
-            raw = contents.get(f)
+            source = contents.get(f) or {}
+            raw = source.get("content")
             if raw is None:
                 if r["mandatory"]:
                     raise ContextError("SOURCE_FILE_MISMATCH", f"Mandatory target source is unavailable: {r['relative_path']}.")
                 gone.add(f)
                 omit("SOURCE_UNAVAILABLE", "source", 1, f)
                 continue
-            text = raw.decode("utf-8", "replace")
+            text = bytes(raw).decode("utf-8", "replace")
+            if _plain(source.get("relative_path", r["relative_path"])) != r["relative_path"]:
+                raise ContextError("SOURCE_FILE_MISMATCH", "Source provider returned a mismatched file identity.")
             if _utf16(text) > SAFETY_CEILING:
                 raise ContextError("SOURCE_TOO_LARGE", "Source provider returned a file above the safety ceiling.")
-            if hashlib.sha256(text.encode()).hexdigest() != r["content_hash"]:
+            if {source.get("content_hash", r["content_hash"]), hashlib.sha256(text.encode()).hexdigest()} != {r["content_hash"]}:
                 raise ContextError("SOURCE_HASH_MISMATCH", "Source provider returned content with a mismatched hash.")
             if "\0" in text:
                 if r["mandatory"]:
@@ -384,16 +383,28 @@ def external_modules(external: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def check_stages(s: Stages) -> None:
-    """The stages must be of one repository."""
-    known = s.knowledge.files.select(F.col("file_id").alias("__k"))
-    refuse(s.scan_files.join(known, F.col("id") == F.col("__k"), "left_anti"), ContextError, "STAGE_MISMATCH", "Scanned file is absent from knowledge", "id")
-    scanned = s.scan_files.select(F.col("id").alias("__s"), F.col("content_hash").alias("__h"))
-    refuse(s.knowledge.files.join(scanned, (F.col("file_id") == F.col("__s")) & F.col("content_hash").eqNullSafe(F.col("__h")), "left_anti"), ContextError, "STAGE_MISMATCH", "Knowledge file differs from the scan", "file_id")
-    refuse(s.parsed_files.join(scanned, F.col("file_id") == F.col("__s"), "left_anti"), ContextError, "STAGE_MISMATCH", "Parsed file is absent from the scan", "file_id")
-
-
-def build_context(s: Stages, target: dict, options: dict | None = None, contents: DataFrame | None = None) -> dict:
-    """A context package as plain values. `contents` has id and content (binary) of the scanned files."""
+    """The stages must be of one repository, and the model whole. The error's code names the stages that differ."""
+    names = ("SCAN_ANALYSIS_MISMATCH", "SCAN_RESOLUTION_MISMATCH", "SCAN_KNOWLEDGE_MISMATCH")
+    for code, root in zip(names, s.roots[1:], strict=False):
+        if root != s.roots[0]:
+            raise ContextError(code, f"Stages are of different roots: {s.roots[0]} and {root}.")
+    k, r = s.knowledge, s.resolution
+    scanned = s.scan_files.select(F.col("id").alias("__s"))
+    placed = r.imports.select("source_file_id").unionByName(r.exports.select("source_file_id")).unionByName(r.dependencies.select("source_file_id")).unionByName(r.dependencies.select(F.col("target_file_id").alias("source_file_id")))
+    for table, column, code, what in ((s.parsed_files, "file_id", names[0], "Analysis"), (placed, "source_file_id", names[1], "Resolution"), (k.files, "file_id", names[2], "Knowledge")):
+        refuse(table.select(column).distinct().join(scanned, F.col(column) == F.col("__s"), "left_anti"), ContextError, code, f"{what} references a file absent from the scan", column)
+    refuse(k.symbols.join(k.files.select(F.col("file_id").alias("__k")), F.col("file_id") == F.col("__k"), "left_anti"), ContextError, names[2], "Knowledge symbol references a missing file", "symbol_id")
+    nodes = reduce(DataFrame.union, [t.select(F.col("id").alias("__n")) for t in (k.repository, k.projects, k.folders, k.files, k.symbols)])
+    ends = k.relations.select("id", F.explode(F.array("source_node_id", "target_node_id")).alias("end"))
+    refuse(ends.join(nodes, F.col("end") == F.col("__n"), "left_anti"), ContextError, "KNOWLEDGE_RELATION_INVALID", "Knowledge relation has a missing endpoint", "id")
+
+
+def build_context(s: Stages, target: dict, options: dict | None = None, contents: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> dict:
+    """A context package as plain values.
+
+    `contents` has id and content (binary) of the scanned files, or gives them for the files asked for (id,
+    relative_path, absolute_path, content_hash); it may say relative_path and content_hash too, which are then checked.
+    """
     chosen = checked_options(options)
     check_stages(s)
     k = s.knowledge
@@ -446,8 +457,11 @@ def build_context(s: Stages, target: dict, options: dict | None = None, contents
         # a request for each selected symbol and file at most: the options' ceilings bound them
         ranked = merged_requests(excerpt_requests(at, files, symbols)).join(facts, F.col("file_id") == F.col("__f")).orderBy("priority", "relative_path", "lo", "hi").collect()
         need = files.select(F.col("file_id").alias("__f"))
-        texts = {r["id"]: bytes(r["content"]) if r["content"] is not None else None for r in contents.join(need, F.col("id") == F.col("__f"), "left_semi").select("id", "content").toLocalIterator()}
-        excerpts = _excerpts(ranked, texts, chosen, omit)
+        asked = s.scan_files.join(need, F.col("id") == F.col("__f"), "left_semi")
+        given = contents(asked.select("id", "relative_path", "absolute_path", "content_hash")) if callable(contents) else contents.join(need, F.col("id") == F.col("__f"), "left_semi")
+        said = [c for c in ("relative_path", "content_hash") if c in given.columns]
+        sources = {r["id"]: r.asDict() for r in given.select("id", "content", *said).toLocalIterator()}
+        excerpts = _excerpts(ranked, sources, chosen, omit)
     else:
         omit("SOURCE_DISABLED", "source", len(file_rows))
 

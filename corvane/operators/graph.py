@@ -119,7 +119,7 @@ def discover(nodes: DataFrame, relations: DataFrame, start: DataFrame, max_depth
 
     Node kinds bound the way too. A level is a join of the frontier; nothing is held on the driver.
     """
-    way = steps(_kinds(relations, relation_kinds), direction).select("near", "far").distinct()
+    way = steps(_kinds(relations, relation_kinds), direction).select("near", "far")
     if node_kinds is not None:
         way = way.join(_kinds(nodes, node_kinds).select(F.col("id").alias("far")), "far", "left_semi")
     found = checkpointed(start.select("id", F.lit(0).alias("depth")))
@@ -135,7 +135,8 @@ def discover(nodes: DataFrame, relations: DataFrame, start: DataFrame, max_depth
 def first_rows(table: DataFrame, order: list[Column], most: int) -> DataFrame:
     """The first `most` rows in order, with their `place` from 1 on: a top-k, then a window over its few rows."""
     top = table.orderBy(*order).limit(most)
-    return top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0) * F.length("id")).orderBy(*order)))
+    # one task numbers all of them: `most` is bounded by the callers' ceilings
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
 def omission_rows(spark, counts: list[tuple[str, str, int]]) -> DataFrame:

@@ -18,6 +18,10 @@ from corvane.schemas import ALIASES, ResolverInputError
 #: Source extensions in the order they are tried.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx")
 _ALIAS = re.compile(r"@?[A-Za-z0-9._-]+(/[A-Za-z0-9._-]+)*")
+#: Export statements of files that re-export in a circle, or from one, that the driver evaluates.
+MOST_CIRCULAR = 500_000
+#: What a file offers under a name that several statements give: ambiguous, without an origin.
+_CLASH = (True, None, None, None, None)
 EFFECTIVE = "file_id string, name string, ambiguous boolean, immediate_export_id string, origin_file_id string, origin_export_id string, symbol_id string"
 
 
@@ -31,8 +35,8 @@ class Resolution:
     unresolved: DataFrame
     effective: DataFrame
 
-    def cycles(self, parsed_files: DataFrame) -> DataFrame:
-        return dependency_cycles(self.dependencies, parsed_files)
+    def cycles(self, parsed_files: DataFrame, most_nodes: int | None = None) -> DataFrame:
+        return dependency_cycles(self.dependencies, parsed_files, most_nodes)
 
     def modules(self, parsed_files: DataFrame) -> DataFrame:
         """Per parsed file, its edges' ids both ways."""
@@ -189,9 +193,11 @@ def effective_exports(exports: DataFrame, parsed_files: DataFrame, calls: DataFr
 
 
 def _circular(exports: DataFrame, pending: DataFrame, done: DataFrame, calls: DataFrame | None, parsed_files: DataFrame) -> DataFrame:
-    """The files left by the rounds, on the driver: re-export circles are rare and small by nature."""
+    """The files left by the rounds, on the driver: circles of re-exports and what leads into them, MOST_CIRCULAR statements at most."""
     spark = exports.sparkSession
-    rows = exports.join(pending, "file_id", "left_semi").orderBy(*_ORDER).collect()
+    rows = exports.join(pending, "file_id", "left_semi").orderBy(*_ORDER).limit(MOST_CIRCULAR + 1).collect()
+    if len(rows) > MOST_CIRCULAR:
+        raise ResolverInputError("CIRCULAR_EXPORTS_TOO_LARGE", f"More than {MOST_CIRCULAR} exports lead into circles of re-exports.")
     outside = exports.join(pending, "file_id", "left_semi").select("target_file_id").distinct().join(pending, F.col("target_file_id") == F.col("file_id"), "left_anti").select("target_file_id")
     offers: dict[str, dict[str, tuple]] = {}
     for r in done.join(outside.withColumnRenamed("target_file_id", "o"), F.col("file_id") == F.col("o"), "left_semi").collect():
@@ -202,34 +208,54 @@ def _circular(exports: DataFrame, pending: DataFrame, done: DataFrame, calls: Da
     waiting = {r["file_id"] for r in pending.collect()}
     busy: set[str] = set()
 
-    def ask(file: str) -> dict[str, tuple]:
+    def answer(file: str):
+        """A generator that yields the files it needs, is sent what they offer, and returns what the file offers."""
         if file in offers:
             return offers[file]
         if file in busy or file not in waiting:
             return {}
         busy.add(file)
-        named = [r for r in by_file.get(file, []) if r["kind"] != "export-all"]
         out: dict[str, tuple] = {}
-        for r in named:
+        statements = by_file.get(file, [])
+        own = {r["exported_name"] for r in statements if r["kind"] != "export-all"}
+        for r in statements:
+            if r["kind"] == "export-all":
+                continue
+            name = r["exported_name"]
             if r["source"] is None:
-                out[r["exported_name"]] = (out.get(r["exported_name"], (False,))[0], r["id"], file, r["id"], r["symbol_id"])
+                origin = (file, r["id"], r["symbol_id"])
+            else:
+                theirs = yield r["target_file_id"]
+                found = theirs.get(r["local_name"] or name)
+                if found is None:
+                    continue
+                if found[0]:
+                    out[name] = _CLASH
+                    continue
+                origin = found[2:]
+            out[name] = (name in out and out[name][0], r["id"], *origin)
+        for r in statements:
+            if r["kind"] != "export-all" or r["source"] is None:
                 continue
-            got = ask(r["target_file_id"]).get(r["local_name"] or r["exported_name"])
-            if got and got[0]:
-                out[r["exported_name"]] = (True, None, None, None, None)
-            elif got:
-                out[r["exported_name"]] = (out.get(r["exported_name"], (False,))[0], r["id"], *got[2:])
-        own = {r["exported_name"] for r in named}
-        for r in by_file.get(file, []):
-            if r["kind"] == "export-all" and r["source"] is not None:
-                for name, got in ask(r["target_file_id"]).items():
-                    if name != "default" and name not in own:
-                        clash = got[0] or name in out
-                        out[name] = (True, None, None, None, None) if clash else (False, r["id"], *got[2:])
+            theirs = yield r["target_file_id"]
+            for name, found in theirs.items():
+                if name != "default" and name not in own:
+                    out[name] = _CLASH if found[0] or name in out else (False, r["id"], *found[2:])
         busy.discard(file)
         offers[file] = out
         return out
 
+    def ask(file: str) -> None:
+        # a stack of its own: re-exports may be nested deeper than calls can
+        stack, got = [answer(file)], None
+        while stack:
+            try:
+                stack.append(answer(stack[-1].send(got)))
+                got = None
+            except StopIteration as done:
+                stack.pop()
+                got = done.value
+
     order = calls.join(pending, "file_id", "left_semi").groupBy("file_id").agg(F.min("rank").alias("rank")).orderBy("rank").collect() if calls is not None else []
     first = [r["file_id"] for r in order]
     rest = [r["file_id"] for r in parsed_files.join(pending, "file_id", "left_semi").orderBy(*human("relative_path")).collect()]

@@ -334,7 +334,10 @@ def _view(spark, d, kind, **limits):
     w = world(spark, d)
     none = F.lit(None).cast("string")
     nodes = w.nodes.withColumns({"parent_symbol_id": none, "parent_folder_id": none, "folder_id": F.when(F.col("kind") == "file", F.lit("f")), "project_id": none})
-    return graph.view(graph.Graph(checkpointed(nodes), checkpointed(w.relations)), kind, max_nodes=5000, max_relations=20000, **limits)
+    # ids are made of the relations that the view shows only
+    node_kinds, relation_kinds = graph.VIEWS[kind]
+    shown = graph.Graph(checkpointed(nodes.where(F.col("kind").isin(*node_kinds))), checkpointed(w.relations.where(F.col("kind").isin(*relation_kinds))))
+    return graph.view(shown, kind, max_nodes=5000, max_relations=20000, **limits)
 
 
 @query(f"{_G} SELECT id, src AS source_node_id, tgt AS target_node_id FROM g WHERE kind = 'project-depends-on'")

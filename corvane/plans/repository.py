@@ -30,7 +30,7 @@ class Repository:
 
     def stages(self) -> Stages:
         a = self.analysis
-        return Stages(self.files.drop("content"), a.parsed_files, a.imports, a.exports, a.diagnostics, self.resolution, self.knowledge)
+        return Stages(self.files.drop("content"), a.parsed_files, a.imports, a.exports, a.diagnostics, self.resolution, self.knowledge, (self.root,))
 
 
 def open_repository(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, ignore_files=IGNORE_FILES) -> Repository:
@@ -41,12 +41,22 @@ def open_repository(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES,
     files = checkpointed(files)  # read once: later stages see the bytes that were hashed
     a = analyze(files)
     scan = files.drop("content")
-    resolution = resolve(scan, a.parsed_files, a.symbols, a.imports, a.exports, load_aliases(files))
+    resolution = resolve(scan, a.parsed_files, a.symbols, a.imports, a.exports, load_aliases(files, os.path.realpath(root)))
     path = os.path.realpath(root)
     knowledge = build_knowledge(path, scan, a.parsed_files, a.failures, a.symbols, a.imports, a.exports, a.diagnostics, resolution, load_projects(files))
     return Repository(path, files, counts, a, resolution, knowledge)
 
 
+def analysis_only(root: str, a: Analysis) -> Repository:
+    """What an analysis says by itself: its parsed files stand for the scan, without aliases or projects."""
+    none = F.lit(None).cast("string")
+    scan = a.parsed_files.select(F.col("file_id").alias("id"), "relative_path", F.concat(F.lit(f"{root}/"), "relative_path").alias("absolute_path"), none.alias("extension"), "language", F.lit(0).cast("long").alias("size_bytes"), "content_hash", F.lit(None).cast("timestamp").alias("last_modified"))
+    counts = scan.agg(F.count(F.lit(1)).alias("total_files"), F.lit(0).alias("total_directories"), F.lit(0).alias("total_ignored_entries"))
+    resolution = resolve(scan, a.parsed_files, a.symbols, a.imports, a.exports)
+    knowledge = build_knowledge(root, scan, a.parsed_files, a.failures, a.symbols, a.imports, a.exports, a.diagnostics, resolution)
+    return Repository(root, scan, counts, a, resolution, knowledge)
+
+
 def language_histogram(files: DataFrame) -> list[tuple[str, int]]:
     return [(r["language"], r["count"]) for r in files.groupBy("language").count().orderBy(*human("language")).collect()]
 

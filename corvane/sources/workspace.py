@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 
 from pyspark.sql import DataFrame
@@ -25,10 +26,23 @@ def _parsed(files: DataFrame, condition) -> list[tuple[str, object]]:
     return out
 
 
-def load_aliases(files: DataFrame) -> list[tuple[str, list[str]]]:
+def _settings(files: DataFrame, root: str | None) -> list:
+    """The alias file's JSON: read at the root, where it counts even if the scan passes it over, or from the scan."""
+    if root is None:
+        return [conf for _, conf in _parsed(files, F.col("relative_path") == ALIAS_FILE)]
+    try:
+        with open(os.path.join(root, ALIAS_FILE), encoding="utf-8", errors="replace") as f:
+            return [json.load(f)]
+    except FileNotFoundError:
+        return []
+    except ValueError as e:
+        raise WorkspaceError("INVALID_JSON", f"Not valid JSON: {ALIAS_FILE}") from e
+
+
+def load_aliases(files: DataFrame, root: str | None = None) -> list[tuple[str, list[str]]]:
     """(alias, target paths) of the compiler's path settings."""
     out = []
-    for _, conf in _parsed(files, F.col("relative_path") == ALIAS_FILE):
+    for conf in _settings(files, root):
         options = conf.get("compilerOptions") if isinstance(conf, dict) else None
         paths = options.get("paths") if isinstance(options, dict) else None
         for alias, targets in sorted((paths or {}).items()):

@@ -7,7 +7,7 @@ import pytest
 from test_parse_scan import tree
 
 from corvane import cli
-from corvane.plans.repository import open_repository, write_tables
+from corvane.plans.repository import analysis_only, open_repository, summary, write_tables
 from corvane.streaming.changes import SNAPSHOT, changed_files, new_contents, on_change
 
 FILES = {
@@ -51,6 +51,14 @@ def test_analyze(spark, root):
     assert call(spark, "analyze", root, "--json")[1] == out
 
 
+def test_an_analysis_by_itself(spark, root):
+    """The parsed files alone, without aliases and projects: imports through the alias are external to it."""
+    repo = open_repository(spark, root)
+    text = cli.analysis_text(summary(analysis_only(root, repo.analysis)), 0.5).split("\n")
+    for want in ("Files scanned: 10", "Files parsed: 5", "Functions: 2", "Internal dependencies: 4", "Projects: 0", "Cross-project dependencies: 0", "Duration: 0.50s"):
+        assert want in text, (want, text)
+
+
 def test_context_and_graph(spark, root, tmp_path):
     code, out, _ = call(spark, "context", root, "--symbol", "tool", "--in", "libs/core/src/tool.ts", "--json")
     got = json.loads(out)

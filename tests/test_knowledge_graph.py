@@ -187,9 +187,8 @@ def test_drawn_elements(spark):
     got = {r["id"]: r for r in explore.node_elements(nodes, edges).collect()}
     assert (got["a"]["size"], got["a"]["font_size"], got["a"]["color"], got["a"]["display_label"]) == (50, 8, "#315f85", "a-very-long-file-…")
     assert (got["b"]["connection_count"], got["b"]["color"], got["b"]["display_label"]) == (5, "#71717a", "b")
-    places = explore.separated([("a", 0.0, 0.0, 10.0), ("b", 0.0, 0.0, 10.0), ("c", 500.0, 0.0, 5.0)])
-    (ax, ay), (bx, by) = places["a"], places["b"]
-    assert abs(((ax - bx) ** 2 + (ay - by) ** 2) ** 0.5 - 30) < 1e-6 and places["c"] == (500.0, 0.0)
+    drawn = explore.edge_elements(edges.where("id = 'l'")).first()
+    assert (drawn["group"], drawn["source"], drawn["target"], drawn["kind"]) == ("edges", "b", "b", "depends-on")
 
 
 SOURCE = "\n".join(f"line {i}" for i in range(1, 121))
@@ -241,3 +240,40 @@ def test_truncation_keeps_pairs_whole():
     short = context.truncate_text(text, 101)
     assert context._utf16(short) <= 101 and "�" not in short and context.MARKER in short
     assert context.truncate_text("abc", 10) == "abc"
+
+
+def test_stages_must_fit(spark, built):
+    gone = spark.createDataFrame([("gone.ts", "gone.ts", "TypeScript", "hash")], S.PARSED_FILES)
+    r, k = built.resolution, built.knowledge
+    replace = dataclasses.replace
+    first = k.relations.limit(1)
+    cases = [
+        (replace(built, parsed_files=built.parsed_files.unionByName(gone)), "SCAN_ANALYSIS_MISMATCH"),
+        (replace(built, roots=("/a", "/b")), "SCAN_ANALYSIS_MISMATCH"),
+        (replace(built, roots=("/a", "/a", "/b")), "SCAN_RESOLUTION_MISMATCH"),
+        (replace(built, resolution=replace(r, dependencies=r.dependencies.withColumn("target_file_id", F.lit("gone.ts")))), "SCAN_RESOLUTION_MISMATCH"),
+        (replace(built, knowledge=replace(k, files=k.files.withColumn("file_id", F.concat(F.lit("x"), "file_id")))), "SCAN_KNOWLEDGE_MISMATCH"),
+        (replace(built, knowledge=replace(k, symbols=k.symbols.withColumn("file_id", F.lit("gone.ts")))), "SCAN_KNOWLEDGE_MISMATCH"),
+        (replace(built, knowledge=replace(k, relations=k.relations.unionByName(first.withColumns({"id": F.lit("new"), "target_node_id": F.lit("gone")})))), "KNOWLEDGE_RELATION_INVALID"),
+    ]
+    for stages_, code in cases:
+        with pytest.raises(S.ContextError) as e:
+            context.check_stages(stages_)
+        assert e.value.code == code
+    context.check_stages(built)
+
+
+def test_sources_are_checked(spark, built):
+    s, contents = with_sources(spark, built)
+    target, digest = {"kind": "file", "relativePath": APP}, contents.select(F.sha2("content", 256)).first()[0]
+    given = lambda asked: asked.join(contents, "id").withColumn("relative_path", F.concat(F.lit("./"), "relative_path"))
+    assert context.build_context(s, target, contents=given) == context.build_context(s, target, contents=contents)
+    for bad, code in (
+        (contents.withColumn("relative_path", F.lit("other.ts")), "SOURCE_FILE_MISMATCH"),
+        (contents.withColumn("content_hash", F.lit("0")), "SOURCE_HASH_MISMATCH"),
+        (contents.withColumn("content", F.lit(b"other")).withColumn("content_hash", F.lit(digest)), "SOURCE_HASH_MISMATCH"),
+        (contents.where("false"), "SOURCE_FILE_MISMATCH"),
+    ):
+        with pytest.raises(S.ContextError) as e:
+            context.build_context(s, target, contents=bad)
+        assert e.value.code == code

@@ -10,7 +10,7 @@ from corvane.functions import paths
 from corvane.functions.order import human
 from corvane.operators.parse import analyze, read_file
 from corvane.schemas import ScanError
-from corvane.sources.repository import scan_entries, scan_tables
+from corvane.sources.repository import access_error, reread, scan_entries, scan_tables
 from corvane.sources.workspace import load_aliases, load_projects
 
 
@@ -134,6 +134,37 @@ def test_scan_limits_links_and_errors(spark, tmp_path):
         scan_entries(spark, str(tmp_path), max_bytes=-1)
 
 
+def test_one_deep_folder_is_read_by_many_tasks(spark, tmp_path):
+    tree(tmp_path, {".gitignore": "skip/\n", **{f"src/a{i}/b{j}/f.ts": "x" * (1 << 20) for i in range(6) for j in range(6)}, "src/skip/x.ts": "x", "src/node_modules/y.ts": "y"})
+    entries = scan_entries(spark, str(tmp_path))
+    assert entries.rdd.getNumPartitions() >= 5  # 36 MB
+    files, counts = scan_tables(entries)
+    assert files.count() == 37 and counts.first().asDict() == {"total_files": 37, "total_directories": 43, "total_ignored_entries": 2}
+
+
+def test_small_files_share_a_part(spark, tmp_path):
+    tree(tmp_path, {f"f{i}.ts": "x" for i in range(300)})
+    entries = scan_entries(spark, str(tmp_path))
+    assert entries.rdd.getNumPartitions() == 1 and entries.count() == 300
+
+
+def test_sources_read_again(spark, tmp_path):
+    tree(tmp_path, {"a.ts": "one", "b.ts": "two"})
+    files, _ = scan_tables(scan_entries(spark, str(tmp_path)))
+    files = files.drop("content")
+    files = spark.createDataFrame(files.collect(), files.schema)  # as they were
+    (tmp_path / "a.ts").write_text("changed")
+    (tmp_path / "b.ts").unlink()
+    got = {r["relative_path"]: (r["content"], r["content_hash"]) for r in reread(files).collect()}
+    before = {r["relative_path"]: r["content_hash"] for r in files.collect()}
+    assert bytes(got["a.ts"][0]) == b"changed" and got["a.ts"][1] != before["a.ts"] and got["b.ts"] == (None, None)
+
+
+def test_file_system_errors_have_classes():
+    kinds = [access_error(e()) for e in (FileNotFoundError, PermissionError, NotADirectoryError, IsADirectoryError, OSError)]
+    assert kinds == ["not-found", "permission-denied", "invalid-entry", "invalid-entry", "unknown"]
+
+
 def test_analysis_isolates_failures(spark):
     import hashlib
 
@@ -153,6 +184,8 @@ def test_workspace(spark, tmp_path):
     })
     files, _ = scan_tables(scan_entries(spark, str(tmp_path)))
     assert load_aliases(files) == [("@a/core", ["libs/core/src/index.ts"]), ("@a/ui", ["libs/ui/src/index.ts"])]
+    # the compiler's settings count where the scan passes them over
+    assert load_aliases(files.where("false"), str(tmp_path)) == load_aliases(files) and load_aliases(files, str(tmp_path / "libs")) == []
     got = [(p["name"], p["kind"], p["root_relative_path"], [e["relative_path"] for e in p["entry_points"]]) for p in load_projects(files)]
     assert got == [("core", "library", "libs/core", ["libs/core/src/index.ts"]), ("one", "unknown", "packages/one", ["packages/one/esm.js", "packages/one/main.js"]), ("xy", "unknown", "tools/x/y", [])]
 
@@ -168,5 +201,6 @@ def test_binary_and_globs(spark):
     df = spark.createDataFrame([(1, b""), (2, b"text\n"), (3, b"a\x00b"), (4, bytes([1, 1, 65, 65])), (5, bytes([1, 65, 65, 65]))], "i int, c binary")
     assert {r["i"]: r[1] for r in df.select("i", fl.is_binary("c")).collect()} == {1: False, 2: False, 3: True, 4: True, 5: False}
     assert fl.glob_regex("a/**/b?[!x]*.ts") == r"a/(?:.*/)?b[^/][^x][^/]*\.ts"
+    assert [fl.glob_regex(g) for g in ("**", r"\*\[", "[ab", "a]", "[]", "x.[tj]s")] == [".*", r"\*\[", r"\[ab", r"a\]", r"\[\]", r"x\.[tj]s"]
     assert [r[1:] for r in fl.ignore_rules("# c\n\\!x\n!y/\n/z\n\n/")] == [(False, False), (True, True), (False, False)]
     assert df.select(F.lit("packages/a").rlike(fl.workspace_regex("packages/*")), F.lit("packages/a/b").rlike(fl.workspace_regex("packages/*"))).first()[:] == (True, False)

@@ -1,9 +1,10 @@
 """Resolver on hand-built models: one file a path, file_id = path, hash 'hash'."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane import schemas as S
-from corvane.operators.resolve import resolve
+from corvane.operators.resolve import effective_exports, resolve
 
 
 def loc(n=1):
@@ -118,6 +119,36 @@ def test_re_export_circle_ends(spark):
     assert got == {"main.ts:i1": "unresolved", "main.ts:i2": "resolved-symbol", "main.ts:i3": "resolved-symbol"}
 
 
+def test_deep_chains_into_a_circle(spark):
+    star = lambda src: ("export-all", "*", None, src, None)
+    depth = 1500  # deeper than Python's calls go
+    files = {f"f{i}.ts": ([], [star(f"./f{i + 1}")]) for i in range(depth)} | {f"f{depth}.ts": ([], [star("./f0"), named("A", "sa")])}
+    scan, parsed, symbols, _, exports = model(spark, files)
+    placed = exports.withColumn("target_file_id", F.concat(F.substring("source", 3, 10), F.lit(".ts")))
+    got = effective_exports(placed, parsed).where("name = 'A' AND NOT ambiguous")
+    assert got.count() == depth + 1 and got.select("symbol_id").distinct().collect() == [("sa",)]
+
+
+def test_ambiguous_names_of_a_circle(spark):
+    star = lambda src: ("export-all", "*", None, src, None)
+    files = {"a.ts": ([], [star("./b"), star("./c"), ("re-export", "N", "X", "./c", None)]), "b.ts": ([], [star("./a"), named("X", "b1")]), "c.ts": ([], [named("X", "c1"), ("default", "default", None, None, "c2")])}
+    scan, parsed, symbols, _, exports = model(spark, files)
+    placed = exports.withColumn("target_file_id", F.concat(F.substring("source", 3, 10), F.lit(".ts")))
+    # b.ts is asked while a.ts is unfinished, and sees nothing of it
+    got = {(r["file_id"], r["name"]): (r["ambiguous"], r["symbol_id"]) for r in effective_exports(placed, parsed).collect()}
+    assert got == {("a.ts", "X"): (True, None), ("a.ts", "N"): (False, "c1"), ("b.ts", "X"): (False, "b1"), ("c.ts", "X"): (False, "c1"), ("c.ts", "default"): (False, "c2")}
+
+
+def test_circles_beyond_the_bound_are_refused(spark, monkeypatch):
+    from corvane.operators import resolve as module
+
+    monkeypatch.setattr(module, "MOST_CIRCULAR", 1)
+    star = lambda src: ("export-all", "*", None, src, None)
+    with pytest.raises(S.ResolverInputError) as e:
+        resolve(*model(spark, {"a.ts": ([], [star("./b")]), "b.ts": ([], [star("./a")])}))
+    assert e.value.code == "CIRCULAR_EXPORTS_TOO_LARGE"
+
+
 def test_cycles(spark):
     files = {"a.ts": (side("./b"), []), "b.ts": (side("./c"), []), "c.ts": (side("./a", "./d"), []), "d.ts": ([], []), "self.ts": (side("./self"), [])}
     scan, parsed, *rest = model(spark, files)
