@@ -40,11 +40,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table_path(spark: SparkSession) -> str:
+    """A new place for a table in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def rewritten(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet in the shared checkpoint folder and read again: columns can still be pruned."""
+    """The rows, written as Parquet in the shared checkpoint folder and read again: columns can still be pruned.
+
+    The table goes with the folder: what is made of it may be read at any time.
+    """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    path = table_path(spark)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
@@ -88,6 +101,18 @@ def pieces(batches: Iterator[pa.RecordBatch], text_index: int = 1, limit: int =
             yield batch.slice(start), texts[start:]
 
 
+#: Rows and bytes of an Arrow batch, so that a run of very long texts does not fill a task's memory at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_ROWS and BATCH_BYTES; Spark has no setting for a single operator."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        value = re.fullmatch(r"(\d+)b?", spark.conf.get(f"spark.sql.execution.arrow.{name}").lower())
+        if value is None or not 0 < int(value[1]) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def give_back() -> None:
     """Hands the memory that a task's arrays have left free back to the system, where the C library can."""
     try:
@@ -99,11 +124,9 @@ def give_back() -> None:
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None], schema: str, text_index: int = 1, limit: int = PIECE_BYTES, after: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow over pieces: fn sees a slice of the batch and its texts and returns a batch, or None.
 
-    `after` is called when a task has seen its last piece. Batches hold at most 1000 rows, so that a run of very long texts does not fill a task's memory at once.
+    `after` is called when a task has seen its last piece.
     """
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, text_index, limit):

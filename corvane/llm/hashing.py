@@ -1,6 +1,6 @@
 """Polynomial (Rabin-Karp) hashes over whole pieces of text, in numpy.
 
-A word's value is 64 bits of its BLAKE2b digest. A window's hash is a polynomial over its words' values,
+A word's value is its XXH3 hash of 64 bits. A window's hash is a polynomial over its words' values,
 modulo the prime 2**61 - 1 with a random base: a difference of two prefix sums, so every window costs a constant
 number of vector operations. Modulo a prime no pattern of words collides by its shape (modulo 2**64 the Thue-Morse
 patterns do, whatever the base): two different windows of n words share a hash with a chance of about n / 2**61. A
@@ -9,10 +9,10 @@ bijective finaliser spreads the result's bits.
 
 from __future__ import annotations
 
-from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 U = np.uint64
 #: The modulus, a Mersenne prime.
@@ -23,8 +23,6 @@ NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: bytes.translate table that leaves blanks between runs of letters and digits
 LETTERS_ONLY = bytes(32 if NO_LETTER[b] else b for b in range(256))
 _WORD_BASE = 0x17E3_779B_97F4_A7C1
-#: Words whose values a worker remembers before it starts afresh.
-WORD_TABLE = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,17 +75,6 @@ def stretch_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, bas
     return times(_folded(prefix[ends] + PRIME - prefix[starts]), back[starts])
 
 
-class _WordValues(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_TABLE:
-            self.clear()
-        value = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-
-_VALUES = _WordValues()
-
-
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of several texts: their hashes, and each text's range of words.
 
@@ -100,7 +87,7 @@ class Words:
         lists = [(t.translate(LETTERS_ONLY) if letters else t).split() for t in texts]
         #: text i has the words first[i] to first[i + 1]
         self.first = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64)))
-        self.hashes = np.fromiter(map(_VALUES.__getitem__, chain.from_iterable(lists)), dtype=U, count=int(self.first[-1]))
+        self.hashes = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(lists)), dtype=U, count=int(self.first[-1]))
 
     def __len__(self) -> int:
         return len(self.hashes)

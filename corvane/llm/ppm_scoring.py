@@ -1,27 +1,37 @@
 """LM scoring by prediction by partial matching, beside a unigram base score.
 
 The model is a trie of byte contexts up to order 5. Its counts come from all training texts, and every string
-counted is kept. Tasks deal the distinct six-byte strings of their texts, with the texts that have them, by the
-three bytes before the last one; so a bucket holds all longer contexts of its strings whole, counts them and scores
-them for its texts. Only strings of three bytes and fewer, at most 2**24 and in text far fewer, are sent to all tasks.
+counted is kept. Strings are dealt by the three bytes before the last one to a fixed number of buckets; so a bucket
+holds all longer contexts of its strings whole. Only strings of three bytes and fewer, at most 2**24 and in text far
+fewer, are sent to all tasks.
+
+Texts go in pieces of some MB, written once. A piece asks each bucket for the weights of its distinct strings, and
+gets them back in their order; a bucket's counts are merged before it answers, and what pieces ask only streams by.
+So rows grow as the pieces do, a task holds one bucket's counts and one piece, and no text or key is sent twice.
 
 A byte is coded in the longest context known. A context that lacks it escapes (method C: as often as it
-has distinct symbols) to the next shorter one, where the symbols already ruled out are excluded from the counts. Below order 0 the symbols left are equally likely. Texts are coded as their words, lower-cased,
-joined by one space, with an end symbol: the events that the base score has too.
+has distinct symbols) to the next shorter one, where the symbols already ruled out are excluded from the counts.
+Below order 0 the symbols left are equally likely. Texts are coded as their words, lower-cased, joined by one space,
+with an end symbol: the events that the base score has too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from corvane.llm.frames import buckets_for, checkpointed, documents, map_texts, row_key
-from corvane.llm.hashing import U, Words, pack_values, packed_runs, unpack_values, unpacked_runs
+from corvane.llm.frames import checkpointed, documents, give_back, rewritten, small_batches
+from corvane.llm.frames import pieces as cut
+from corvane.llm.hashing import U, Words, pack_values, unpack_values
 
 ORDER = 5
 #: Bytes that UTF-8 never has stand for what is before a text and for its end.
@@ -81,7 +91,7 @@ class Scorer:
 
     def __init__(self, trie: Trie) -> None:
         self.strings, self.counts = trie.strings, trie.counts
-        self.contexts, self.total, self.kinds, self.lost, self.ruled_out = [], [], [], [], []
+        self.contexts, self.total, self.kinds, self.ruled_out = [], [], [], []
         for k in range(ORDER + 1):
             s, n = self.strings[k], self.counts[k]
             ctx, at = np.unique(s >> U(8), return_inverse=True)
@@ -93,13 +103,6 @@ class Scorer:
             if k:
                 shorter = np.searchsorted(self.strings[k - 1], s & U((1 << 8 * k) - 1))
                 np.add.at(out, at, self.counts[k - 1][shorter])
-            # how often the context stands at all; what it holds beyond its kept strings speaks for an escape
-            if k:
-                at_all = self._find(self.strings[k - 1], ctx)
-                lost = np.where(at_all >= 0, np.maximum(self.counts[k - 1][at_all] - total, 0), 0)
-            else:
-                lost = np.zeros(len(ctx), dtype=np.int64)
-            self.lost.append(lost)
             self.contexts.append(ctx)
             self.total.append(total)
             self.kinds.append(kinds)
@@ -126,7 +129,7 @@ class Scorer:
             known = ctx >= 0
             here, ctx, short = open_[known], ctx[known], short[known]
             c = self.total[k][ctx] - mass[here]
-            q = self.kinds[k][ctx] - kinds_out[here] + self.lost[k][ctx]
+            q = self.kinds[k][ctx] - kinds_out[here]
             sym = self._find(self.strings[k], short)
             hit = sym >= 0
             with np.errstate(divide="ignore"):
@@ -174,14 +177,16 @@ def adaptive_log10(text: bytes) -> float:
     return total
 
 
-def shared_strings(rows: DataFrame) -> Trie:
-    """The trie up to order SHARED of the rows' texts (columns: any, text). Spark sums the strings' counts over all rows."""
+def shared_strings(counted: DataFrame) -> Trie:
+    """The trie up to order SHARED: Spark sums the shortened strings' counts over all buckets (at most 2**24 rows come back)."""
 
-    def count(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        keys, n = np.unique(strings_of(texts)[0] & U((1 << 8 * (SHARED + 1)) - 1), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["k", "n"])
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for strings, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys, n = _summed(string_form(_unpacked(strings)) & U((1 << 8 * (SHARED + 1)) - 1), unpack_values(_whole(counts)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["k", "n"])
 
-    got = map_texts(rows, count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    got = counted.select("strings", "counts").mapInArrow(shorten, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     trie = Trie.build(np.asarray(got["k"], dtype=np.int64).astype(U), np.asarray(got["n"], dtype=np.int64))
     return Trie(trie.strings[: SHARED + 1], trie.counts[: SHARED + 1])
 
@@ -197,17 +202,22 @@ def string_form(dealt: np.ndarray) -> np.ndarray:
     return (((dealt >> U(24)) & U(0xFFFF)) << U(32)) | (near << U(8)) | ((dealt >> U(16)) & U(0xFF))
 
 
-def string_weights(dealt: np.ndarray, count: np.ndarray, shared: Trie) -> np.ndarray:
-    """log10 probability of a bucket's strings; `count` is how often each stands in training texts."""
-    keys = string_form(dealt)
-    own = Trie.build(keys[count > 0], count[count > 0])
-    return Scorer(Trie(shared.strings + own.strings[SHARED + 1 :], shared.counts + own.counts[SHARED + 1 :])).log10(keys)
+def bucket_scorer(own: Trie, shared: Trie) -> Scorer:
+    """Scores a bucket's strings by the bucket's own counts and the shared ones."""
+    return Scorer(Trie(shared.strings + own.strings[SHARED + 1 :], shared.counts + own.counts[SHARED + 1 :]))
 
 
-#: the hash of the end token, which no word has but by chance
+#: the value of the end token, which no word has but by chance
 END_HASH = U(0xE4D0E4D0E4D0E4D1)
-_ROW = "bucket int, keys binary, hashes binary, trained binary, runs binary, texts binary, times binary"
-_PART = "text_group int, keys binary, sums binary, known binary, copies binary, train_tokens long, train_kinds long"
+#: Bytes of text that make a piece, whose distinct strings and tokens are asked for once; one longer text makes a piece of its own.
+PIECE_BYTES = 6 << 20
+#: Bytes of a piece whose strings are held as integers at once.
+STEP = 1 << 18
+#: Buckets of strings, by the three bytes before the last one, whatever the size of the corpus.
+BUCKET_BITS = 9
+BUCKETS = 1 << BUCKET_BITS
+#: Strings that a task counts before it passes them on, rows of counts that are merged at once, and pieces that a task answers for a bucket.
+MOST_COUNTED, MERGED_AT_ONCE, PIECES_AT_ONCE = 1 << 21, 64, 1 << 16
 
 
 def _small(data: bytes) -> bytes:
@@ -218,112 +228,280 @@ def _whole(data: bytes) -> bytes:
     return pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _planes(h: np.ndarray) -> bytes:
-    """Rising integers byte by byte, first all first bytes: they compress better so."""
-    return h.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(U).reshape(-1)
-
-
-def _tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text of each token."""
-    words = Words(texts, lower=True)
-    return np.concatenate([words.hashes, np.full(len(texts), END_HASH)]), np.concatenate([words.text_of(np.arange(len(words))), np.arange(len(texts))])
-
-
-def _strings_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Dealt form and text of each coded byte's string."""
-    keys, ends = strings_of(texts)
-    return dealt_form(keys), np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
-
-
-def _dealt(batch: pa.RecordBatch, h: np.ndarray, d: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """The piece's distinct tokens (or strings) by bucket: in which texts and how often each stands."""
-    keys = np.asarray(batch.column(0), dtype=np.int64)
-    train = np.asarray(batch.column(2).to_pylist(), dtype=bool)
-    order = np.argsort(h, kind="stable")
-    h, d = h[order], d[order]
-    new_hash = np.diff(h, prepend=h[0] + U(1)) != 0
-    posting = np.flatnonzero(new_hash | (np.diff(d, prepend=-1) != 0))
-    times = np.diff(np.append(posting, len(h)))
-    h, d = h[posting], d[posting]
-    first = np.flatnonzero(np.diff(h, prepend=h[0] + U(1)))
-    runs = np.diff(np.append(first, len(h)))
-    trained = np.add.reduceat(times * train[d], first)
-    h = h[first]
-    deal = ((h >> U(40)) * U(buckets) >> U(24)).astype(np.int64)  # rises with the hash
-    cuts = np.searchsorted(deal, np.arange(buckets + 1))
-    edges = np.append(first, len(d))
-    rows = []
-    for b in range(buckets):
-        lo, hi = cuts[b], cuts[b + 1]
-        if lo < hi:
-            part = slice(edges[lo], edges[hi])
-            packed = _planes(h[lo:hi]), pack_values(trained[lo:hi]), pack_values(runs[lo:hi]), packed_runs(d[part], runs[lo:hi]), pack_values(times[part])
-            rows.append((b, keys.tobytes(), *map(_small, packed)))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 7)]], names=[c.split()[0] for c in _ROW.split(", ")])
-
-
-def _grouped(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Values summed by key, keys rising."""
+def _packed(rising: np.ndarray) -> bytes:
+    """Rising dealt strings: their steps byte by byte, first all first bytes, which compress well."""
+    step = np.diff(rising >> U(16), prepend=U(0))
+    return _small(step.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_whole(data), dtype=np.uint8).reshape(6, -1)
+    step = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    step[:, :6] = planes.T
+    return np.cumsum(step.view(U).reshape(-1), dtype=U) << U(16)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts summed by key, keys rising."""
     order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    heads = np.flatnonzero(np.diff(keys, prepend=keys[0] + 1)) if len(keys) else np.zeros(0, dtype=np.int64)
-    return keys[heads], [np.add.reduceat(v[order], heads) if len(keys) else v for v in values]
-
-
-def _look_up(rows: pa.Table, groups: int, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.Table:
-    """Of one bucket: each token's training count, and by its weight the texts' sums, packed by groups of texts."""
-    col = {name: rows.column(name).to_pylist() for name in rows.column_names if name != "bucket"}
-    hashes = [_unplaned(_whole(x)) for x in col["hashes"]]
-    every, back = np.unique(np.concatenate(hashes), return_inverse=True)
-    count = np.zeros(len(every), dtype=np.int64)
-    np.add.at(count, back, np.concatenate([unpack_values(_whole(x)) for x in col["trained"]]))
-    weight, known = weigh(every, count), count > 0
-    parts: list[tuple[np.ndarray, ...]] = []
-    start = 0
-    for i, h in enumerate(hashes):
-        runs = unpack_values(_whole(col["runs"][i]))
-        token = np.repeat(back[start : start + len(h)], runs)
-        start += len(h)
-        text, times = unpacked_runs(_whole(col["texts"][i]), runs), unpack_values(_whole(col["times"][i]))
-        keys = np.frombuffer(col["keys"][i], dtype=np.int64)
-        n = len(keys)
-        there = np.bincount(text, minlength=n) > 0
-        ends = np.bincount(text, times * (every[token] == END_HASH), minlength=n).astype(np.int64)
-        parts.append((keys[there], np.bincount(text, times * weight[token], minlength=n)[there], np.bincount(text, times * known[token], minlength=n).astype(np.int64)[there], ends[there]))
-    keys, (sums, knowns, copies) = _grouped(np.concatenate([p[0] for p in parts]), [np.concatenate([p[i] for p in parts]) for i in (1, 2, 3)])
-    group = (keys.view(U) % U(groups)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
-    out = [(-1, b"", b"", b"", b"", int(count.sum()), int(known.sum()))]
-    for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-        if len(part):
-            out.append((int(group[part[0]]), keys[part].tobytes(), sums[part].tobytes(), pack_values(knowns[part]), pack_values(copies[part]), 0, 0))
-    kinds = [pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64()]
-    return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in _PART.split(", ")])
-
-
-def _add_up(rows: pa.Table) -> pa.Table:
-    """Of one group of texts: a row for each text, with its sums over all buckets."""
-    col = {name: rows.column(name).to_pylist() for name in rows.column_names}
-    keys, (sums, known, copies) = _grouped(
-        np.frombuffer(b"".join(col["keys"]), dtype=np.int64),
-        [np.frombuffer(b"".join(col["sums"]), dtype=np.float64), *[np.concatenate([unpack_values(x) for x in col[c]]) for c in ("known", "copies")]],
-    )
-    return pa.table([keys, sums, known, copies], names=["__cv_found", "base_sum", "n_known", "copies"])
+    keys, counts = keys[order], counts[order]
+    heads = np.flatnonzero(np.diff(keys, prepend=keys[:1] + U(1))) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[heads], np.add.reduceat(counts, heads) if len(keys) else counts
+
+
+class Piece:
+    """Some texts as they are coded, one after the other."""
+
+    def __init__(self, parts: list[bytes]) -> None:
+        lead = bytes([BEFORE]) * ORDER
+        self.texts = parts
+        self.buf = np.frombuffer(b"".join(x for p in parts for x in (lead, p)), dtype=np.uint8)
+        self.sizes = np.array([len(p) + ORDER for p in parts], dtype=np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes + ORDER
+
+    def steps(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Dealt form and text of each coded byte's string, some of them at a time."""
+        for a in range(0, len(self.buf), STEP):
+            b = min(a + STEP, len(self.buf))
+            low = max(0, a - ORDER)
+            one = self.buf[low:b].astype(U)
+            two = one.copy()
+            two[1:] |= one[:-1] << U(8)
+            key = two.copy()  # ORDER + 1 bytes are three times two
+            key[2:] |= two[:-2] << U(16)
+            key[4:] |= two[:-4] << U(32)
+            first, last = np.searchsorted(self.ends, [a, b - 1], side="right")
+            text = np.repeat(np.arange(first, last + 1), np.minimum(self.ends[first : last + 1], b) - np.maximum(self.ends[first : last + 1] - self.sizes[first : last + 1], a))
+            coded_byte = np.ones(b - a, dtype=bool)
+            lead = (self.starts[first : last + 1, None] - np.arange(1, ORDER + 1)).reshape(-1) - a
+            coded_byte[lead[(lead >= 0) & (lead < b - a)]] = False
+            yield dealt_form(key[a - low :][coded_byte]), text[coded_byte]
+
+    def strings(self, train: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct dealt strings, rising, and how often each stands; of the texts marked by `train`, if given."""
+        found = []
+        for key, text in self.steps():
+            key = key if train is None else key[train[text]]
+            found.append(np.unique(key, return_counts=True))
+        return _summed(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
+
+    def tokens(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Value and text of each token, some texts at a time; the ends of the texts come last."""
+        start = 0
+        while start < len(self.texts):
+            stop, size = start, 0
+            while stop < len(self.texts) and size < 4 * STEP:
+                size += len(self.texts[stop])
+                stop += 1
+            words = Words([t[:-1] for t in self.texts[start:stop]])
+            ends = np.arange(stop - start)
+            yield np.concatenate([words.hashes, np.full(len(ends), END_HASH)]), start + np.concatenate([np.repeat(ends, np.diff(words.first)), ends])
+            start = stop
+
+
+class Places:
+    """Finds the places of values in an array of distinct ones that has them all, by open addressing."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.shift = U(64 - max(4, (2 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.last = size - 1
+        self.keys, self.places = np.zeros(size, dtype=U), np.full(size, -1, dtype=np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slots(keys)
+        while len(left):
+            free = left[self.places[slot[left]] < 0]
+            self.keys[slot[free]], self.places[slot[free]] = keys[free], free
+            left = left[self.places[slot[left]] != left]
+            slot[left] = (slot[left] + 1) & self.last
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slots(keys)
+        out = self.places[slot]
+        other = np.flatnonzero(self.keys[slot] != keys)
+        while len(other):
+            slot[other] = (slot[other] + 1) & self.last
+            out[other] = self.places[slot[other]]
+            other = other[self.keys[slot[other]] != keys[other]]
+        return out
+
+
+def _by_bucket(dealt: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Buckets that hold some of the rising dealt strings, and where."""
+    cuts = np.searchsorted(dealt >> U(64 - BUCKET_BITS), np.arange(BUCKETS + 1, dtype=U))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        yield b, slice(cuts[b], cuts[b + 1])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+_PIECE = "piece long, ids array<{kind}>, train binary, sizes binary, body binary"
+_COUNTED = pa.schema([("bucket", pa.int32()), ("strings", pa.binary()), ("counts", pa.binary())])
+_ASKED = pa.schema([("piece", pa.int64()), ("bucket", pa.int32()), ("strings", pa.binary())])
+_ANSWER = pa.schema([("piece", pa.int64()), ("bucket", pa.int32()), ("weights", pa.binary())])
+_TOKEN = pa.schema([("piece", pa.int64()), ("token", pa.int64()), ("n", pa.int64())])
+
 
+def text_pieces(rows: DataFrame) -> DataFrame:
+    """The rows (id, text, train), PIECE_BYTES of coded text to a row, written once: what is asked and answered goes by `piece`."""
+    kind = rows.schema[0].dataType.simpleString()
+    most = PIECE_BYTES
 
-def summed_parts(rows: DataFrame, buckets: int, split: Callable, weigh: Callable) -> DataFrame:
-    """Parts, by groups of texts, of the texts' sums of their tokens' weights; and each bucket's training counts (group -1)."""
-    dealt = map_texts(rows, lambda batch, texts: _dealt(batch, *split(texts), buckets), _ROW)
-    return dealt.groupBy("bucket").applyInArrow(lambda t: _look_up(t, buckets, weigh), _PART)
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        held: list[tuple[pa.Array, pa.Array, list[bytes]]] = []
+        size = done = 0
 
+        def piece() -> pa.RecordBatch:
+            ids = pa.concat_arrays([h[0] for h in held])
+            train = np.concatenate([np.asarray(h[1].to_pylist(), dtype=bool) for h in held])
+            texts = [t for h in held for t in h[2]]
+            sizes = np.array([len(t) for t in texts], dtype=np.int64)
+            columns = [pa.array([task + done], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *[pa.array([x], pa.binary()) for x in (train.tobytes(), _small(sizes.tobytes()), _small(b"".join(texts)))]]
+            return pa.RecordBatch.from_arrays(columns, names=["piece", "ids", "train", "sizes", "body"])
 
-def added_up(parts: DataFrame) -> DataFrame:
-    """Per text (row_key): sum of its tokens' weights, known tokens, rows with the key."""
-    return parts.where("text_group >= 0").groupBy("text_group").applyInArrow(_add_up, "__cv_found long, base_sum double, n_known long, copies long")
+        for batch, texts in cut(batches, limit=max(1, most // 8)):
+            held.append((batch.column(0), batch.column(2), [coded(t) for t in texts]))
+            size += sum(map(len, held[-1][2]))
+            if size >= most:
+                yield piece()
+                held, size, done = [], 0, done + 1
+        if held:
+            yield piece()
+        give_back()
+
+    small_batches(rows.sparkSession)
+    return rewritten(rows.mapInArrow(gather, _PIECE.format(kind=kind)))
+
+
+def _open(sizes: bytes, body: bytes) -> Piece:
+    ends = np.cumsum(np.frombuffer(_whole(sizes), dtype=np.int64)).tolist()
+    data = _whole(body)
+    return Piece([data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
+
+
+def _each_piece(pieces: DataFrame, make: Callable[[int, Piece, np.ndarray], Iterator[pa.RecordBatch]], schema: pa.Schema, last: Callable[[], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """The batches that `make` gives for each piece (its number, itself, its training marks), and `last` at the end of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, train, sizes, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                yield from make(number, _open(sizes, body), np.frombuffer(train, dtype=bool))
+        if last is not None:
+            yield from last()
+        give_back()
+
+    return pieces.select("piece", "train", "sizes", "body").mapInArrow(run, from_arrow_schema(schema))
+
+
+def counted_strings(pieces: DataFrame) -> DataFrame:
+    """A row for each bucket: its distinct strings of the training texts, rising, and their counts.
+
+    Tasks sum over their pieces first; rows of a bucket are then merged some at a time, in rounds, so that no merge holds
+    more than a bucket's distinct strings some times over.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # of one task
+    most_counted = MOST_COUNTED
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if held:
+            strings, counts = _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
+            held.clear()
+            yield _batch([(b, _packed(strings[s]), _small(pack_values(counts[s]))) for b, s in _by_bucket(strings)], _COUNTED)
+
+    def make(_: int, piece: Piece, train: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held.append(piece.strings(train))
+        if sum(len(k) for k, _ in held) > most_counted:
+            held[:] = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))]
+            if len(held[0][0]) > most_counted:
+                yield from out()
+
+    def merge(rows: pa.Table) -> pa.Table:
+        strings, counts = _summed(np.concatenate([_unpacked(x) for x in rows.column("strings").to_pylist()]), np.concatenate([unpack_values(_whole(x)) for x in rows.column("counts").to_pylist()]))
+        return pa.Table.from_batches([_batch([(rows.column("bucket")[0].as_py(), _packed(strings), _small(pack_values(counts)))], _COUNTED)])
+
+    parts = _each_piece(pieces, make, _COUNTED, out)
+    sort = from_arrow_schema(_COUNTED)
+    most = pieces.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    while most > MERGED_AT_ONCE:
+        most = -(-most // MERGED_AT_ONCE)
+        parts = parts.withColumn("part", F.pmod(F.xxhash64("strings", "counts"), F.lit(most))).groupBy("bucket", "part").applyInArrow(merge, sort)
+    return checkpointed(parts.groupBy("bucket").applyInArrow(merge, sort))
+
+
+def string_answers(pieces: DataFrame, counted: DataFrame, shared) -> DataFrame:
+    """For each piece and bucket, the weights of the piece's distinct strings, in their order.
+
+    A bucket's counts come first in its task; what pieces ask streams by, a row at a time. Where there are very many
+    pieces, a bucket is answered by several tasks.
+    """
+
+    def ask(number: int, piece: Piece, _: np.ndarray) -> Iterator[pa.RecordBatch]:
+        strings = piece.strings()[0]
+        yield _batch([(number, b, _packed(strings[s])) for b, s in _by_bucket(strings)], _ASKED)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = Trie.build(np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64))
+        at, scorer = None, None
+        for batch in batches:
+            out = []
+            for bucket, number, strings, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                dealt = _unpacked(strings)
+                if counts is not None:
+                    at, scorer = bucket, bucket_scorer(Trie.build(string_form(dealt), unpack_values(_whole(counts))), shared.value)
+                    continue
+                if at != bucket:  # no training text has a string of this bucket
+                    at, scorer = bucket, bucket_scorer(nothing, shared.value)
+                out.append((number, bucket, scorer.log10(string_form(dealt)).tobytes()))
+            if out:
+                yield _batch(out, _ANSWER)
+        give_back()
+
+    parts = -(-pieces.count() // PIECES_AT_ONCE)
+    asked = _each_piece(pieces, ask, _ASKED).select("bucket", "piece", "strings", F.lit(None).cast("binary").alias("counts"), F.pmod(F.xxhash64("piece"), F.lit(max(parts, 1))).cast("int").alias("part"))
+    known = counted.select("bucket", F.lit(-1).cast("long").alias("piece"), "strings", "counts", F.explode(F.sequence(F.lit(0), F.lit(max(parts, 1) - 1))).alias("part"))
+    streams = known.unionByName(asked).repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.col("counts").isNull())
+    return streams.select("bucket", "piece", "strings", "counts").mapInArrow(answer, from_arrow_schema(_ANSWER))
+
+
+def token_counts(pieces: DataFrame) -> DataFrame:
+    """piece, token, n (times in the piece's training texts), c (times in all training texts), first (one row for each token)."""
+
+    def make(number: int, piece: Piece, train: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = [_summed(token, train[text].astype(np.int64)) for token, text in piece.tokens()]
+        token, n = _summed(np.concatenate([t for t, _ in found]), np.concatenate([n for _, n in found]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), number), pa.int64()), pa.array(token.view(np.int64), pa.int64()), pa.array(n, pa.int64())], schema=_TOKEN)
+
+    same = Window.partitionBy("token")
+    return rewritten(_each_piece(pieces, make, _TOKEN).select("piece", "token", "n", F.sum("n").over(same).alias("c"), (F.col("piece") == F.min("piece").over(same)).alias("first")))
+
+
+def _scored(pieces: pa.Table, answers: pa.Table, schema: pa.Schema) -> pa.Table:
+    """Of one piece: a row for each text."""
+    row = pieces.select(["train", "sizes", "body"]).to_pylist()[0]
+    piece, train = _open(row["sizes"], row["body"]), np.frombuffer(row["train"], dtype=bool)
+    texts = len(piece.texts)
+    strings, tokens = answers.filter(pc.is_null(answers.column("token"))), answers.filter(pc.is_valid(answers.column("token")))
+    in_order = sorted(zip(strings.column("bucket").to_pylist(), strings.column("weights").to_pylist(), strict=True))
+    weights = np.frombuffer(b"".join(w for _, w in in_order), dtype=np.float64)
+    place = Places(piece.strings()[0])
+    score, base, known, each = np.zeros(texts), np.zeros(texts), np.zeros(texts, dtype=np.int64), np.zeros(texts, dtype=np.int64)
+    for key, text in piece.steps():
+        score += np.bincount(text, weights[place(key)], minlength=texts)
+    count = tokens.column("c").to_numpy()
+    place = Places(tokens.column("token").to_numpy().view(U))
+    for token, text in piece.tokens():
+        c = count[place(token)]
+        base += np.bincount(text, np.log10(c + 0.1), minlength=texts)
+        known += np.bincount(text[c > 0], minlength=texts)
+        each += np.bincount(text, minlength=texts)
+    ids = pieces.column("ids").combine_chunks().flatten()
+    return pa.Table.from_arrays([ids, pa.array(~train), pa.array(each, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)], schema=schema)
 
 
 def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,31 +515,29 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null text counts as empty: its one token is the end. A null id counts as empty text for the split.
     Repeated rows are learnt from as often as they stand and get equal scores. Without training texts all
     bytes and tokens are equally unlikely. An empty table gives an empty result; other columns are not read.
+    Words are told apart by a 64-bit hash, strings of bytes exactly.
     """
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
-    keyed = docs.select(row_key(id_col, text_col).alias("__cv_key"), F.col(text_col).alias("__cv_text"), (~held_out).alias("__cv_train"), F.col(id_col).alias("__cv_id"))
-    pieces = keyed.select("__cv_key", "__cv_text", "__cv_train")
-    parts = checkpointed(summed_parts(pieces, buckets_for(docs, text_col), _tokens_of, lambda _, count: np.log10(count + 0.1)))
-    total = parts.where("text_group < 0").agg(F.sum("train_tokens").alias("n"), F.sum("train_kinds").alias("v")).first()
+    pieces = text_pieces(docs.select(F.col(id_col).alias("__cv_id"), F.col(text_col).alias("__cv_text"), (~held_out).alias("__cv_train")))
+    counted = counted_strings(pieces)
+    shared = docs.sparkSession.sparkContext.broadcast(shared_strings(counted))
+    tokens = token_counts(pieces)
+    total = tokens.agg(F.sum("n").alias("n"), F.sum((F.col("first") & (F.col("c") > 0)).cast("long")).alias("v")).first()
     n, v = total["n"] or 0, total["v"] or 0
-    shared = docs.sparkSession.sparkContext.broadcast(shared_strings(keyed.where("__cv_train").select("__cv_key", "__cv_text")))
-    strings = added_up(summed_parts(pieces, buckets_for(docs, text_col, 16 << 20), _strings_in, lambda dealt, count: string_weights(dealt, count, shared.value)))
-    texts = added_up(parts).join(strings.select(F.col("__cv_found").alias("__cv_also"), F.col("base_sum").alias("log_sum")), F.col("__cv_found") == F.col("__cv_also"))
-
-    def count(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([len(t.split()) + 1 for t in texts], pa.int64())], names=["__cv_key", "__cv_train", "__cv_id", "n_tokens"])
-
-    kind = keyed.schema["__cv_id"].dataType.simpleString()
-    counted = map_texts(keyed, count, f"__cv_key long, __cv_train boolean, __cv_id {kind}, n_tokens long")
-    each = F.log10(F.lit(n + 0.1 * (v + 1)))
-    return counted.join(texts, F.col("__cv_key") == F.col("__cv_found")).select(
+    strings = string_answers(pieces, counted, shared).select("piece", "bucket", "weights", F.lit(None).cast("long").alias("token"), F.lit(None).cast("long").alias("c"))
+    answers = strings.unionByName(tokens.select("piece", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("weights"), "token", "c"))
+    kind = docs.schema[id_col].dataType
+    schema = StructType([StructField("__cv_id", kind), *[StructField(c, t) for c, t in (("held_out", BooleanType()), ("n_tokens", LongType()), ("n_known", LongType()), ("base_sum", DoubleType()), ("score", DoubleType()))]])
+    arrow = to_arrow_schema(schema)
+    scored = pieces.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(lambda p, a: _scored(p, a, arrow), schema)
+    return scored.select(
         F.col("__cv_id").alias(id_col),
-        (~F.col("__cv_train")).alias("held_out"),
+        "held_out",
         "n_tokens",
-        (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"),
+        "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_sum") / F.col("copies") - F.col("n_tokens") * each).alias("base_score"),
-        (F.col("log_sum") / F.col("copies")).alias("score"),
+        (F.col("base_sum") - F.col("n_tokens") * F.log10(F.lit(n + 0.1 * (v + 1)))).alias("base_score"),
+        "score",
     )
 
 
