@@ -10,7 +10,7 @@ Two bags agree in a component with the probability of their weighted Jaccard sim
 Equal word sequences collapse first. Signatures are banded; candidate pairs are verified by exact bag overlap and
 verified links make the classes. A first round takes, within a bucket, the tree of the most similar signatures and
 each member's nearest neighbours (three, where none is near for certain); buckets beyond a block's size are dealt by
-a further band, at random and to their leader. The second round leaves out no pair: all members of a bucket that are
+a further band and at random. The second round leaves out no pair: all members of a bucket that are
 outside its greatest class so far meet all of its members in tiles of two blocks, where the exact overlaps are
 counted by an index of the tile's shingles. So no task holds more than a tile and no bucket emits all its pairs.
 """
@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.components import connected_components
-from corvane.llm.frames import checkpointed, content_key, documents, join_counted, map_texts, pieces
+from corvane.llm.frames import checkpointed, content_key, documents, join_counted, map_texts, pieces, rewritten
 from corvane.llm.hashing import U, Words, mix, stretch_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 BLOCK = 512
+#: Links between classes that are sent to all tasks (16 bytes each).
+MOST_SENT = 100_000
 #: Candidates whose estimate lies more than this below the similarity are not verified.
 MARGIN = 0.25
 #: A member whose nearest one's estimate is this great is linked to it for certain; others offer more neighbours.
@@ -100,8 +102,8 @@ def _signed(batch: pa.RecordBatch, texts: list[bytes], size: int) -> pa.RecordBa
     node = [int.from_bytes(hashlib.blake2b(b" ".join(t.split()), digest_size=8).digest(), "little", signed=True) if k else None for t, k in zip(texts, n.tolist(), strict=True)]
     small = (bits >> U(56)).astype(np.uint8)
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array([x.tobytes() for x in small], pa.binary()), pa.ListArray.from_arrays(np.arange(0, BANDS * len(texts) + 1, BANDS, dtype=np.int32), pa.array(bands.reshape(-1).view(np.int64)))],
-        names=["__cv_id", "text_key", "n_words", "node", "sig", "bands"],
+        [batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array([x.tobytes() for x in small], pa.binary()), pa.ListArray.from_arrays(np.arange(0, BANDS * len(texts) + 1, BANDS, dtype=np.int32), pa.array(bands.reshape(-1).view(np.int64)))],
+        names=["__cv_id", "text_key", "id_key", "n_words", "node", "sig", "bands"],
     )
 
 
@@ -135,7 +137,7 @@ def _pick(rows: pa.Table) -> pa.Table:
 
 
 def _link_across(rows: pa.Table, size: int, similarity: float) -> pa.Table:
-    """Of one tile: a verified link (a, b) for each two classes that have one, from the exact overlaps of all pairs."""
+    """Of one tile: the roots (a, b) of each two classes that have a link, from the exact overlaps of all pairs."""
     nodes, at = np.unique(rows.column("node").to_numpy(), return_index=True)
     root = rows.column("root").to_numpy()[at]
     asking = np.isin(nodes, rows.column("node").to_numpy()[rows.column("asks").to_numpy()])
@@ -151,7 +153,7 @@ def _link_across(rows: pa.Table, size: int, similarity: float) -> pa.Table:
     start = np.searchsorted(shingle[order], np.arange(shingle.max(initial=0) + 2))
     runs = np.diff(start)
     holder, held = owner[order], weight[order]
-    links = {}
+    links = set()
     for x in np.flatnonzero(asking):
         common = np.zeros(len(nodes))
         own, w = shingle[mine[x] : mine[x + 1]], weight[mine[x] : mine[x + 1]]
@@ -161,8 +163,8 @@ def _link_across(rows: pa.Table, size: int, similarity: float) -> pa.Table:
             common += np.bincount(holder[entry], np.minimum(held[entry], np.repeat(w[part], n)), minlength=len(nodes))
         near = (common / np.maximum(every[x] + every - common, 1) >= similarity) & (root != root[x])
         for y in np.flatnonzero(near):
-            links.setdefault((min(root[x], root[y]), max(root[x], root[y])), (min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
-    return pa.table({"a": pa.array([a for a, _ in links.values()], pa.int64()), "b": pa.array([b for _, b in links.values()], pa.int64())})
+            links.add((min(root[x], root[y]), max(root[x], root[y])))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
 def _blocked(members: DataFrame, key: str) -> DataFrame:
@@ -180,35 +182,19 @@ def spread_out(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-#: A node on more rows than this share of all (and than the least number) has its text repeated; there are fewer of these nodes than this.
-HOT_NODES, HOT_LEAST = 10_000, 256
-
-
-def with_texts(rows: DataFrame, texts: DataFrame, key: str, name: str) -> DataFrame:
-    """`rows` (few columns) with the text of their node `key`, from `texts` (node, t).
-
-    A node on many rows, as a large bucket's leader is, has its text repeated for every 10,000th of all rows that it
-    has, and its rows are dealt among the repeats: no key has more, and there are fewer than 20,000 repeats.
-    """
-    each = max(HOT_LEAST, rows.count() // HOT_NODES)
-    counts = rows.groupBy(F.col(key).alias("__cv_of")).agg(F.count(F.lit(1)).alias("__cv_n")).where(F.col("__cv_n") > each)
-    hot = F.broadcast(checkpointed(counts.select("__cv_of", F.ceil(F.col("__cv_n") / each).cast("int").alias("__cv_parts"))))  # 12 bytes each
-    spread = F.coalesce("__cv_parts", F.lit(1))
-    dealt = rows.join(hot, F.col(key) == F.col("__cv_of"), "left").withColumn("__cv_part", F.pmod(F.xxhash64(*rows.columns), spread).cast("int")).drop("__cv_of", "__cv_parts")
-    held = texts.join(hot, F.col("node") == F.col("__cv_of"), "left").select(F.col("node").alias("__cv_node"), F.col("t").alias(name), F.explode(F.sequence(F.lit(0), spread - 1)).alias("__cv_at"))
-    return dealt.join(held, (F.col(key) == F.col("__cv_node")) & (F.col("__cv_part") == F.col("__cv_at"))).drop("__cv_node", "__cv_at", "__cv_part")
-
-
 def bucket_members(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct nodes with sig and bands, and their places in buckets of two and more; from rows with node, sig and bands."""
     reps = checkpointed(signed.where("node IS NOT NULL").groupBy("node", "sig", "bands").agg(F.count(F.lit(1)).alias("n")).select("node", "sig", "bands"))
     rows = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1").withColumnRenamed("bucket", "full")
-    return reps, checkpointed(join_counted(rows, checkpointed(sizes), "bucket", "full", "n").select("node", "band", "bucket", "n", "leader"))
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("bucket", "full")
+    return reps, checkpointed(join_counted(rows, checkpointed(sizes), "bucket", "full", "n").select("node", "band", "bucket", "n"))
 
 
 def first_pairs(reps: DataFrame, members: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) of the first round: enough to join most classes, not all there are."""
+    """Distinct candidate pairs (a, b) of the first round: enough to join most classes, not all there are.
+
+    A node is in at most 2 * BANDS blocks of BLOCK or so members: it has a bounded number of pairs, however large its buckets.
+    """
     mine = reps.select(F.col("node").alias("who"), "sig", "bands")
     usual = members.where(F.col("n") <= BLOCK).select("node", F.col("bucket").alias("block"))
     # a large bucket: by a further band, and at random; where a further band has too many, at random within it
@@ -216,9 +202,7 @@ def first_pairs(reps: DataFrame, members: DataFrame) -> DataFrame:
     further = F.array(F.xxhash64("bucket", F.get("bands", (F.col("band") + 5) % BANDS)), F.xxhash64("bucket"))
     dealt = _blocked(large.select("node", F.explode(further).alias("part")), "part").select("node", "block")
     blocks = usual.unionByName(dealt).join(mine.select("who", "sig"), F.col("node") == F.col("who")).select("node", "block", "sig")
-    pairs = spread_out(blocks, "block").groupBy("block").applyInArrow(_pick, "a long, b long")
-    led = members.where((F.col("n") > BLOCK) & (F.col("node") != F.col("leader"))).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    return pairs.unionByName(led).distinct()
+    return spread_out(blocks, "block").groupBy("block").applyInArrow(_pick, "a long, b long").distinct()
 
 
 def tiles_across(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -266,9 +250,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def judged(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
     """near_duplicates with __cv_id and the text's content_key (text_key) on each row."""
-    rows = docs.select(F.col(id_col).alias("__cv_id"), F.col(text_col).alias("__cv_text"), content_key(text_col).alias("text_key"))
+    rows = docs.select(F.col(id_col).alias("__cv_id"), F.col(text_col).alias("__cv_text"), content_key(text_col).alias("text_key"), content_key(id_col).alias("id_key"))
     kind = rows.schema["__cv_id"].dataType.simpleString()
-    signed = checkpointed(map_texts(rows, lambda b, t: _signed(b, t, size), f"__cv_id {kind}, text_key long, n_words long, node long, sig binary, bands array<long>"))
+    signed = checkpointed(map_texts(rows, lambda b, t: _signed(b, t, size), f"__cv_id {kind}, text_key long, id_key long, n_words long, node long, sig binary, bands array<long>"))
     reps, members = bucket_members(signed)
 
     def verify(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
@@ -276,27 +260,28 @@ def judged(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: f
         near = pa.array([overlap(x, y, size) >= similarity for x, y in zip(texts, other, strict=True)], pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(near)
 
-    # one row stands for each node: of many copies, dealt by id and text, only this one is ever fetched
-    stands = signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("text_key").alias("key"), F.col("__cv_id").alias("id"))).alias("s")).select("node", "s.key", "s.id")
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        # the texts of the nodes w, each once
-        keys = stands.join(wanted.distinct(), F.col("node") == F.col("w"), "left_semi")
-        found = rows.select("__cv_id", F.col("text_key").alias("k"), F.col("__cv_text").alias("t")).join(keys, (F.col("k") == F.col("key")) & F.col("__cv_id").eqNullSafe(F.col("id")))
-        return found.dropDuplicates(["k", "node"]).select("node", "t")
+    # one row stands for each node in a bucket: of many copies, dealt by id and text, only this one is fetched
+    wanted = members.select(F.col("node").alias("w")).distinct()
+    stands = signed.groupBy("node").agg(F.min(F.struct("text_key", "id_key")).alias("s")).join(wanted, F.col("node") == F.col("w"), "left_semi").select("node", "s.*")
+    named = rows.select(F.col("text_key").alias("k"), F.col("id_key").alias("i"), F.col("__cv_text").alias("t"))
+    texts = rewritten(named.join(stands, (F.col("k") == F.col("text_key")) & (F.col("i") == F.col("id_key"))).dropDuplicates(["k", "i", "node"]).select("node", "t"))
 
+    side = lambda key, name: texts.select(F.col("node").alias(key), F.col("t").alias(name))
     pairs = checkpointed(first_pairs(reps, members))
-    one = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("w")))
-    sides = with_texts(with_texts(pairs, one, "a", "ta"), one, "b", "tb").select("a", "ta", "b", "tb")
+    sides = pairs.join(side("na", "ta"), F.col("a") == F.col("na")).select("a", "b", "ta").join(side("nb", "tb"), F.col("b") == F.col("nb")).select("a", "ta", "b", "tb")
     roots = connected_components(map_texts(sides, verify, "a long, b long"))
-    tiles = checkpointed(tiles_across(members, roots))
-    one = texts_of(tiles.select(F.col("node").alias("w")))
-    across = with_texts(tiles, one, "node", "t").select("node", "root", "asks", "block", "t")
+    across = tiles_across(members, roots).join(side("who", "t"), F.col("node") == F.col("who")).select("node", "root", "asks", "block", "t")
+    # a link between two classes: of their roots
     links = checkpointed(spread_out(across, "block").groupBy("block").applyInArrow(lambda t: _link_across(t, size, similarity), "a long, b long").distinct())
-    if not links.isEmpty():
-        roots = connected_components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     counted = signed.groupBy("__cv_id", "n_words", "node", "text_key").agg(F.count(F.lit(1)).alias("copies"))
-    placed = checkpointed(counted.where("node IS NOT NULL").join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("__cv_id", "n_words", "node", "text_key", "copies", F.coalesce("root", "node").alias("root")))
+    placed = counted.where("node IS NOT NULL").join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("__cv_id", "n_words", "node", "text_key", "copies", F.coalesce("root", "node").alias("root"))
+    n_links = links.count()
+    if n_links:
+        joined = connected_components(links).select(F.col("node").alias("__former"), F.col("root").alias("__now"))
+        # classes of a few texts to all of them: the few links between them go to all tasks, so that a large class is not dealt to one
+        joined = F.broadcast(joined) if n_links <= MOST_SENT else joined
+        placed = placed.join(joined, F.col("root") == F.col("__former"), "left").withColumn("root", F.coalesce("__now", "root")).drop("__former", "__now")
+    placed = checkpointed(placed)
     one_row = [F.col("__cv_id").isNull().alias("none"), F.col("__cv_id").alias("id"), F.col("text_key").alias("at")]
     least = F.min(F.struct(*one_row))
     classes = checkpointed(placed.groupBy("root").agg(least.alias("first"), F.sum("copies").alias("class_size")).withColumnRenamed("root", "__r"))

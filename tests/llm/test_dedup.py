@@ -262,15 +262,6 @@ def test_near_copies_leave_one_row_of_repeats_and_shared_ids(spark):
     assert Counter(map(tuple, got)) == Counter([(7, " ".join(near)), (7, " ".join(other)), (3, None), (3, ""), (3, " ")])
 
 
-def test_texts_of_hot_nodes_are_dealt(spark, monkeypatch):
-    monkeypatch.setattr(bag, "HOT_LEAST", 4)
-    monkeypatch.setattr(bag, "HOT_NODES", 1000)
-    pairs = spark.createDataFrame([(1 if i < 40 else i, i) for i in range(60)], "a long, b long")
-    texts = spark.createDataFrame([(i, f"t{i}") for i in range(60)], "node long, t string")
-    got = bag.with_texts(pairs, texts, "a", "ta").collect()
-    assert sorted((r["a"], r["b"], r["ta"]) for r in got) == sorted((1 if i < 40 else i, i, f"t{1 if i < 40 else i}") for i in range(60))
-
-
 def test_row_keys_tell_nulls_apart(spark):
     rows = [(None, "5"), (5, None), (None, None), (5, "5"), (None, ""), (5, "")]
     table = spark.createDataFrame(rows, "a long, b string")
