@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corvane.llm.bagminhash import drop_near_copies
 from corvane.llm.bpe_automaton import bpe_encode, digests, word_bpe_path
 from corvane.llm.exact_dedup import drop_exact_copies
-from corvane.llm.frames import rewritten
+from corvane.llm.frames import remove_table, table_path
 from corvane.llm.quality_rules import keep_good
 from corvane.llm.source_mixing import mixed_documents
 
@@ -48,9 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES):
-            docs = rewritten(docs)
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        path = table_path(spark)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove_table(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
