@@ -20,7 +20,7 @@ from corvane.functions.tables import checkpointed
 from corvane.operators import context, explore, graph, resolve
 from corvane.operators.cycles import elementary_cycles
 from corvane.operators.knowledge import folder_closure, group_dependencies, project_membership, relation_rows
-from corvane.plans import repository, shop
+from corvane.plans import repository, shop, tree  # noqa: F401  (the tree adds its queries to the shop's)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

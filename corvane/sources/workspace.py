@@ -75,6 +75,7 @@ def load_projects(files: DataFrame) -> list[dict]:
         out.append({"name": conf["name"], "kind": kind, "root_relative_path": root, "source_root_relative_path": source, "entry_points": [{"relative_path": m} for m in sorted(mains)]})
         taken.add(root)
     patterns: list[str] = []
+    named: list[str] = []
     for _, conf in _parsed(files, path == "package.json"):
         found = conf.get("workspaces") if isinstance(conf, dict) else None
         found = found.get("packages") if isinstance(found, dict) else found
@@ -89,6 +90,10 @@ def load_projects(files: DataFrame) -> list[dict]:
                 continue
             wanted = {conf[c] for c in ("main", "module", "types") if isinstance(conf.get(c), str)} | _export_paths(conf.get("exports"))
             places = sorted({f"{root}/{w.removeprefix('./')}".replace("//", "/") for w in wanted})
-            there = [r["relative_path"] for r in files.where(path.isin(places)).select("relative_path").orderBy("relative_path").collect()] if places else []
-            out.append({"name": conf["name"], "kind": "unknown", "root_relative_path": root, "source_root_relative_path": None, "entry_points": [{"relative_path": p} for p in there]})
+            out.append({"name": conf["name"], "kind": "unknown", "root_relative_path": root, "source_root_relative_path": None, "entry_points": places})
+            named += places
+    # of what packages name, what the scan has: one look for all of them
+    there = {r["relative_path"] for r in files.where(path.isin(named)).select("relative_path").collect()} if named else set()
+    for p in out:
+        p["entry_points"] = [e if isinstance(e, dict) else {"relative_path": e} for e in p["entry_points"] if isinstance(e, dict) or e in there]
     return sorted(out, key=lambda p: (p["root_relative_path"], p["name"]))
