@@ -62,25 +62,11 @@ def rewritten(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def buckets_for(df: DataFrame, text_col: str, bytes_each: int = 48 << 20) -> int:
-    """How many hash buckets keep the words of one bucket within a task's memory.
-
-    At least the shuffle partitions; more where the texts' bytes ask for it. Reads the text column once.
-    """
-    total = df.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bytes_each), 1)
-
-
 def ascii_lower(text):
     """A-Z to a-z and nothing else; the quick way where the text is all ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def row_key(id_col: str, text_col: str):
-    """64 bits from id and text: rows with equal id and text share their result, others are told apart."""
-    return content_key(id_col, text_col)
-
-
 def content_key(*columns: str, seed: int = 0):
     """64 bits from the columns' values, in their order. Spark's hash skips a null; here it counts as a value of its own."""
     parts = [p for c in columns for p in (F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))]

@@ -106,41 +106,6 @@ class Words:
         return at, mix(stretch_hashes(self.hashes, at, at + size))
 
 
-def pack_steps(sorted_values: np.ndarray) -> bytes:
-    """Steps between rising non-negative integers, a byte each and one more for every 255."""
-    step = np.diff(sorted_values, prepend=0)
-    parts = step // 255
-    out = np.full(int(parts.sum()) + len(step), 255, dtype=np.uint8)
-    out[np.cumsum(parts + 1) - 1] = step % 255
-    return out.tobytes()
-
-
-def unpack_steps(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, dtype=np.uint8)
-    total = np.cumsum(raw, dtype=np.int64)
-    return total[raw < 255]
-
-
-def packed_runs(values: np.ndarray, runs: np.ndarray) -> bytes:
-    """pack_steps of several rising runs, one after the other; `runs` holds their lengths."""
-    step = np.diff(values, prepend=0)
-    heads = np.cumsum(runs) - runs
-    step[heads] = values[heads]
-    parts = step // 255
-    out = np.full(int(parts.sum()) + len(step), 255, dtype=np.uint8)
-    out[np.cumsum(parts + 1) - 1] = step % 255
-    return out.tobytes()
-
-
-def unpacked_runs(data: bytes, runs: np.ndarray) -> np.ndarray:
-    total = unpack_steps(data)
-    if not len(total):
-        return total
-    heads = np.cumsum(runs) - runs
-    base = np.where(heads > 0, total[heads - 1], 0)
-    return total - np.repeat(base, runs)
-
-
 def pack_values(values: np.ndarray) -> bytes:
     """Non-negative integers in any order, a byte each and one more for every 255."""
     parts = values // 255
@@ -150,4 +115,5 @@ def pack_values(values: np.ndarray) -> bytes:
 
 
 def unpack_values(data: bytes) -> np.ndarray:
-    return np.diff(unpack_steps(data), prepend=0)
+    raw = np.frombuffer(data, dtype=np.uint8)
+    return np.diff(np.cumsum(raw, dtype=np.int64)[raw < 255], prepend=0)

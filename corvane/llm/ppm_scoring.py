@@ -23,15 +23,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from corvane.llm.frames import checkpointed, documents, give_back, rewritten, small_batches
-from corvane.llm.frames import pieces as cut
+from corvane.llm.frames import checkpointed, documents, give_back, rewritten
 from corvane.llm.hashing import U, Words, pack_values, unpack_values
+from corvane.llm.text_pieces import each_piece, opened, small, text_pieces, whole
 
 ORDER = 5
 #: Bytes that UTF-8 never has stand for what is before a text and for its end.
@@ -183,7 +182,7 @@ def shared_strings(counted: DataFrame) -> Trie:
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for strings, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys, n = _summed(string_form(_unpacked(strings)) & U((1 << 8 * (SHARED + 1)) - 1), unpack_values(_whole(counts)))
+                keys, n = _summed(string_form(_unpacked(strings)) & U((1 << 8 * (SHARED + 1)) - 1), unpack_values(whole(counts)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["k", "n"])
 
     got = counted.select("strings", "counts").mapInArrow(shorten, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
@@ -217,25 +216,17 @@ STEP = 1 << 18
 BUCKET_BITS = 9
 BUCKETS = 1 << BUCKET_BITS
 #: Strings that a task counts before it passes them on, rows of counts that are merged at once, and pieces that a task answers for a bucket.
-MOST_COUNTED, MERGED_AT_ONCE, PIECES_AT_ONCE = 1 << 21, 64, 1 << 16
-
-
-def _small(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-
-
-def _whole(data: bytes) -> bytes:
-    return pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+MOST_COUNTED, MERGED_AT_ONCE, PIECES_AT_ONCE = 1 << 20, 64, 1 << 16
 
 
 def _packed(rising: np.ndarray) -> bytes:
     """Rising dealt strings: their steps byte by byte, first all first bytes, which compress well."""
     step = np.diff(rising >> U(16), prepend=U(0))
-    return _small(step.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes())
+    return small(step.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(_whole(data), dtype=np.uint8).reshape(6, -1)
+    planes = np.frombuffer(whole(data), dtype=np.uint8).reshape(6, -1)
     step = np.zeros((planes.shape[1], 8), dtype=np.uint8)
     step[:, :6] = planes.T
     return np.cumsum(step.view(U).reshape(-1), dtype=U) << U(16)
@@ -340,63 +331,16 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-_PIECE = "piece long, ids array<{kind}>, train binary, sizes binary, body binary"
 _COUNTED = pa.schema([("bucket", pa.int32()), ("strings", pa.binary()), ("counts", pa.binary())])
 _ASKED = pa.schema([("piece", pa.int64()), ("bucket", pa.int32()), ("strings", pa.binary())])
 _ANSWER = pa.schema([("piece", pa.int64()), ("bucket", pa.int32()), ("weights", pa.binary())])
 _TOKEN = pa.schema([("piece", pa.int64()), ("token", pa.int64()), ("n", pa.int64())])
 
 
-def text_pieces(rows: DataFrame) -> DataFrame:
-    """The rows (id, text, train), PIECE_BYTES of coded text to a row, written once: what is asked and answered goes by `piece`."""
-    kind = rows.schema[0].dataType.simpleString()
-    most = PIECE_BYTES
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 32
-        held: list[tuple[pa.Array, pa.Array, list[bytes]]] = []
-        size = done = 0
-
-        def piece() -> pa.RecordBatch:
-            ids = pa.concat_arrays([h[0] for h in held])
-            train = np.concatenate([np.asarray(h[1].to_pylist(), dtype=bool) for h in held])
-            texts = [t for h in held for t in h[2]]
-            sizes = np.array([len(t) for t in texts], dtype=np.int64)
-            columns = [pa.array([task + done], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *[pa.array([x], pa.binary()) for x in (train.tobytes(), _small(sizes.tobytes()), _small(b"".join(texts)))]]
-            return pa.RecordBatch.from_arrays(columns, names=["piece", "ids", "train", "sizes", "body"])
-
-        for batch, texts in cut(batches, limit=max(1, most // 8)):
-            held.append((batch.column(0), batch.column(2), [coded(t) for t in texts]))
-            size += sum(map(len, held[-1][2]))
-            if size >= most:
-                yield piece()
-                held, size, done = [], 0, done + 1
-        if held:
-            yield piece()
-        give_back()
-
-    small_batches(rows.sparkSession)
-    return rewritten(rows.mapInArrow(gather, _PIECE.format(kind=kind)))
-
-
-def _open(sizes: bytes, body: bytes) -> Piece:
-    ends = np.cumsum(np.frombuffer(_whole(sizes), dtype=np.int64)).tolist()
-    data = _whole(body)
-    return Piece([data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
-
-
 def _each_piece(pieces: DataFrame, make: Callable[[int, Piece, np.ndarray], Iterator[pa.RecordBatch]], schema: pa.Schema, last: Callable[[], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """The batches that `make` gives for each piece (its number, itself, its training marks), and `last` at the end of a task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, train, sizes, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                yield from make(number, _open(sizes, body), np.frombuffer(train, dtype=bool))
-        if last is not None:
-            yield from last()
-        give_back()
-
-    return pieces.select("piece", "train", "sizes", "body").mapInArrow(run, from_arrow_schema(schema))
+    return each_piece(pieces, lambda number, texts, train: make(number, Piece(texts), train), schema, last)
 
 
 def counted_strings(pieces: DataFrame) -> DataFrame:
@@ -412,7 +356,7 @@ def counted_strings(pieces: DataFrame) -> DataFrame:
         if held:
             strings, counts = _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
             held.clear()
-            yield _batch([(b, _packed(strings[s]), _small(pack_values(counts[s]))) for b, s in _by_bucket(strings)], _COUNTED)
+            yield _batch([(b, _packed(strings[s]), small(pack_values(counts[s]))) for b, s in _by_bucket(strings)], _COUNTED)
 
     def make(_: int, piece: Piece, train: np.ndarray) -> Iterator[pa.RecordBatch]:
         held.append(piece.strings(train))
@@ -422,8 +366,8 @@ def counted_strings(pieces: DataFrame) -> DataFrame:
                 yield from out()
 
     def merge(rows: pa.Table) -> pa.Table:
-        strings, counts = _summed(np.concatenate([_unpacked(x) for x in rows.column("strings").to_pylist()]), np.concatenate([unpack_values(_whole(x)) for x in rows.column("counts").to_pylist()]))
-        return pa.Table.from_batches([_batch([(rows.column("bucket")[0].as_py(), _packed(strings), _small(pack_values(counts)))], _COUNTED)])
+        strings, counts = _summed(np.concatenate([_unpacked(x) for x in rows.column("strings").to_pylist()]), np.concatenate([unpack_values(whole(x)) for x in rows.column("counts").to_pylist()]))
+        return pa.Table.from_batches([_batch([(rows.column("bucket")[0].as_py(), _packed(strings), small(pack_values(counts)))], _COUNTED)])
 
     parts = _each_piece(pieces, make, _COUNTED, out)
     sort = from_arrow_schema(_COUNTED)
@@ -453,7 +397,7 @@ def string_answers(pieces: DataFrame, counted: DataFrame, shared) -> DataFrame:
             for bucket, number, strings, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 dealt = _unpacked(strings)
                 if counts is not None:
-                    at, scorer = bucket, bucket_scorer(Trie.build(string_form(dealt), unpack_values(_whole(counts))), shared.value)
+                    at, scorer = bucket, bucket_scorer(Trie.build(string_form(dealt), unpack_values(whole(counts))), shared.value)
                     continue
                 if at != bucket:  # no training text has a string of this bucket
                     at, scorer = bucket, bucket_scorer(nothing, shared.value)
@@ -483,8 +427,8 @@ def token_counts(pieces: DataFrame) -> DataFrame:
 
 def _scored(pieces: pa.Table, answers: pa.Table, schema: pa.Schema) -> pa.Table:
     """Of one piece: a row for each text."""
-    row = pieces.select(["train", "sizes", "body"]).to_pylist()[0]
-    piece, train = _open(row["sizes"], row["body"]), np.frombuffer(row["train"], dtype=bool)
+    ids, found, train = opened(pieces)
+    piece = Piece(found)
     texts = len(piece.texts)
     strings, tokens = answers.filter(pc.is_null(answers.column("token"))), answers.filter(pc.is_valid(answers.column("token")))
     in_order = sorted(zip(strings.column("bucket").to_pylist(), strings.column("weights").to_pylist(), strict=True))
@@ -500,7 +444,6 @@ def _scored(pieces: pa.Table, answers: pa.Table, schema: pa.Schema) -> pa.Table:
         base += np.bincount(text, np.log10(c + 0.1), minlength=texts)
         known += np.bincount(text[c > 0], minlength=texts)
         each += np.bincount(text, minlength=texts)
-    ids = pieces.column("ids").combine_chunks().flatten()
     return pa.Table.from_arrays([ids, pa.array(~train), pa.array(each, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)], schema=schema)
 
 
@@ -518,7 +461,7 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Words are told apart by a 64-bit hash, strings of bytes exactly.
     """
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
-    pieces = text_pieces(docs.select(F.col(id_col).alias("__cv_id"), F.col(text_col).alias("__cv_text"), (~held_out).alias("__cv_train")))
+    pieces = text_pieces(docs.select(F.col(id_col).alias("__cv_id"), F.col(text_col).alias("__cv_text"), (~held_out).alias("__cv_train")), PIECE_BYTES, coded)
     counted = counted_strings(pieces)
     shared = docs.sparkSession.sparkContext.broadcast(shared_strings(counted))
     tokens = token_counts(pieces)

@@ -1,143 +1,180 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted over the corpus.
 
-1. Each task hashes every window of its documents and deals the hashes to buckets. A row holds many
-   windows of one piece of text and one bucket, as packed arrays; a window repeated within the piece is
-   known to be repeated there and sends its hash only once, however hot it is.
-2. Each bucket is grouped and counted; windows whose hash occurs elsewhere too go back to their texts, packed
-   once more, by groups of texts.
-3. Per document the repeated windows merge into maximal intervals, which are removed.
+1. Texts go in pieces of some MB, written once. A piece hashes every window of its texts and sends its distinct hashes,
+   rising and packed, in a fixed number of ranges; what repeats within the piece it will find again by itself, however
+   hot it is.
+2. Each range is counted: a hash that several pieces have sent is repeated, and each piece gets a bit for each of its
+   hashes. Where a range of the whole corpus is too large for a task, it is dealt once more into finer ranges, by groups
+   of pieces: rows grow as the corpus does, not as its square.
+3. The piece hashes its windows again; repeated ones merge into maximal intervals, which are removed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from corvane.llm.frames import buckets_for, documents, map_texts, row_key
-from corvane.llm.hashing import U, Words, pack_steps, packed_runs, unpack_steps, unpacked_runs
+from corvane.llm.frames import documents
+from corvane.llm.hashing import U, Words
+from corvane.llm.text_pieces import each_piece, opened, small, text_pieces, whole
 
 WINDOW = 35
-_ROW = "bucket int, keys binary, runs binary, places binary, hashes binary, known binary, found_keys binary, found_runs binary, found_places binary"
+PIECE_BYTES = 6 << 20
+#: Bytes of a piece whose words are held at once.
+STEP = 1 << 20
+#: Ranges of hashes that a piece sends, and that a range is dealt into again where there is need.
+RANGE_BITS = 8
+#: Bytes of text whose hashes a task counts at once.
+RANGE_BYTES = 32 << 20
 
+#: rows of the way there: a range, the group of pieces that its row is of, the pieces, how many hashes each has, and these
+_SENT = pa.schema([("range", pa.int64()), ("unit", pa.int64()), ("pieces", pa.binary()), ("runs", pa.binary()), ("hashes", pa.binary())])
+#: and back: with a bit for each hash
+_COUNTED = pa.schema([("unit", pa.int64()), ("range", pa.int64()), ("pieces", pa.binary()), ("runs", pa.binary()), ("bits", pa.binary())])
 
-def _by_text(words: Words, at: np.ndarray, keys: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Windows (rising word indexes of the piece) as text keys, windows per text, and their places in the text."""
-    text = words.text_of(at)
-    heads = np.flatnonzero(np.diff(text, prepend=-1))
-    runs = np.diff(np.append(heads, len(at)))
-    return keys[text[heads]].tobytes(), runs.astype(np.uint32).tobytes(), packed_runs(at - words.first[text], runs)
 
+def _pack(rising: np.ndarray) -> bytes:
+    """Hashes of several runs, each rising: steps, byte by byte, first all first bytes, which compress better so."""
+    step = np.diff(rising, prepend=U(0))
+    return small(step.view(np.uint8).reshape(-1, 8).T.tobytes())
 
-def _windows_of(batch: pa.RecordBatch, texts: list[bytes], size: int, buckets: int) -> pa.RecordBatch | None:
-    words = Words(texts)
-    at, hashes = words.windows(size)
-    if not len(at):
-        return None
-    keys = np.asarray(batch.column(0), dtype=np.int64)
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    same = np.zeros(len(ranked) + 1, dtype=bool)
-    same[1:-1] = ranked[1:] == ranked[:-1]
-    repeated = np.zeros(len(at), dtype=bool)
-    repeated[order] = same[1:] | same[:-1]
-    known = ranked[same[1:] & ~same[:-1]]
-    single_at, single = at[~repeated], hashes[~repeated]
-    deal = (single % U(buckets)).astype(np.int64)
-    by_bucket = np.argsort(deal, kind="stable")
-    ends = np.cumsum(np.bincount(deal, minlength=buckets))
-    known = known[np.argsort(known % U(buckets), kind="stable")]
-    known_ends = np.cumsum(np.bincount((known % U(buckets)).astype(np.int64), minlength=buckets))
-    home = int(hashes[0] % U(buckets))
-    rows = []
-    for b in range(buckets):
-        mine = by_bucket[ends[b - 1] if b else 0 : ends[b]]
-        also = known[known_ends[b - 1] if b else 0 : known_ends[b]]
-        found = _by_text(words, at[repeated], keys) if b == home and repeated.any() else (b"", b"", b"")
-        if len(mine) or len(also) or found[0]:
-            rows.append((b, *_by_text(words, single_at[mine], keys), single[mine].tobytes(), also.tobytes(), *found))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 9)]], names=[c.split()[0] for c in _ROW.split(", ")])
-
-
-def _count(rows: pa.Table, groups: int) -> pa.Table:
-    """Of one bucket: the windows that occur elsewhere too, as a row for each group of texts."""
-    col = {name: rows.column(name).to_pylist() for name in rows.column_names if name != "bucket"}
-    hashes = [np.frombuffer(x, dtype=U) for x in col["hashes"]]
-    known = np.frombuffer(b"".join(col["known"]), dtype=U)
-    every = np.concatenate([*hashes, known])
-    order = np.argsort(every, kind="stable")
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(whole(data), dtype=np.uint8).reshape(8, -1).T).view(U).reshape(-1), dtype=U)
+
+
+def _longs(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.int64)
+
+
+def _bits(data: bytes, size: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(whole(data), dtype=np.uint8), count=size).astype(bool)
+
+
+def windows_of(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place in the text and hash of every window of `size` words, some texts at a time."""
+    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U))]
+    start = 0
+    while start < len(texts):
+        stop, held = start, 0
+        while stop < len(texts) and held < STEP:
+            held += len(texts[stop])
+            stop += 1
+        words = Words(texts[start:stop])
+        at, hashes = words.windows(size)
+        text = words.text_of(at)
+        found.append((start + text, at - words.first[text], hashes))
+        start = stop
+    text, place, hashes = (np.concatenate([f[i] for f in found]) for i in range(3))
+    return text, place, hashes
+
+
+def _split(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """Ranges, by the first `bits` bits, that hold some of the rising hashes, and where."""
+    top = (hashes >> U(64 - bits)).astype(np.int64)
+    heads = np.flatnonzero(np.diff(top, prepend=-1))
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(top)], strict=True):
+        yield int(top[a]), slice(a, b)
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _sent(pieces: DataFrame, size: int, bits: int) -> DataFrame:
+    """The pieces' distinct hashes by range; a row is a unit by itself."""
+
+    def make(number: int, texts: list[bytes], _: np.ndarray) -> Iterator[pa.RecordBatch]:
+        hashes = np.unique(windows_of(texts, size)[2])
+        one = np.int64(number).tobytes()
+        yield _rows([(r, number, one, np.int64(s.stop - s.start).tobytes(), _pack(hashes[s])) for r, s in _split(hashes, bits)], _SENT)
+
+    return each_piece(pieces, make, _SENT)
+
+
+def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Pieces and runs of all rows, and each row's hashes."""
+    col = {c: table.column(c).to_pylist() for c in ("pieces", "runs", "hashes")}
+    return np.concatenate([_longs(x) for x in col["pieces"]]), np.concatenate([_longs(x) for x in col["runs"]]), [_unpack(x) for x in col["hashes"]]
+
+
+def _deal_again(table: pa.Table, bits: int) -> pa.Table:
+    """One unit's rows of one range, in finer ranges: a row for each holds all the unit's pieces."""
+    unit = table.column("part")[0].as_py()
+    pieces, runs, hashes = _flat(table)
+    owner, every = np.repeat(np.arange(len(pieces)), runs), np.concatenate(hashes)
+    fine = (every >> U(64 - bits)).astype(np.int64)
+    order = np.argsort(fine, kind="stable")  # within a range: by piece, rising
+    fine, owner, every = fine[order], owner[order], every[order]
+    heads = np.flatnonzero(np.diff(fine, prepend=-1))
+    out = []
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(fine)], strict=True):
+        who, n = np.unique(owner[a:b], return_counts=True)
+        out.append((int(fine[a]), unit, pieces[who].tobytes(), n.astype(np.int64).tobytes(), _pack(every[a:b])))
+    return pa.Table.from_batches([_rows(out, _SENT)])
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """Of one range: a bit for each hash of each row, set if another piece has it too."""
+    _, _, hashes = _flat(table)
+    every = np.concatenate(hashes)
+    order = np.argsort(every)
     ranked = every[order]
     same = np.zeros(len(ranked) + 1, dtype=bool)
     same[1:-1] = ranked[1:] == ranked[:-1]
     repeated = np.zeros(len(every), dtype=bool)
     repeated[order] = same[1:] | same[:-1]
-    keys_out, places_out = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-
-    def put(keys: bytes, runs: bytes, places: bytes, keep: np.ndarray | slice) -> None:
-        n = np.frombuffer(runs, dtype=np.uint32).astype(np.int64)
-        keys_out.append(np.repeat(np.frombuffer(keys, dtype=np.int64), n)[keep])
-        places_out.append(unpacked_runs(places, n)[keep])
-
-    start = 0
-    for i, h in enumerate(hashes):
-        keep = repeated[start : start + len(h)]
-        start += len(h)
-        if keep.any():
-            put(col["keys"][i], col["runs"][i], col["places"][i], keep)
-        if col["found_keys"][i]:
-            put(col["found_keys"][i], col["found_runs"][i], col["found_places"][i], slice(None))
-    return _packed(np.concatenate(keys_out), np.concatenate(places_out), groups)
-
-
-def _packed(keys: np.ndarray, places: np.ndarray, groups: int) -> pa.Table:
-    """A row for each group of texts: its texts' keys, windows per text, and their places."""
-    group = (keys.view(U) % U(groups)).astype(np.int64)
-    order = np.lexsort((places, keys, group))
-    keys, places, group = keys[order], places[order], group[order]
-    heads = np.flatnonzero(np.diff(keys, prepend=keys[0] + 1)) if len(keys) else np.zeros(0, dtype=np.int64)
-    runs = np.diff(np.append(heads, len(keys)))
+    ends = np.cumsum([len(h) for h in hashes])
+    bits = [small(np.packbits(repeated[e - len(h) : e]).tobytes()) for e, h in zip(ends.tolist(), hashes, strict=True)]
+    return pa.Table.from_arrays([table.column("unit"), table.column("range"), table.column("pieces"), table.column("runs"), pa.array(bits, pa.binary())], schema=_COUNTED)
+
+
+def _by_piece(table: pa.Table) -> pa.Table:
+    """One unit's rows of all fine ranges as a row for each piece: its bits in the order of its hashes."""
+    found: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for r, pieces, runs, bits in zip(*(table.column(c).to_pylist() for c in ("range", "pieces", "runs", "bits")), strict=True):
+        ends = np.cumsum(_longs(runs))
+        flags = _bits(bits, int(ends[-1]))
+        for p, n, e in zip(_longs(pieces).tolist(), _longs(runs).tolist(), ends.tolist(), strict=True):
+            found.setdefault(p, []).append((r, flags[e - n : e]))
     out = []
-    for g in np.unique(group):
-        lo, hi = np.searchsorted(group, [g, g + 1])
-        mine = slice(*np.searchsorted(heads, [lo, hi]))
-        out.append((int(g), keys[heads[mine]].tobytes(), runs[mine].astype(np.uint32).tobytes(), packed_runs(places[lo:hi], runs[mine])))
-    return pa.table([pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3)]], names=["text_group", "keys", "runs", "places"])
-
-
-def _per_text(rows: pa.Table) -> pa.Table:
-    """Of one group of texts: a row for each text, with the places of its windows from all buckets."""
-    keys, places = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for k, r, p in zip(*(rows.column(c).to_pylist() for c in ("keys", "runs", "places")), strict=True):
-        n = np.frombuffer(r, dtype=np.uint32).astype(np.int64)
-        keys.append(np.repeat(np.frombuffer(k, dtype=np.int64), n))
-        places.append(unpacked_runs(p, n))
-    key, place = np.concatenate(keys), np.concatenate(places)
-    order = np.lexsort((place, key))
-    key, place = key[order], place[order]
-    heads = np.flatnonzero(np.diff(key, prepend=key[0] + 1)) if len(key) else np.zeros(0, dtype=np.int64)
-    runs = np.diff(np.append(heads, len(key)))
-    ends = np.cumsum(runs)
-    return pa.table([pa.array(key[heads], pa.int64()), pa.array([pack_steps(place[e - n : e]) for e, n in zip(ends.tolist(), runs.tolist(), strict=True)], pa.binary())], names=["__cv_key", "places"])
-
-
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """__cv_key (row_key) and places: word positions (pack_steps) of windows found elsewhere too."""
-    buckets = buckets_for(docs, text_col)
-    rows = docs.select(row_key(id_col, text_col).alias("__cv_key"), F.col(text_col).alias("__cv_text"))
-    dealt = map_texts(rows, lambda batch, texts: _windows_of(batch, texts, size, buckets), _ROW)
-    found = dealt.groupBy("bucket").applyInArrow(lambda t: _count(t, buckets), "text_group int, keys binary, runs binary, places binary")
-    return found.groupBy("text_group").applyInArrow(_per_text, "__cv_key long, places binary")
-
-
-def _cut(text: bytes, places: bytes | None, size: int) -> tuple[int, int, list[tuple[int, int]], bytes]:
+    for p, parts in found.items():
+        parts.sort(key=lambda x: x[0])
+        flags = np.concatenate([f for _, f in parts])
+        one = np.int64(p).tobytes()
+        out.append((p, parts[0][0], one, np.int64(len(flags)).tobytes(), small(np.packbits(flags).tobytes())))
+    return pa.Table.from_batches([_rows(out, _COUNTED)])
+
+
+def repeated_hashes(pieces: DataFrame, size: int) -> DataFrame:
+    """Rows of _COUNTED whose unit is a piece: by rising range, a bit for each of its distinct hashes that another piece has too."""
+    total = pieces.agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    bits, wanted = RANGE_BITS, max(0, (-(-(total["b"] or 0) // RANGE_BYTES) - 1).bit_length())
+    sent = _sent(pieces, size, bits)
+    if wanted <= bits:
+        return sent.groupBy("range").applyInArrow(_count, from_arrow_schema(_COUNTED))
+    # a unit is what a task holds of one range: so many pieces' rows
+    units = -(-(total["b"] >> bits) // RANGE_BYTES)
+    part = F.xxhash64("range", F.pmod(F.xxhash64("unit", "range"), F.lit(units)))
+    dealt = sent.withColumn("part", part).groupBy("range", "part").applyInArrow(lambda t: _deal_again(t, wanted), from_arrow_schema(_SENT))
+    counted = dealt.groupBy("range").applyInArrow(_count, from_arrow_schema(_COUNTED))
+    return counted.groupBy("unit").applyInArrow(_by_piece, from_arrow_schema(_COUNTED))
+
+
+def _cut(text: bytes, places: np.ndarray, size: int) -> tuple[int, int, list[tuple[int, int]], bytes]:
+    """Words, words removed, their intervals, and what is kept; `places` are rising word positions of repeated windows."""
     words = text.split()
     n = len(words)
-    if not places:
+    if not len(places):
         return n, 0, [], b" ".join(words)
-    at = np.unique(unpack_steps(places))
-    new = np.flatnonzero(np.diff(at, prepend=-size - 1) > size)
-    starts, ends = at[new], at[np.append(new[1:], len(at)) - 1] + size
+    new = np.flatnonzero(np.diff(places, prepend=-size - 1) > size)
+    starts, ends = places[new], places[np.append(new[1:], len(places)) - 1] + size
     kept, last = [], 0
     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
         kept += words[last:s]
@@ -146,6 +183,22 @@ def _cut(text: bytes, places: bytes | None, size: int) -> tuple[int, int, list[t
     return n, int((ends - starts).sum()), list(zip(starts.tolist(), ends.tolist(), strict=True)), b" ".join(kept)
 
 
+def _removed(piece: pa.Table, answers: pa.Table, size: int, schema: pa.Schema) -> pa.Table:
+    """Of one piece: a row for each text."""
+    ids, texts, _ = opened(piece)
+    text, place, hashes = windows_of(texts, size)
+    _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("range", "runs", "bits")), strict=True))
+    elsewhere = np.concatenate([np.zeros(0, dtype=bool), *[_bits(bits, int(_longs(runs)[0])) for _, runs, bits in rows]])
+    gone = (elsewhere | (times > 1))[back] if len(hashes) else np.zeros(0, dtype=bool)
+    text, place = text[gone], place[gone]
+    edges = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+    got = [_cut(t, place[a:b], size) for t, a, b in zip(texts, edges[:-1], edges[1:], strict=True)]
+    spans = pa.array([[{"start": s, "end": e} for s, e in g[2]] for g in got], schema.field("spans").type)
+    kept = pa.array([g[3].decode("utf-8", "replace") for g in got], pa.string())
+    return pa.Table.from_arrays([ids, pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), spans, kept], schema=schema)
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """One row per document: id, n_words, n_removed, spans (array of start, end in words), kept_text.
 
@@ -156,23 +209,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null text counts as empty and texts of fewer than `size` words have no window: nothing is removed.
     Repeated rows (same id and text) repeat each other's windows and get the same result, one row each;
-    ids may be null. Other columns are not read. An empty table gives an empty result. Windows are equal
-    by a 64-bit hash, so a window is removed wrongly with a chance of (windows in the corpus) / 2**64.
+    ids may be null. Other columns are not read. An empty table gives an empty result. Windows are equal by a hash of
+    61 bits over words' hashes of 64, so a window is removed wrongly with a chance of (windows in the corpus) * size / 2**61.
     """
-    repeated = repeated_windows(docs, id_col, text_col, size).withColumnRenamed("__cv_key", "__cv_found")
-    rows = docs.select(F.col(id_col).alias("__cv_id"), F.col(text_col).alias("__cv_text"), row_key(id_col, text_col).alias("__cv_key"))
-    joined = rows.join(repeated, F.col("__cv_key") == F.col("__cv_found"), "left").select("__cv_id", "__cv_text", "places")
-
-    def cut(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        got = [_cut(t, p, size) for t, p in zip(texts, batch.column(2).to_pylist(), strict=True)]
-        spans = pa.array([[{"start": s, "end": e} for s, e in g[2]] for g in got], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), spans, pa.array([g[3].decode("utf-8", "replace") for g in got], pa.string())],
-            names=["__cv_id", "n_words", "n_removed", "spans", "kept_text"],
-        )
-
-    kind = joined.schema["__cv_id"].dataType.simpleString()
-    out = map_texts(joined, cut, f"__cv_id {kind}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string")
+    pieces = text_pieces(docs.select(F.col(id_col).alias("__cv_id"), F.col(text_col).alias("__cv_text"), F.lit(True)), PIECE_BYTES)
+    spans = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
+    schema = StructType([StructField("__cv_id", docs.schema[id_col].dataType), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("spans", spans), StructField("kept_text", StringType())])
+    arrow = to_arrow_schema(schema)
+    counted = repeated_hashes(pieces, size).withColumnRenamed("unit", "piece")
+    out = pieces.groupBy("piece").cogroup(counted.groupBy("piece")).applyInArrow(lambda p, a: _removed(p, a, size, arrow), schema)
     return out.withColumnRenamed("__cv_id", id_col)
 
 

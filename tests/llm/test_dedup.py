@@ -7,14 +7,16 @@ from math import comb
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from samples import words_of
 
 from corvane.llm import bagminhash as bag
 from corvane.llm import hashing
+from corvane.llm import substring_dedup as substring
 from corvane.llm.components import connected_components
 from corvane.llm.exact_dedup import drop_exact_copies, exact_dedup
 from corvane.llm.frames import content_key
-from corvane.llm.hashing import Words, pack_steps, pack_values, packed_runs, unpack_steps, unpack_values, unpacked_runs
+from corvane.llm.hashing import Words, pack_values, unpack_values
 from corvane.llm.line_dedup import line_dedup
 from corvane.llm.substring_dedup import substring_dedup
 
@@ -78,6 +80,31 @@ def test_substring_dedup(docs, rows, size):
     assert got == want
 
 
+def test_windows_dealt_twice(spark, docs, rows, monkeypatch):
+    """Small pieces and ranges: hashes are dealt into finer ranges by units of pieces, with the same result."""
+    want = multiset(substring.substring_dedup(docs, size=8).select("doc_id", "n_words", "n_removed", "kept_text"))
+    assert sum(r[2] > 0 for r in want) > 20
+    for name, value in (("PIECE_BYTES", 5000), ("RANGE_BITS", 2), ("RANGE_BYTES", 20000)):
+        monkeypatch.setattr(substring, name, value)
+    pieces = substring.text_pieces(docs.select("doc_id", "text", F.lit(True)), substring.PIECE_BYTES)
+    assert pieces.count() > 12 and pieces.agg(F.sum("bytes")).first()[0] > 4 * 4 * substring.RANGE_BYTES
+    assert multiset(substring.substring_dedup(docs, size=8).select("doc_id", "n_words", "n_removed", "kept_text")) == want
+
+
+def test_rows_of_windows_grow_with_the_pieces(spark, monkeypatch):
+    """However many ranges there are in all, a piece sends a fixed number of rows."""
+    table = spark.createDataFrame([(i, " ".join(f"w{(i * 37 + j * j) % 9973}" for j in range(400))) for i in range(200)], "doc_id long, text string").repartition(2)
+    pieces = substring.text_pieces(table.select("doc_id", "text", F.lit(True)), 1 << 14)
+    n = pieces.count()
+    monkeypatch.setattr(substring, "RANGE_BITS", 4)
+    for range_bytes in (1 << 17, 1 << 12):  # 4 ranges in all, then 128 and more
+        monkeypatch.setattr(substring, "RANGE_BYTES", range_bytes)
+        sent = substring._sent(pieces, 35, substring.RANGE_BITS)
+        assert n > 10 and sent.count() <= n << substring.RANGE_BITS
+        back = substring.repeated_hashes(pieces, 35)
+        assert back.count() <= n << substring.RANGE_BITS
+
+
 def test_line_dedup(docs, rows):
     sites = defaultdict(set)
     for r in rows:
@@ -213,10 +240,7 @@ def test_packed_integers():
     rng = np.random.default_rng(1)
     v = rng.integers(0, 5000, 300)
     assert np.array_equal(unpack_values(pack_values(v)), v)
-    assert np.array_equal(unpack_steps(pack_steps(np.sort(v))), np.sort(v))
-    runs = np.array([1, 99, 150, 50])
-    parts = np.concatenate([np.sort(x) for x in np.split(v, np.cumsum(runs)[:-1])])
-    assert np.array_equal(unpacked_runs(packed_runs(parts, runs), runs), parts)
+    assert np.array_equal(unpack_values(pack_values(np.array([0, 255, 254, 256, 510]))), [0, 255, 254, 256, 510])
     assert len(unpack_values(b"")) == 0
 
 

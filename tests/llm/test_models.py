@@ -251,11 +251,30 @@ def test_ppm_keeps_rare_strings_of_a_large_corpus(spark):
     assert all(math.isclose(got[i], ppm.Scorer(trie).texts([t.encode()])[0], rel_tol=1e-9) for i, t in rows[-3:])
 
 
+def test_ppm_tells_a_null_id_from_a_null_text(spark):
+    rows = [(None, "5"), (5, None), (None, None), (7, "5 5"), (5, "5")]
+    got = {(r["doc_id"], r["n_tokens"]): r for r in ppm.ppm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    token = lambda t: [*(t or "").split(), None]
+    count = Counter(x for i, t in rows if crc(i, 10) for x in token(t))
+    for i, t in rows:
+        r = got[i, len(token(t))]
+        assert r["n_known"] == sum(count[x] > 0 for x in token(t))
+        assert math.isclose(r["base_score"], sum(math.log10((count[x] + 0.1) / (count.total() + 0.1 * (len(count) + 1))) for x in token(t)))
+
+
+def test_ppm_words_that_look_alike_to_a_polynomial(spark):
+    pattern = lambda flip: "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(1024))
+    ids = [i for i in range(40) if crc(i, 10)][:2] + [i for i in range(40) if not crc(i, 10)][:1]
+    table = spark.createDataFrame([(ids[0], pattern(0)), (ids[1], "other"), (ids[2], pattern(1))], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_known"] for r in ppm.ppm_scores(table).collect()}
+    assert got == {ids[0]: 2, ids[1]: 2, ids[2]: 1}
+
+
 def test_ppm_over_many_pieces_and_rounds(spark, docs, rows, monkeypatch):
     whole = {(r["doc_id"], r["n_tokens"], r["n_known"]): (r["base_score"], r["score"]) for r in ppm.ppm_scores(docs).collect()}
     for name, value in (("PIECE_BYTES", 3000), ("MOST_COUNTED", 500), ("MERGED_AT_ONCE", 3), ("PIECES_AT_ONCE", 4)):
         monkeypatch.setattr(ppm, name, value)
-    assert ppm.text_pieces(docs.select("doc_id", "text", F.lit(True))).count() > 20
+    assert ppm.text_pieces(docs.select("doc_id", "text", F.lit(True)), 3000, ppm.coded).count() > 12
     got = ppm.ppm_scores(docs).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -278,8 +297,7 @@ def test_ppm_rows_grow_with_the_pieces(spark, monkeypatch):
     table = spark.createDataFrame([(i, " ".join(f"w{(i * 31 + j) % 997}" for j in range(60))) for i in range(400)], "doc_id long, text string").coalesce(1)
     asked = []
     for size in (1 << 14, 1 << 11):
-        monkeypatch.setattr(ppm, "PIECE_BYTES", size)
-        pieces = ppm.text_pieces(table.select("doc_id", "text", F.lit(True)))
+        pieces = ppm.text_pieces(table.select("doc_id", "text", F.lit(True)), size, ppm.coded)
         counted = ppm.counted_strings(pieces)
         shared = spark.sparkContext.broadcast(ppm.shared_strings(counted))
         asked.append((pieces.count(), ppm.string_answers(pieces, counted, shared).count(), counted.count()))
@@ -332,6 +350,17 @@ def test_quality_rejects_outliers_and_keeps_clean(spark):
     assert all(r["kept"] == (r["doc_id"] % 10 != 0) for r in got)
 
 
+def test_verdicts_of_swapped_nulls_are_kept_apart(spark):
+    """(null, 'x') and ('x', null) are different groups: one text is an outlier of the first only."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("aeiourstlnm") for _ in range(rng.randint(2, 9)))
+    clean = [" ".join(word() for _ in range(rng.randint(60, 200))) for _ in range(80)]
+    marked = [" ".join(w + "#" * 5 for w in t.split()) for t in clean]
+    rows = [(i, t, None, "x") for i, t in enumerate([*marked, clean[0]])] + [(1000 + i, t, "x", None) for i, t in enumerate(clean)]
+    kept = {r["doc_id"] for r in quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept == {r[0] for r in rows} - {80}
+
+
 def least_determinant(q):
     """The minimum-covariance-determinant estimate of one group's vectors (in 4096ths), in numpy: mean, scatter, start, steps."""
     x, floors = q / 4096, np.diag(np.array(quality.FLOORS) ** 2)
