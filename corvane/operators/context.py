@@ -286,26 +286,17 @@ def _utf16(text: str) -> int:
     return len(text) + sum(c > "￿" for c in text)
 
 
-def _cut(text: str, start: int, end: int) -> str:
-    """A slice by UTF-16 units that leaves no half of a pair."""
-    raw = text.encode("utf-16-le", "surrogatepass")
-    units = len(raw) // 2
-    unit = lambda i: int.from_bytes(raw[2 * i : 2 * i + 2], "little")
-    if start > 0 and start < units and 0xDC00 <= unit(start) <= 0xDFFF:
-        start += 1
-    if 0 < end < units and 0xD800 <= unit(end - 1) <= 0xDBFF:
-        end -= 1
-    return raw[2 * start : 2 * end].decode("utf-16-le", "surrogatepass")
-
-
 def truncate_text(text: str, most: int) -> str:
-    n = _utf16(text)
-    if n <= most:
+    """At most `most` UTF-16 units of a text: its head and tail around a marker, no pair split (half a pair is left out)."""
+    units = text.encode("utf-16-le", "surrogatepass")
+    if len(units) <= 2 * most:
         return text
-    if most <= len(MARKER):
-        return _cut(text, 0, most)
-    head = int((most - len(MARKER)) * HEAD_SHARE)
-    return _cut(text, 0, head) + MARKER + _cut(text, n - (most - len(MARKER) - head), n)
+    part = lambda start, stop: units[2 * start : 2 * stop].decode("utf-16-le", "ignore")
+    room = most - _utf16(MARKER)
+    if room <= 0:
+        return part(0, most)
+    head, size = int(room * HEAD_SHARE), len(units) // 2
+    return part(0, head) + MARKER + part(size - room + head, size)
 
 
 def canonical_json(value) -> str:
@@ -321,57 +312,68 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def _source_lines(r, source: dict) -> list[str] | str:
+    """The lines of a requested file, or the reason to leave it out. A source that is not the scanned file is an error, and so is a target without one."""
+    raw, path = source.get("content"), r["relative_path"]
+    text = None if raw is None else bytes(raw).decode("utf-8", "replace")
+    if text is not None:
+        hashes = {source.get("content_hash", r["content_hash"]), _sha(text)}
+        for wrong, code, what in (
+            (_plain(source.get("relative_path", path)) != path, "SOURCE_FILE_MISMATCH", "a mismatched file identity"),
+            (_utf16(text) > SAFETY_CEILING, "SOURCE_TOO_LARGE", "a file above the safety ceiling"),
+            (hashes != {r["content_hash"]}, "SOURCE_HASH_MISMATCH", "content with a mismatched hash"),
+        ):
+            if wrong:
+                raise ContextError(code, f"Source provider returned {what}.")
+        if "\0" not in text:
+            return re.split(r"\r\n|\n|\r", text)
+    reason, word = ("SOURCE_UNAVAILABLE", "unavailable") if text is None else ("BINARY_FILE", "binary")
+    if r["mandatory"]:
+        raise ContextError("SOURCE_FILE_MISMATCH", f"Mandatory target source is {word}: {path}.")
+    return reason
+
+
+def _excerpt(r, lines: list[str], most: int, left: int) -> tuple[dict | None, list[str]]:
+    """The excerpt that a request gets within its own limit and what is left of the budget, and the limits it met."""
+    first, last = min(r["lo"], len(lines)), min(r["hi"], len(lines))
+    text, met = "\n".join(lines[first - 1 : last]), []
+    if _utf16(text) > most:
+        text = truncate_text(text, most)
+        met.append("EXCERPT_CHARACTER_LIMIT")
+    if _utf16(text) > left:
+        met.append("TOTAL_SOURCE_CHARACTER_LIMIT")
+        if left < LEAST_REST:
+            return None, met
+        text = truncate_text(text, left)
+    reasons, symbols = list(r["reasons"]), list(r["symbol_ids"])
+    return {
+        "id": json_id([r["file_id"], first, last, reasons, symbols, text]), "fileId": r["file_id"], "relativePath": r["relative_path"], "contentHash": r["content_hash"], "startLine": first, "endLine": last, "startCharacter": 0,
+        "endCharacter": _utf16(lines[last - 1]), "text": text, "reasons": reasons, "symbolIds": symbols, "truncated": bool(met),
+    }, met
+
+
 def _excerpts(ranked: list, contents: dict, options: dict, omit) -> list[dict]:
     """Keeps the running budget; ranked requests in order, sources by file id (without content: not readable)."""
-    out, total, gone, lines_of = [], 0, set(), {}
+    out: list[dict] = []
+    found: dict[str, list[str] | str] = {}
+    left = options["maxTotalSourceCharacters"]
     for at, r in enumerate(ranked):
-        if len(out) >= options["maxExcerpts"]:
+        if len(out) == options["maxExcerpts"]:
             omit("EXCERPT_LIMIT", "excerpt", len(ranked) - at)
             break
         f = r["file_id"]
-        if f in gone:
+        if f not in found:
+            found[f] = _source_lines(r, contents.get(f) or {})
+            if isinstance(found[f], str):
+                omit(found[f], "source", 1, f)
+        if isinstance(found[f], str):
             continue
-        if f not in lines_of:
-            source = contents.get(f) or {}
-            raw = source.get("content")
-            if raw is None:
-                if r["mandatory"]:
-                    raise ContextError("SOURCE_FILE_MISMATCH", f"Mandatory target source is unavailable: {r['relative_path']}.")
-                gone.add(f)
-                omit("SOURCE_UNAVAILABLE", "source", 1, f)
-                continue
-            text = bytes(raw).decode("utf-8", "replace")
-            if _plain(source.get("relative_path", r["relative_path"])) != r["relative_path"]:
-                raise ContextError("SOURCE_FILE_MISMATCH", "Source provider returned a mismatched file identity.")
-            if _utf16(text) > SAFETY_CEILING:
-                raise ContextError("SOURCE_TOO_LARGE", "Source provider returned a file above the safety ceiling.")
-            if {source.get("content_hash", r["content_hash"]), hashlib.sha256(text.encode()).hexdigest()} != {r["content_hash"]}:
-                raise ContextError("SOURCE_HASH_MISMATCH", "Source provider returned content with a mismatched hash.")
-            if "\0" in text:
-                if r["mandatory"]:
-                    raise ContextError("SOURCE_FILE_MISMATCH", f"Mandatory target source is binary: {r['relative_path']}.")
-                gone.add(f)
-                omit("BINARY_FILE", "source", 1, f)
-                continue
-            lines_of[f] = re.split(r"\r\n|\n|\r", text)
-        lines = lines_of[f]
-        start, end = min(r["lo"], len(lines)), min(r["hi"], len(lines))
-        text, short = "\n".join(lines[start - 1 : end]), False
-        if _utf16(text) > options["maxExcerptCharacters"]:
-            text, short = truncate_text(text, options["maxExcerptCharacters"]), True
-            omit("EXCERPT_CHARACTER_LIMIT", "excerpt", 1)
-        rest = options["maxTotalSourceCharacters"] - total
-        if _utf16(text) > rest:
-            omit("TOTAL_SOURCE_CHARACTER_LIMIT", "excerpt", 1)
-            if rest < LEAST_REST:
-                continue
-            text, short = truncate_text(text, rest), True
-        reasons, ids = list(r["reasons"]), list(r["symbol_ids"])
-        out.append({
-            "id": json_id([f, start, end, reasons, ids, text]), "fileId": f, "relativePath": r["relative_path"], "contentHash": r["content_hash"], "startLine": start, "endLine": end, "startCharacter": 0,
-            "endCharacter": _utf16(lines[end - 1]), "text": text, "reasons": reasons, "symbolIds": ids, "truncated": short,
-        })
-        total += _utf16(text)
+        made, met = _excerpt(r, found[f], options["maxExcerptCharacters"], left)
+        for reason in met:
+            omit(reason, "excerpt", 1)
+        if made is not None:
+            out.append(made)
+            left -= _utf16(made["text"])
     return sorted(out, key=lambda e: (e["relativePath"], e["startLine"], e["endLine"], e["id"]))
 
 
