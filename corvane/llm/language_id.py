@@ -127,9 +127,7 @@ def training_sample(docs: DataFrame, rows_per_language: int, bytes_per_language:
     """
     usable = docs.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     usable = usable.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.shiftrightunsigned(content_key(id_col, text_col), 1).alias("h"))
-    sizes = usable.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("b"), F.min("h").alias("least")).orderBy(F.desc("n"), "l").limit(most_languages + 1).collect()
-    if len(sizes) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+    sizes = usable.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("b"), F.min("h").alias("least")).orderBy(F.desc("n"), "l").limit(most_languages).collect()
     share = lambda r: min(Fraction(1), Fraction(rows_per_language, r["n"]), Fraction(bytes_per_language, max(r["b"], 1)))
     levels = [(r["l"], max(r["least"], int(share(r) * ((1 << 63) - 1)))) for r in sizes]
     if not levels:
@@ -145,8 +143,8 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Learns from text and non-null lang of documents whose crc32(id as text) mod 3 is not 1, from a bounded
     sample of about `rows_per_language` whole texts of each language, chosen by a hash of id and text: fewer where
-    they hold more than about `bytes_per_language`, one at least; rows with equal id and text count once. More than
-    `most_languages` of them are refused. Every whole text gets a prediction, of which lang, source and id are never
+    they hold more than about `bytes_per_language`, one at least; rows with equal id and text count once. Of more than
+    `most_languages` of them the commonest are learnt. Every whole text gets a prediction, of which lang, source and id are never
     inputs. `score` is the calibrated probability of lang_pred; `rejected` marks texts whose score is below `reject_below`.
 
     A null text or one without a letter gets `und` with score 0 and is rejected. A null id counts as

@@ -11,13 +11,14 @@ hash; the cut is found by summing tokens in 4096 ranges of the hash and then wit
 from __future__ import annotations
 
 from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.frames import checkpointed, documents
 
-#: The tree is held on the driver; a corpus with more leaves has its sources at too fine a grain for weights.
+#: Up to so many leaves the tree is held on the driver; beyond, its last level is shared out in Spark.
 MOST_LEAVES = 200_000
 #: Leaves up to which their budgets and cuts (some 150 bytes each) are sent to all tasks; beyond, a join deals the rows out.
 MOST_SENT = 50_000
@@ -74,6 +75,45 @@ def allot(leaves: dict[tuple[str, str, str], int], budget: int, weights: dict[st
     return down((), sorted(leaves), budget) if leaves else {}
 
 
+def leaf_budgets(sums: DataFrame, weights: dict[str, dict[str, float]], budget_share: Fraction, epochs: int, few: bool) -> DataFrame:
+    """Leaves (domain, language, source, n tokens) with their budgets, by the driver where there are few, else their last level in Spark."""
+    spark, on = sums.sparkSession, ["__cv_d", "__cv_l", "__cv_s"]
+    if few:
+        there = {(r["__cv_d"], r["__cv_l"], r["__cv_s"]): r["n"] for r in sums.collect()}
+        shares = allot(there, int(budget_share * sum(there.values())), weights, epochs)
+        return spark.createDataFrame([(*x, there[x], b) for x, b in shares.items()], "__cv_d string, __cv_l string, __cv_s string, n long, budget long")
+    upper = sums.groupBy("__cv_d", "__cv_l").agg(F.sum("n").alias("n")).limit(MOST_LEAVES + 1).collect()
+    if len(upper) > MOST_LEAVES:
+        raise ValueError(f"more than {MOST_LEAVES} domains and languages")
+    there = {(r["__cv_d"], r["__cv_l"], ""): r["n"] for r in upper}
+    shares = allot(there, int(budget_share * sum(there.values())), weights, epochs)
+    budgets = F.broadcast(spark.createDataFrame([(d, lang, b) for (d, lang, _), b in shares.items()], "__cv_d string, __cv_l string, b long"))
+    # whole weights, so that shares are compared without rounding
+    given = {f"={n}": Fraction(str(w)) for n, w in weights.get("source", {}).items()}
+    scale = lcm(*[w.denominator for w in given.values()])
+    whole = {n: int(w * scale) for n, w in given.items()}
+    every = lcm(scale, *[w for w in whole.values() if w])
+    weight = F.lit(scale)
+    for n, w in whole.items():
+        weight = F.when(F.col("__cv_s") == n, w).otherwise(weight)
+    big = lambda c: c.cast("decimal(38,0)")
+    node = Window.partitionBy("__cv_d", "__cv_l")
+    rows = sums.join(budgets, ["__cv_d", "__cv_l"]).withColumns({"w": weight, "cap": F.col("n") * epochs})
+    rows = rows.withColumn("cap", F.when(F.col("w") > 0, F.col("cap")).otherwise(0)).withColumn("fills", big(F.col("cap")) * F.when(F.col("w") > 0, F.lit(every) / F.col("w")).otherwise(0).cast("long"))
+    by = node.orderBy("fills", "__cv_s")
+    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = rows.withColumns({"b": F.least(F.col("b"), F.sum("cap").over(node)), "below": F.coalesce(F.sum("cap").over(before), F.lit(0)), "w_left": F.sum("w").over(after)})
+    # a leaf is full if it and all that fill up sooner have no more than their share of what is left then
+    early = big(F.col("cap")) * big(F.col("w_left")) <= big(F.col("b") - F.col("below")) * big(F.col("w"))
+    rows = rows.withColumn("early", early).withColumn("full", F.min("early").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumns({"spare": F.col("b") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(node), "w_open": F.greatest(F.lit(1), F.sum(F.when(F.col("full"), 0).otherwise(F.col("w"))).over(node))})
+    product = big(F.col("spare")) * big(F.col("w"))
+    rows = rows.withColumns({"part": F.when(F.col("full"), 0).otherwise(F.floor(product / big(F.col("w_open"))).cast("long")), "over": (product % big(F.col("w_open")))})
+    rows = rows.withColumns({"rest": F.col("spare") - F.sum("part").over(node), "nth": F.row_number().over(Window.partitionBy("__cv_d", "__cv_l", "full").orderBy(F.desc("over"), "__cv_s"))})
+    share = F.when(F.col("full"), F.col("cap")).otherwise(F.col("part") + (F.col("nth") <= F.col("rest")).cast("long"))
+    return checkpointed(rows.select(*on, "n", share.cast("long").alias("budget")))
+
+
 def default_domain(source_col: str) -> Column:
     """One of DOMAINS by a hash of the source, where a corpus has no domains of its own."""
     place = F.conv(F.substring(F.md5(F.coalesce(F.col(source_col).cast("string"), F.lit("")).cast("binary")), 1, 4), 16, 10).cast("int") % len(DOMAINS)
@@ -114,15 +154,13 @@ def mix_sources(
     # the text is read once for its tokens and once more where it is carried along
     rows = checkpointed(docs.select(F.col(id_col).alias("__cv_id"), key, *leaf, tokens.alias("__cv_n")))
     on = ["__cv_d", "__cv_l", "__cv_s"]
-    totals = rows.groupBy(*on).agg(F.sum("__cv_n").alias("n")).limit(MOST_LEAVES + 1).collect()
-    if len(totals) > MOST_LEAVES:
-        raise ValueError(f"more than {MOST_LEAVES} leaves")
-    there = {(r["__cv_d"], r["__cv_l"], r["__cv_s"]): r["n"] for r in totals}
-    budgets = allot(there, int(Fraction(str(budget_share)) * sum(there.values())), weights, epochs)
-    plan = [(*x, b, b // there[x] if there[x] else 0, b % there[x] if there[x] else 0) for x, b in budgets.items()]
+    sums = checkpointed(rows.groupBy(*on).agg(F.sum("__cv_n").alias("n")))
+    n_leaves = sums.count()
     # a row is some 150 bytes: up to MOST_SENT of them go to all tasks, so that no leaf's texts are dealt to one
-    sent = F.broadcast if len(plan) <= MOST_SENT else (lambda t: t)
-    leaves = spark.createDataFrame(plan, "__cv_d string, __cv_l string, __cv_s string, __cv_budget long, __cv_whole long, __cv_rest long")
+    sent = F.broadcast if n_leaves <= MOST_SENT else (lambda t: t)
+    budgets = leaf_budgets(sums, weights, Fraction(str(budget_share)), epochs, n_leaves <= MOST_LEAVES)
+    has = F.col("n") > 0
+    leaves = budgets.select(*on, F.col("budget").alias("__cv_budget"), F.when(has, F.expr("budget div n")).otherwise(0).alias("__cv_whole"), F.when(has, F.expr("budget % n")).otherwise(0).alias("__cv_rest"))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__cv_whole").cast("string"), F.col("__cv_i")).cast("binary"))
     placed = rows.join(sent(leaves), on).withColumn("__cv_h", order).withColumn("__cv_b", F.substring("__cv_h", 1, 3))
     upto = Window.partitionBy(*on).orderBy("__cv_b")

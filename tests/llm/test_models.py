@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -449,6 +450,17 @@ def test_mixing_against_brute_force(docs, rows, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_budgets_of_many_leaves_are_shared_out_in_spark(spark):
+    rng = random.Random(3)
+    rows = [(f"={d}", f"={lang}" if lang else "", f"=s{k}", rng.choice([0, 1, 7, 50, 400, 3000])) for d in ("web", "books", "forum") for lang in ("en", "de", None) for k in range(rng.randint(1, 9))]
+    sums = spark.createDataFrame(rows, "__cv_d string, __cv_l string, __cv_s string, n long")
+    for source in ({}, {"s0": 0.5, "s1": 3, "s2": 0, "s3": 0.15}):
+        for part in (0.1, 0.6, 3.5):
+            weights = mixing.WEIGHTS | {"source": source}
+            one, two = ({tuple(r) for r in mixing.leaf_budgets(sums, weights, Fraction(str(part)), 4, few).collect()} for few in (True, False))
+            assert len(one) == len(rows) and one == two, (source, part, sorted(one ^ two))
+
+
 def test_share_redistributes_to_siblings_first():
     from fractions import Fraction as Q
 
