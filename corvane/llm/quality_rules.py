@@ -159,7 +159,7 @@ def _estimate(totals: str, det: str) -> str:
 
 _DET = " * ".join(f"l{i}{i} * l{i}{i}" for i in range(1, DIMS + 1))
 #: One concentration step of all groups and starts; where the determinant does not fall, the estimate stays.
-STEP = f"""SELECT p.par_grp, p.seed, {", ".join(f"CASE WHEN e.det < p.det THEN e.{c} ELSE p.{c} END AS {c}" for c in [*_MEANS, *_ENTRIES, "det"])}
+STEP = f"""SELECT p.par_grp, p.seed, {", ".join(f"CASE WHEN e.det < p.det THEN e.{c} ELSE p.{c} END AS {c}" for c in [*_MEANS, *_ENTRIES, "det"])}, p.det AS former
 FROM {{params}} p JOIN ({_estimate(_TOTALS, _DET)}) e ON p.par_grp = e.par_grp AND p.seed = e.seed"""
 #: Starts from the documents of a group whose hash falls on SEED_ROWS of as many places as the group has documents.
 SEED = " UNION ALL ".join(
@@ -209,9 +209,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     starts = spark.sql(START, medians=medians, deviations=deviations).unionByName(spark.sql(SEED, rows=vectors, sizes=sent(sizes)))
     params = checkpointed(starts)
     for _ in range(STEPS):
-        before, params = params, checkpointed(spark.sql(STEP, rows=vectors, params=sent(params)))
-        falls = before.select("par_grp", "seed", F.col("det").alias("former")).join(params, ["par_grp", "seed"]).where("det < former")
-        if falls.isEmpty():
+        params = checkpointed(spark.sql(STEP, rows=vectors, params=sent(params)))
+        if params.where("det < former").isEmpty():
             break
     judged = spark.sql(DISTANCE, rows=rows, params=sent(spark.sql(BEST, params=params, sizes=sizes)))
     return judged.select(
