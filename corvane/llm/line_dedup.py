@@ -60,6 +60,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = lines.join(sent, F.col("__cv_hash") == F.col("__cv_wide"), "left_semi")
     # equal texts lose the same lines: one set of line numbers for each text, however many copies it has
     removed = hits.groupBy("__cv_key", "__cv_key2").agg(F.collect_set("__cv_no").alias("__cv_gone")).select(F.col("__cv_key").alias("__cv_k"), F.col("__cv_key2").alias("__cv_k2"), "__cv_gone")
+    # read back from a table, both sides of the join below are plain shuffles, of which Spark splits the partition of a text with very many copies
+    removed = checkpointed(removed)
     rows = docs.select(F.col(id_col).alias("__cv_id"), F.col(text_col).alias("__cv_text"), *key)
     joined = rows.join(removed, (F.col("__cv_key") == F.col("__cv_k")) & (F.col("__cv_key2") == F.col("__cv_k2")), "left")
     joined = joined.withColumns({"__cv_parts": F.split(F.coalesce(F.col("__cv_text"), F.lit("")), "\n"), "__cv_gone": F.coalesce("__cv_gone", F.array().cast("array<int>"))})
