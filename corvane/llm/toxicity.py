@@ -24,6 +24,8 @@ from corvane.llm.hashing import LETTERS_ONLY, U, Words, mix
 
 SPACE_BITS = 22
 SIZES = (5, 6)
+#: Deviations beyond chance that a feature of toxic texts must have: of four million places one or so passes by chance.
+SURE = 5
 
 
 def feature_hits(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +116,7 @@ def select_features(pos: list[bytes], unl: list[bytes], prior: float, most: int)
         count.append(n)
     p, u = count[0] / max(1, len(pos)), (count[1] + 1) / max(1, len(unl))
     z = (p - u) / np.sqrt(u / max(1, len(pos)) + u / max(1, len(unl)))
-    strong = np.flatnonzero((count[0] >= 4) & (p >= 0.005) & (p > 0.5 * u / prior) & (z > 8))
+    strong = np.flatnonzero((count[0] >= 4) & (p >= 0.005) & (p > 0.5 * u / prior) & (z > SURE))
     strong = np.sort(strong[np.argsort(-z[strong], kind="stable")[:most]])
     return strong, np.log(p[strong] / u[strong])
 
