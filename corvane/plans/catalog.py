@@ -142,8 +142,7 @@ def module_candidates_first_hit(spark, d):
     asked = t(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("base"))
     stored = asked.select(F.expr(_STORED).alias("path"))
     tries = asked.select("p_partkey", resolve.candidates("base").alias("tries"))
-    hit = resolve.first_hit(tries, ["p_partkey"], "tries", stored.select("path", F.col("path").alias("hit")), "path", "hit")
-    return hit.join(tries, "p_partkey").select("p_partkey", F.col("hit").alias("path"), (F.array_position("tries", F.col("hit")) - 1).alias("tried"))
+    return resolve.first_hit(tries, ["p_partkey"], "tries", stored.select("path", F.col("path").alias("hit")), "path", "hit", "tried").withColumnRenamed("hit", "path")
 
 
 @query(

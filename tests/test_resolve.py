@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane import schemas as S
-from corvane.operators.resolve import effective_exports, resolve
+from corvane.operators.resolve import effective_exports, first_hit, resolve
 
 
 def loc(n=1):
@@ -172,3 +172,11 @@ def test_input_checks(spark):
     with pytest.raises(S.ResolverInputError) as e:
         resolve(scan, parsed, symbols, imports.unionAll(imports), exports)
     assert e.value.code == "DUPLICATE_ENTITY_ID"
+
+
+def test_first_hit_numbers_the_candidate_and_sends_no_table_to_all_tasks(spark):
+    tries = spark.createDataFrame([(1, ["a", "a.ts", "a.js"]), (2, ["b", "b.ts"]), (3, ["c"])], "k long, tries array<string>")
+    stored = spark.createDataFrame([("a.js",), ("a.ts",), ("b",)], "path string")
+    got = first_hit(tries, ["k"], "tries", stored, "path", "path", "tried")
+    assert sorted(map(tuple, got.collect())) == [(1, "a.ts", 1), (2, "b", 0)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
