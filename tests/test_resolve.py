@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane import schemas as S
-from corvane.operators.resolve import effective_exports, first_hit, resolve
+from corvane.operators.resolve import Resolver, effective_exports, first_hit, resolve
 
 
 def loc(n=1):
@@ -180,3 +180,20 @@ def test_first_hit_numbers_the_candidate_and_sends_no_table_to_all_tasks(spark):
     got = first_hit(tries, ["k"], "tries", stored, "path", "path", "tried")
     assert sorted(map(tuple, got.collect())) == [(1, "a.ts", 1), (2, "b", 0)]
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_are_made_when_they_are_asked_for(spark):
+    files = {"lib/a.ts": ([], [named("x", "s1")]), "lib/b.ts": ([], [("re-export", "y", "x", "./a", None)]), "app/m.ts": ([("../lib/b", "named", "y", "y"), ("../lib/b", "named", "gone", "g"), ("react", "side-effect", None, None)], []), "app/n.ts": ([("../lib/b", "named", "y", "z")], [])}
+    scan, parsed, symbols, imports, exports = model(spark, files)
+    unread = lambda: pytest.fail("the imports were read")
+    rows = lambda t: sorted(map(str, t.collect()))
+    whole = resolve(scan, parsed, symbols, imports, exports)
+    assert rows(Resolver(scan, parsed, symbols, unread, exports).exports) == rows(whole.exports)
+    lazy = Resolver(scan, parsed, symbols, lambda: imports, exports)
+    for name in ("imports", "dependencies", "external", "bindings", "unresolved", "effective"):
+        assert rows(getattr(lazy, name)) == rows(getattr(whole, name))
+    counted = whole.imports.groupBy("status", "source_kind", "import_kind").agg(F.count(F.lit(1)).alias("imports"), F.count("target_file_id").alias("with_file"), F.count("target_symbol_id").alias("with_symbol"))
+    assert rows(lazy.import_counts()) == rows(counted)
+    with pytest.raises(S.ResolverInputError) as e:
+        Resolver(scan, parsed, symbols, lambda: imports.unionAll(imports), exports).import_counts()
+    assert e.value.code == "DUPLICATE_ENTITY_ID"
