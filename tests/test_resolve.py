@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane import schemas as S
+from corvane.functions.tables import refuse_repeated, stored
+from corvane.operators import resolve as module
 from corvane.operators.resolve import Resolver, effective_exports, first_hit, resolve
 
 
@@ -197,3 +199,44 @@ def test_tables_are_made_when_they_are_asked_for(spark):
     with pytest.raises(S.ResolverInputError) as e:
         Resolver(scan, parsed, symbols, lambda: imports.unionAll(imports), exports).import_counts()
     assert e.value.code == "DUPLICATE_ENTITY_ID"
+
+
+def test_folders_that_reach_one_path_look_it_up_once(spark, monkeypatch):
+    files = {"lib/a.ts": ([], [named("x", "s1")]), "app/r/m.ts": ([("../../lib/a", "named", "x", "x")], []), "app/s/n.ts": ([("../../lib/a", "named", "x", "x"), ("./gone", "named", "x", "g")], [])}
+    asked = []
+    monkeypatch.setattr(module, "first_hit", lambda requests, *a, **k: asked.append(requests.count()) or first_hit(requests, *a, **k))
+    scan, parsed, symbols, imports, exports = model(spark, files)
+    r = Resolver(scan, parsed, symbols, lambda: imports, exports)
+    assert sorted(map(tuple, r.import_counts().select("status", "imports").collect())) == [("resolved-symbol", 2), ("unresolved", 1)]
+    assert max(asked) == 2  # the exports ask for none
+
+
+def test_external_references_are_told_by_their_source_alone(spark):
+    files = {"lib/a.ts": ([("react", "named", "x", "x"), ("@lib/a", "named", "x", "y"), ("./b", "side-effect", None, None)], [named("x", "s1")]), "lib/b.ts": ([("react", "side-effect", None, None)], [])}
+    scan, parsed, symbols, imports, exports = model(spark, files)
+    r = Resolver(scan, parsed, symbols, lambda: imports, exports, [("@lib/a", ["lib/a.ts"])])
+    r._import_targets = None  # not to be read
+    assert sorted((x["source_file_id"], x["import_ids"]) for x in r.external.collect()) == [("lib/a.ts", ["lib/a.ts:i1"]), ("lib/b.ts", ["lib/b.ts:i1"])]
+    assert "_in_place" not in r.__dict__ and "_far_targets" not in r.__dict__
+
+
+def test_rows_stored_by_columns_are_dealt_no_more(spark):
+    rows = stored(spark.createDataFrame([("a", "x", 1), ("a", "y", 1), ("b", "x", 2), ("b", "x", 2)], "f string, s string, n int"), ("f",))
+    got = rows.select("f", "s").distinct()
+    assert sorted(map(tuple, got.collect())) == [("a", "x"), ("a", "y"), ("b", "x")]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_texts_and_nulls_are_refused(spark):
+    table = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    refuse_repeated(table("a", "b", None), S.ResolverInputError, "X", "x", "id")
+    for bad in (("a", "b", "a"), (None, "a", None)):
+        with pytest.raises(S.ResolverInputError):
+            refuse_repeated(table(*bad), S.ResolverInputError, "X", "x", "id")
+
+
+def test_bindings_are_counted_by_what_is_asked(spark):
+    files = {"lib/a.ts": ([], [named("x", "s1"), named("y", "s2")]), "lib/i.ts": ([], [("export-all", "*", None, "./a", None), ("re-export", "z", "x", "./a", None)]), "app/m.ts": ([("../lib/i", "named", "z", "z"), ("../lib/a", "named", "x", "x")], []), "app/n.ts": ([("../lib/i", "named", "y", "y"), ("../lib/i", "named", "gone", "g")], [])}
+    tables = model(spark, files)
+    want = resolve(*tables).bindings.groupBy("target_symbol_id").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, Resolver(*tables).binding_counts.collect())) == sorted(map(tuple, want.collect()))
