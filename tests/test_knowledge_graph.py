@@ -277,3 +277,34 @@ def test_sources_are_checked(spark, built):
         with pytest.raises(S.ContextError) as e:
             context.build_context(s, target, contents=bad)
         assert e.value.code == code
+
+
+def test_counts_of_the_shop_need_no_whole_model(spark, monkeypatch):
+    from corvane.operators import knowledge
+    from corvane.plans import shop
+
+    monkeypatch.setattr(knowledge, "build_knowledge", lambda *a: pytest.fail("the whole model was made"))
+    monkeypatch.setattr(shop, "_MADE", {})
+    d = "/root/testdata/sf0.001"
+    assert [r["name"] for r in shop.graph_node(spark, d).collect()] == ["c7.ts"]
+    for name in ("model_summary", "model_files", "model_symbols", "model_folders", "model_projects", "model_project_dependencies", "model_relation_kinds", "graph_nodes"):
+        assert shop.QUERIES[name](spark, d).count()
+
+
+def test_model_by_need_refuses_an_import_of_no_scanned_file(spark):
+    from corvane.operators import graph, knowledge
+    from corvane.operators.resolve import Resolver
+
+    scan = spark.createDataFrame([("a.ts", "a.ts", "/r/a.ts", None, None, 1, "h", None)], S.SCAN_FILES)
+    parsed = spark.createDataFrame([("a.ts", "a.ts", "TypeScript", "h")], S.PARSED_FILES)
+    none = lambda schema: spark.createDataFrame([], schema)
+    for file, bad in (("a.ts", False), ("gone.ts", True)):
+        imports = spark.createDataFrame([("i", file, "x", "side-effect", None, None, False, (1, 0, 1, 1))], S.IMPORTS)
+        resolver = Resolver(scan, parsed, none(S.SYMBOLS), lambda: imports, none(S.EXPORTS))  # noqa: B023
+        model = knowledge.Model("/r", scan, parsed, none(S.FAILURES), none(S.SYMBOLS), lambda: imports, none(S.EXPORTS), resolver)  # noqa: B023
+        if bad:
+            with pytest.raises(S.KnowledgeInputError) as e:
+                graph.checked_nodes(model)
+            assert e.value.code == "MISSING_RELATION_NODE"
+        else:
+            assert sorted(r["kind"] for r in graph.checked_nodes(model).collect()) == ["file", "repository"]
