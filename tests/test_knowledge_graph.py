@@ -308,3 +308,13 @@ def test_model_by_need_refuses_an_import_of_no_scanned_file(spark):
             assert e.value.code == "MISSING_RELATION_NODE"
         else:
             assert sorted(r["kind"] for r in graph.checked_nodes(model).collect()) == ["file", "repository"]
+
+
+def test_omissions_of_the_shop_are_those_its_sql_counts(spark, monkeypatch):
+    from corvane.plans import shop
+
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setitem(context.DEFAULTS, "maxRelations", 1)
+    assert {r["entity_kind"] for r in shop.context_omissions(spark, d).collect()} <= {"file", "symbol", "source"}
+    made = context.build_context(shop.staged(spark, d), shop._ASKED, {"includeSource": False})
+    assert "RELATION_LIMIT" in {o["reason"] for o in made["omissions"]}
