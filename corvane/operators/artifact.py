@@ -16,7 +16,8 @@ def _kept(pairs: dict) -> dict:
 
 def node_entry(r) -> dict:
     """Presentation of a node; what a kind lacks is left out."""
-    kind, n = r["kind"], lambda c: len(r[c] or [])
+    # a model by need has a list's length in its place
+    kind, n = r["kind"], lambda c: r[c] if isinstance(r[c], int) else len(r[c] or [])
     base = {"id": r["id"], "kind": kind, "label": r["name"]}
     if kind == "repository":
         return base | {"metadata": {"projectCount": n("project_ids"), "fileCount": n("file_ids")}}

@@ -318,3 +318,24 @@ def test_omissions_of_the_shop_are_those_its_sql_counts(spark, monkeypatch):
     assert {r["entity_kind"] for r in shop.context_omissions(spark, d).collect()} <= {"file", "symbol", "source"}
     made = context.build_context(shop.staged(spark, d), shop._ASKED, {"includeSource": False})
     assert "RELATION_LIMIT" in {o["reason"] for o in made["omissions"]}
+
+
+def by_need(spark, s):
+    from corvane.operators.knowledge import Model
+    from corvane.operators.resolve import Resolver
+
+    scan, parsed, symbols, imports, exports = model(spark, FILES, scanned=["misc/config.json"])
+    r = Resolver(scan, parsed, symbols, lambda: imports, exports, [("@acme/core", [LIB])])
+    k = Model("/work/acme", scan, parsed, spark.createDataFrame([], S.FAILURES), symbols, lambda: imports, exports, r, PROJECTS)
+    return dataclasses.replace(s, imports=lambda: imports, resolution=r, knowledge=k)
+
+
+def test_packages_by_need_equal_those_of_the_whole_model(spark, built, world):
+    few = by_need(spark, built)
+    for target in ({"kind": "file", "relativePath": APP}, {"kind": "symbol", "symbolId": "s-tool"}, {"kind": "project", "name": "core"}, {"kind": "folder", "relativePath": "libs"}):
+        assert context.build_context(few, target, {"includeSource": False}) == context.build_context(built, target, {"includeSource": False})
+    m = few.knowledge
+    assert rows(m.project_dependencies, "id", "dependency_count", "type_only_dependency_count") == rows(built.knowledge.project_dependencies, "id", "dependency_count", "type_only_dependency_count")
+    top = world.nodes.where("kind = 'repository'").select("id", "kind", "name")
+    small = graph.Graph(top.unionByName(m.project_nodes, allowMissingColumns=True), m.project_relations)
+    assert artifact.create_artifact(small, "project-dependencies") == artifact.create_artifact(world, "project-dependencies")
