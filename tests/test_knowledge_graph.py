@@ -310,14 +310,15 @@ def test_model_by_need_refuses_an_import_of_no_scanned_file(spark):
             assert sorted(r["kind"] for r in graph.checked_nodes(model).collect()) == ["file", "repository"]
 
 
-def test_omissions_of_the_shop_are_those_its_sql_counts(spark, monkeypatch):
+def test_context_and_views_of_the_shop_need_no_whole_model(spark, monkeypatch):
+    from corvane.operators import knowledge
     from corvane.plans import shop
 
+    monkeypatch.setattr(knowledge, "build_knowledge", lambda *a: pytest.fail("the whole model was made"))
+    monkeypatch.setattr(shop, "_MADE", {})
     d = "/root/testdata/sf0.001"
-    monkeypatch.setitem(context.DEFAULTS, "maxRelations", 1)
-    assert {r["entity_kind"] for r in shop.context_omissions(spark, d).collect()} <= {"file", "symbol", "source"}
-    made = context.build_context(shop.staged(spark, d), shop._ASKED, {"includeSource": False})
-    assert "RELATION_LIMIT" in {o["reason"] for o in made["omissions"]}
+    for name in ("view_full", "artifact_elements", "context_file_candidates", "context_symbol_ranking", "context_relations", "context_excerpt_requests", "context_excerpts", "context_package", "context_project_candidates", "context_folder_candidates"):
+        assert shop.QUERIES[name](spark, d).count()
 
 
 def by_need(spark, s):
@@ -339,3 +340,13 @@ def test_packages_by_need_equal_those_of_the_whole_model(spark, built, world):
     top = world.nodes.where("kind = 'repository'").select("id", "kind", "name")
     small = graph.Graph(top.unionByName(m.project_nodes, allowMissingColumns=True), m.project_relations)
     assert artifact.create_artifact(small, "project-dependencies") == artifact.create_artifact(world, "project-dependencies")
+
+
+def test_omissions_of_the_shop_are_those_its_sql_counts(spark, monkeypatch):
+    from corvane.plans import shop
+
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setitem(context.DEFAULTS, "maxRelations", 1)
+    assert {r["entity_kind"] for r in shop.context_omissions(spark, d).collect()} <= {"file", "symbol", "source"}
+    made = context.build_context(shop.staged(spark, d), shop._ASKED, {"includeSource": False})
+    assert "RELATION_LIMIT" in {o["reason"] for o in made["omissions"]}
