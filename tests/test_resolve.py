@@ -240,3 +240,29 @@ def test_bindings_are_counted_by_what_is_asked(spark):
     tables = model(spark, files)
     want = resolve(*tables).bindings.groupBy("target_symbol_id").agg(F.count(F.lit(1)).alias("n"))
     assert sorted(map(tuple, Resolver(*tables).binding_counts.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_external_exports_need_no_targets(spark):
+    files = {"lib/a.ts": ([], [("re-export", "r", "r", "react", None), ("re-export", "x", "x", "./b", None)]), "lib/b.ts": ([], [named("x", "s1")])}
+    r = Resolver(*model(spark, files))
+    r._placed_exports = None  # not to be read
+    assert [(x["source_file_id"], x["source_specifier"], x["import_ids"], len(x["export_ids"])) for x in r.external.collect()] == [("lib/a.ts", "react", [], 1)]
+
+
+def test_many_repeated_texts_are_refused(spark):
+    table = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string").repartition(3)
+    refuse_repeated(table("a", "b", None), S.ResolverInputError, "X", "x", "id", many=True)
+    for bad in (("a", "b", "a"), (None, "a", None), ("a", "a", "b", "b")):
+        with pytest.raises(S.ResolverInputError) as e:
+            refuse_repeated(table(*bad), S.ResolverInputError, "X", "x", "id", many=True)
+        assert e.value.code == "X"
+
+
+def test_the_tables_of_the_shop_are_dealt_by_file_once(spark, monkeypatch):
+    from corvane.plans import shop
+
+    monkeypatch.setattr(shop, "_MADE", {})
+    s = shop.shop(spark, "/root/testdata/sf0.001")
+    got = s.imports.select("file_id").join(s.parsed.select("file_id"), "file_id", "left_anti")
+    assert got.count() == 0
+    assert "Exchange hashpartitioning" not in got.hint("shuffle_hash")._jdf.queryExecution().executedPlan().toString()
