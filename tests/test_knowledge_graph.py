@@ -350,3 +350,19 @@ def test_omissions_of_the_shop_are_those_its_sql_counts(spark, monkeypatch):
     assert {r["entity_kind"] for r in shop.context_omissions(spark, d).collect()} <= {"file", "symbol", "source"}
     made = context.build_context(shop.staged(spark, d), shop._ASKED, {"includeSource": False})
     assert "RELATION_LIMIT" in {o["reason"] for o in made["omissions"]}
+
+
+def test_nodes_of_a_model_by_need_are_checked_without_its_edges(spark, monkeypatch):
+    from corvane.operators import knowledge
+    from corvane.operators.resolve import Resolver
+
+    scan = spark.createDataFrame([(f, f, f"/r/{f}", None, None, 1, "h", None) for f in ("a.ts", "b.ts")], S.SCAN_FILES)
+    parsed = spark.createDataFrame([(f, f, "TypeScript", "h") for f in ("a.ts", "b.ts")], S.PARSED_FILES)
+    imports = spark.createDataFrame([("i", "a.ts", "./b", "side-effect", None, None, False, (1, 0, 1, 1))], S.IMPORTS)
+    none = lambda schema: spark.createDataFrame([], schema)
+    monkeypatch.setattr(Resolver, "_edges", property(lambda self: pytest.fail("the edges were made")))
+    made = lambda given: knowledge.Model("/r", scan, parsed, none(S.FAILURES), none(S.SYMBOLS), lambda: given, none(S.EXPORTS), Resolver(scan, parsed, none(S.SYMBOLS), lambda: given, none(S.EXPORTS)))
+    assert sorted(r["kind"] for r in graph.checked_nodes(made(imports)).collect()) == ["file", "file", "repository"]
+    with pytest.raises(S.ResolverInputError) as e:
+        made(imports.unionAll(imports)).check_ends()
+    assert e.value.code == "DUPLICATE_ENTITY_ID"
